@@ -1,0 +1,6 @@
+"""Queries over the driver's tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
