@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import language, lines, media, mixing, pieces, quality, simhash, vectors
+from storyloom.llm import language, lines, media, mixing, pieces, quality, recompress, simhash, suffixes, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.dedup_words(table(spark, sf_dir, "documents"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -38,6 +43,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -47,5 +56,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_documents(docs, language.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_pieces, op4_lines, op5_vectors, op6_media, op7_simhash, op9_mixing, op10_language)}
-ORACLES = {"op4_lines": lines.ORACLE, "op5_vectors": vectors.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_recompress, op3_pieces, op4_lines, op5_vectors, op6_media, op7_simhash, op8_suffixes, op9_mixing, op10_language)}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES = {"op2_recompress": recompress.ORACLE, "op4_lines": lines.ORACLE, "op5_vectors": vectors.ORACLE}
