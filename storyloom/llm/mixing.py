@@ -29,7 +29,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     whole = Window.partitionBy()
     by = by.withColumn("rest_w", F.sum("w").over(run.rowsBetween(0, Window.unboundedFollowing))).withColumn("before", F.coalesce(F.sum("full").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     by = by.withColumn("rate", (share * F.sum("source_size").over(whole) - F.col("before")) / F.col("rest_w"))
-    by = by.withColumn("rate", F.min(F.when(F.col("full") / F.col("w") > F.col("rate"), F.col("rate"))).over(whole))
+    # From the first source below its cap on the rate only falls: that source has the largest.
+    by = by.withColumn("rate", F.max(F.when(F.col("full") / F.col("w") > F.col("rate"), F.col("rate"))).over(whole))
     return by.select("source", "n", "source_size", F.coalesce(F.least("full", F.col("rate") * F.col("w")), F.col("full")).alias("target"))
 
 
@@ -81,7 +82,8 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 def flier(last: bool, seed: int):
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         order = pd.util.hash_array(pdf["doc_id"].fillna(-1).to_numpy("int64"))
-        pdf = pdf.assign(__o=order).sort_values(["__o", "doc_id", "size", "ordinal"], kind="stable", na_position="last").drop(columns=["__o", "b"])
+        # Large documents fly first, so those left open are small and their landing moves few words.
+        pdf = pdf.assign(__o=order, __s=-pdf["size"]).sort_values(["__s", "__o", "doc_id", "ordinal"], kind="stable", na_position="last").drop(columns=["__o", "__s", "b"])
         rng = np.random.default_rng([seed, int(key[1]), len(pdf)])
         size = pdf["size"].to_numpy(float)
         p = flight(pdf["pi"].to_numpy(float), size, rng)
