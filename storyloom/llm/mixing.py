@@ -35,33 +35,34 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Moves probabilities along null vectors of the constraints (sum of sizes, number of units) until two are left open."""
-    p, s, draw = pi.tolist(), size.tolist(), []
-    todo, open_ = [i for i in range(len(p) - 1, -1, -1) if 1e-9 < p[i] < 1 - 1e-9], []
-    while True:
-        while len(open_) < 3 and todo:
-            open_.append(todo.pop())
-        if len(open_) == 3:
-            a, b, c = open_
-            u = (s[b] - s[c], s[c] - s[a], s[a] - s[b])
-            if u == (0, 0, 0):
-                u = (1.0, -1.0, 0.0)
-        elif len(open_) == 2 and s[open_[0]] == s[open_[1]]:
-            u = (1.0, -1.0)
-        else:
+    """Moves probabilities along null vectors of the constraints (sum of sizes, number of units) until two or fewer are open.
+
+    The vector is the projection onto the null space of the largest open unit's axis: the large settle first, at the
+    expense of little from each of the others, and those left open are small. Each step settles one unit at least.
+    """
+    p = np.where(pi < 1e-9, 0.0, np.where(pi > 1 - 1e-9, 1.0, pi))
+    at = np.flatnonzero((p > 0) & (p < 1))
+    at = at[np.argsort(-size[at], kind="stable")]
+    x = np.stack([size[at] / max(1.0, float(size.max(initial=0))), np.ones(len(at))], axis=1)
+    q = p[at]
+    while len(q):
+        u = x @ -(np.linalg.pinv(x.T @ x) @ x[0])
+        u[0] += 1
+        if np.abs(u).max() < 1e-9:
             break
-        up = min((1 - p[i]) / v if v > 0 else -p[i] / v for i, v in zip(open_, u, strict=True) if v)
-        down = min(p[i] / v if v > 0 else (p[i] - 1) / v for i, v in zip(open_, u, strict=True) if v)
-        draw = draw or rng.random(1024).tolist()
-        step = up if draw.pop() * (up + down) < down else -down  # keeps each probability as the mean
-        for i, v in zip(open_, u, strict=True):
-            p[i] += step * v
-            if p[i] < 1e-9:
-                p[i] = 0.0
-            elif p[i] > 1 - 1e-9:
-                p[i] = 1.0
-        open_ = [i for i in open_ if 0 < p[i] < 1]
-    return np.array(p)
+        up, down = np.full(len(q), np.inf), np.full(len(q), np.inf)
+        rise, fall = u > 1e-12, u < -1e-12
+        up[rise], down[rise] = (1 - q[rise]) / u[rise], q[rise] / u[rise]
+        up[fall], down[fall] = -q[fall] / u[fall], (q[fall] - 1) / u[fall]
+        far, back = up.min(), down.min()
+        forward = rng.random() * (far + back) < back  # keeps each probability as the mean
+        q = q + (far if forward else -back) * u
+        q[(up if forward else down).argmin()] = np.round(q[(up if forward else down).argmin()])
+        q = np.where(q < 1e-9, 0.0, np.where(q > 1 - 1e-9, 1.0, q))
+        p[at] = q
+        open_ = (q > 0) & (q < 1)
+        at, x, q = at[open_], x[open_], q[open_]
+    return p
 
 
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -82,8 +83,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 def flier(last: bool, seed: int):
     def fly(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         order = pd.util.hash_array(pdf["doc_id"].fillna(-1).to_numpy("int64"))
-        # Large documents fly first, so those left open are small and their landing moves few words.
-        pdf = pdf.assign(__o=order, __s=-pdf["size"]).sort_values(["__s", "__o", "doc_id", "ordinal"], kind="stable", na_position="last").drop(columns=["__o", "__s", "b"])
+        pdf = pdf.assign(__o=order).sort_values(["__o", "doc_id", "size", "ordinal"], kind="stable", na_position="last").drop(columns=["__o", "b"])
         rng = np.random.default_rng([seed, int(key[1]), len(pdf)])
         size = pdf["size"].to_numpy(float)
         p = flight(pdf["pi"].to_numpy(float), size, rng)
