@@ -1,0 +1 @@
+"""Multi-step plans: search, graph, context, detection, evaluation and job lifecycle."""
