@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def ancestors(edges: DataFrame, depth: int = 100) -> DataFrame:
     """(node, ancestor) along (src, dst), any number of steps. A path that comes back to itself ends there."""
     edges.createOrReplaceTempView("storyloom_hierarchy")
-    return edges.sparkSession.sql(f"""WITH RECURSIVE up MAX RECURSION LEVEL {depth} (node, ancestor, path) AS (
+    return edges.sparkSession.sql(f"""WITH RECURSIVE up (node, ancestor, path) MAX RECURSION LEVEL {depth} AS (
         SELECT src, dst, array(src, dst) FROM storyloom_hierarchy WHERE src <> dst
         UNION ALL SELECT u.node, e.dst, array_append(u.path, e.dst) FROM up u JOIN storyloom_hierarchy e ON e.src = u.ancestor WHERE NOT array_contains(u.path, e.dst))
         SELECT DISTINCT node, ancestor FROM up""")
