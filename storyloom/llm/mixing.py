@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import WORD, scratch
 
 #: Units that one flight takes at most, more or less: a source with more is dealt out over blocks.
-BLOCK = 4096
+BLOCK = 1024
 #: The weights that sources get in turn, the words to take as a share of all, the most copies of a document.
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 
@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Moves probabilities along null vectors of the constraints (sum of sizes, number of units) until two or fewer are open.
 
-    The vector is the projection onto the null space of the largest open unit's axis: the large settle first, at the
+    The vector is the projection onto the null space of the axis of the largest open unit that can move: the large settle first, at the
     expense of little from each of the others, and those left open are small. Each step settles one unit at least.
     """
     p = np.where(pi < 1e-9, 0.0, np.where(pi > 1 - 1e-9, 1.0, pi))
@@ -46,10 +46,13 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
     x = np.stack([size[at] / max(1.0, float(size.max(initial=0))), np.ones(len(at))], axis=1)
     q = p[at]
     while len(q):
-        u = x @ -(np.linalg.pinv(x.T @ x) @ x[0])
-        u[0] += 1
-        if np.abs(u).max() < 1e-9:
-            break
+        hat = x @ np.linalg.pinv(x.T @ x)
+        free = 1 - (hat * x).sum(axis=1) > 1e-9  # the others can make up for a move of such a unit
+        if not free.any():
+            break  # as many open units as constraints
+        lead = int(free.argmax())
+        u = -(hat @ x[lead])
+        u[lead] += 1
         up, down = np.full(len(q), np.inf), np.full(len(q), np.inf)
         rise, fall = u > 1e-12, u < -1e-12
         up[rise], down[rise] = (1 - q[rise]) / u[rise], q[rise] / u[rise]
@@ -98,7 +101,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     A document is taken floor(target / source size) times and once more with the fraction as probability. Each flight
     balances words and documents of one block of one source; what it leaves open, two units at most, flies again with
     the rest of its source until one block is left, where at most two units of each source land. Null texts have size
-    0; a null source is a source of its own, the last. Rows that agree in doc_id, source and size are told apart by
+    0; a null source is a source of its own, the last. Where one document holds a large part of its source, no choice may
+    come nearer to the target than about half its size. Rows that agree in doc_id, source and size are told apart by
     ordinal. An empty table gives no row. Only doc_id, text and source are read.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
