@@ -24,12 +24,12 @@ UND = "und"
 
 
 def word_features(word: str) -> list[int]:
-    """Slots of a lower-case word: itself, affixes of one to four letters, bigrams and trigrams, its length."""
+    """Slots of a lower-case word: itself, affixes of one to three letters, trigrams, its length."""
     w = f"<{word}>"
     names = [w, "#%d" % min(len(word), 12)]
-    names += ["p" + word[:k] for k in range(1, min(4, len(word)) + 1)] + ["s" + word[-k:] for k in range(1, min(4, len(word)) + 1)]
-    names += [w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)]
-    return [_slot(x) for x in dict.fromkeys(names)]
+    names += ["p" + word[:k] for k in range(1, min(3, len(word)) + 1)] + ["s" + word[-k:] for k in range(1, min(3, len(word)) + 1)]
+    names += [w[i : i + 3] for i in range(len(w) - 2)]
+    return [_slot(x) for x in names]
 
 
 @lru_cache(1 << 17)
@@ -56,7 +56,7 @@ class Model:
 class Scorer:
     """Emission scores of words, kept for each distinct word up to a limit."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
+    def __init__(self, model: Model, limit: int = 600_000):
         self.m, self.limit, self.known = model, limit, {}
         self.scores = np.zeros((1024, len(model.labels)), np.float32)
 
@@ -85,8 +85,9 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, model: Model, ex
     order = np.argsort(-lengths, kind="stable")
     first = (np.cumsum(lengths) - lengths)[order]
     long_ = lengths[order]
-    p = np.exp(emission - emission.max(axis=1, keepdims=True)).astype(np.float64)
-    step, begin = np.exp(model.move - model.move.max()), np.exp(model.start - model.start.max())
+    p = np.exp(emission - emission.max(axis=1, keepdims=True)).astype(np.float32)
+    step, begin = (np.exp(x - x.max()).astype(np.float32) for x in (model.move, model.start))
+    one = np.ones((size, 1), np.float32)  # row sums as a product: faster than a sum over a short axis
     alpha, beta = np.empty_like(p), np.empty_like(p)
     moves = np.zeros((size, size))
     top = int(long_[0]) if n else 0
@@ -94,7 +95,7 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, model: Model, ex
     for t in range(top):
         at = first[: active[t]] + t
         a = p[at] * (begin if t == 0 else alpha[at - 1] @ step)
-        alpha[at] = a / a.sum(axis=1, keepdims=True)
+        alpha[at] = a / (a @ one)
     for t in range(top - 1, -1, -1):
         at = first[: active[t]] + t
         k = active[t + 1] if t + 1 < top else 0
@@ -106,9 +107,9 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, model: Model, ex
             if expect:
                 joint = np.einsum("ni,ij,nj->nij", alpha[at[:k]], step, pb)
                 moves += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            beta[at[:k]] = b / b.sum(axis=1, keepdims=True)
+            beta[at[:k]] = b / (b @ one)
     post = alpha * beta
-    return post / np.maximum(post.sum(axis=1, keepdims=True), 1e-300), moves
+    return post / np.maximum(post @ one, 1e-30), moves
 
 
 def train_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
@@ -259,7 +260,7 @@ def label_documents(docs: DataFrame, model: Model, folds: int = 5, words_at_once
                 nonlocal words, lengths, rows
                 if words:
                     post, _ = forward_backward(scorer.rows(words), np.array(lengths), m, False)
-                    mass = np.add.reduceat(post, np.cumsum(lengths) - lengths, axis=0)
+                    mass = np.add.reduceat(post.astype(np.float64), np.cumsum(lengths) - lengths, axis=0)
                     for r, v, n in zip(rows, mass, lengths, strict=True):
                         k = int(v.argmax())
                         out[r] = (m.labels[k], min(1.0, float(v[k]) / n))
