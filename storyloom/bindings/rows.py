@@ -305,13 +305,10 @@ def chapters_pending(spark, sf):
 
 @query(f"SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains({loose_sql('d.text')}, {loose_sql('substr(b.text, 1, 60)')})")
 def marker_bearing(spark, sf):
-    """Documents that hold a marker. Markers are grams' first words: candidates share one hashed gram of the marker's length."""
+    """Documents that hold a marker: those that share its first gram are candidates, and only these are searched."""
     m = t(spark, sf, "benchmark").select(X.loose(F.substring("text", 1, 60)).alias("m")).where("m <> ''").distinct()
     d = t(spark, sf, "documents").select("doc_id", X.loose(F.col("text")).alias("body"))
-    n = 12  # characters of the gram that must be shared: every marker is longer
-    keyed = m.withColumn("g", F.substring("m", 1, n))
-    grams = d.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - n + 1, F.lit(1))), lambda i: F.substring("body", i, F.lit(n))))).alias("g"))
-    return grams.join(keyed, "g").where(F.col("body").contains(F.col("m"))).select("doc_id").distinct()
+    return J.holding(d, m, 12)
 
 
 @query(f"WITH {EVIDENCE_SQL} SELECT DISTINCT claim_id, chunk_id FROM (SELECT l_partkey AS claim_id, chunk_id FROM evidence WHERE idx = 1 UNION ALL SELECT c.l_partkey, e.chunk_id FROM evidence c JOIN evidence e ON c.node_id = e.node_id WHERE c.idx = 2)")

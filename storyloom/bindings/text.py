@@ -110,6 +110,22 @@ def pack_chunks(spark, sf):
     return chunk_rows(spark, sf).select("doc_id", "chunk_index", "start", "stop", F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"))
 
 
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT c.doc_id, CAST(chunk - 1 AS INT) AS chunk_index, start, stop FROM chunks c")
+def pack_chunks_udtf(spark, sf):
+    """The table function in a lateral join; with no overlap it gives what pack_chunks gives."""
+    X.register_pack_chunks(spark)
+    t(spark, sf, "documents").createOrReplaceTempView("storyloom_texts")
+    return spark.sql("SELECT doc_id, c.chunk_index, c.start, c.stop FROM storyloom_texts, LATERAL pack_chunks(text, 100, 0) c")
+
+
+@query("SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine_udf(spark, sf):
+    """Each vector with the next one."""
+    e = t(spark, sf, "embeddings").select("vec_id", "embedding")
+    j = e.alias("a").join(e.alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1)
+    return j.select(F.col("a.vec_id").alias("vec_id"), F.col("b.vec_id").alias("other"), F.round(X.cosine("a.embedding", "b.embedding"), 6).alias("cosine"))
+
+
 LINES_SQL = f"""l AS (SELECT doc_id, i, unnest(string_split(s, chr(10))) AS p, generate_subscripts(string_split(s, chr(10)), 1) AS j FROM (SELECT doc_id, unnest({SENT_SQL}) AS s, generate_subscripts({SENT_SQL}, 1) AS i FROM documents)),
 c AS (SELECT doc_id, i, j, trim(p) AS p, unnest(range(0, CAST(floor((length(trim(p)) - 1) / 200) AS INT) + 1)) AS k FROM l WHERE trim(p) <> ''),
 lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) AS line_no, substr(p, CAST(k * 200 + 1 AS INT), 200) AS line FROM c)"""

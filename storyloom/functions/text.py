@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,6 +115,19 @@ def pack_chunks(text: Column, parts: Column, size: int = 100, overlap: int = 0)
     return pack(text, parts)
 
 
+class PackChunks:
+    """Table function (text, size, overlap) to rows of chunk_index, start, stop, chunk_text."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        parts = [m.group() for m in re.finditer(SENTENCE, text or "")]
+        for i, (s, e) in enumerate(pack_spans(find_spans(text or "", parts), size, overlap)):
+            yield i, s, e, text[s:e]
+
+
+def register_pack_chunks(spark) -> None:
+    spark.udtf.register("pack_chunks", F.udtf(PackChunks, returnType="chunk_index int, start int, stop int, chunk_text string"))
+
+
 def pack_pieces(lines: Column, size: int = 3000) -> Column:
     """For each numbered line the number of its piece, from 1: a piece closes before the line that would pass size."""
 
@@ -190,6 +205,18 @@ def wratio_of(a: str, b: str) -> float:
     return best
 
 
+@F.pandas_udf(T.DoubleType())
+def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of two columns of vectors, a batch at a time; 0 where one is zero, null where one is null."""
+    ok = a.notna() & b.notna()
+    out = pd.Series([None] * len(a), dtype="float64", index=a.index)
+    if ok.any():
+        x, y = np.stack(a[ok].to_numpy()).astype(float), np.stack(b[ok].to_numpy()).astype(float)
+        n = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+        out[ok] = np.einsum("ij,ij->i", x, y) / np.where(n > 0, n, 1)
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def wratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else wratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
