@@ -170,7 +170,7 @@ def short_label(c: Column, n: int = 24) -> Column:
 
 def trigrams(c: Column) -> Column:
     n = norm(c)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(n) - 2, F.lit(1))), lambda i: F.substring(n, i, F.lit(3))))
+    return F.when(F.length(n) < 3, F.array(n)).otherwise(F.array_distinct(F.regexp_extract_all(n, F.lit("(?s)(?=(.{3}))"), F.lit(1))))
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:

@@ -95,8 +95,9 @@ def cited_closure(cited: DataFrame, bridge: DataFrame) -> DataFrame:
 def holding(texts: DataFrame, markers: DataFrame, n: int) -> DataFrame:
     """(doc_id) of texts (doc_id, body) that hold a marker (m). Markers are found by their first n characters; shorter ones are searched for in every text."""
     lengths = markers.select(F.least(F.length("m"), F.lit(n)).alias("k"), F.substring("m", 1, n).alias("g"), "m")
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("body") - k + 1, F.lit(1))), lambda i: F.substring("body", i, F.lit(k)))
-    places = texts.select("doc_id", F.explode(F.array_distinct(grams(n))).alias("g"))
+    # A look-ahead finds the gram at every place in one pass; substring() would count characters from the start each time.
+    grams = F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    places = texts.select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
     long_ = places.join(lengths.where(F.col("k") == n), "g").select("doc_id", "m").distinct()
     found = long_.join(texts, "doc_id").where(F.col("body").contains(F.col("m"))).select("doc_id")
     short = texts.join(lengths.where(F.col("k") < n), F.col("body").contains(F.col("m")), "left_semi").select("doc_id")
