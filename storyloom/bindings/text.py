@@ -101,8 +101,9 @@ chunks AS (SELECT doc_id, chunk, CAST(min(b) AS INT) AS start, CAST(max(e) AS IN
 def chunk_rows(spark, sf, size=100):
     """(doc_id, source, chunk_index from 0, start, stop, chunk_text) of every document."""
     d = t(spark, sf, "documents")
-    spans = d.select("doc_id", "source", "text", F.posexplode(X.pack_chunks(F.col("text"), X.sentences(F.col("text")), size)).alias("chunk_index", "s"))
-    return spans.select("doc_id", "source", "chunk_index", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("chunk_text"))
+    packed = d.select("doc_id", "source", X.pack_chunks(F.col("text"), X.sentences(F.col("text")), size).alias("p"))
+    spans = packed.select("doc_id", "source", F.posexplode("p").alias("chunk_index", "s"))
+    return spans.select("doc_id", "source", "chunk_index", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.chunk").alias("chunk_text"))
 
 
 @query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT c.doc_id, CAST(chunk - 1 AS INT) AS chunk_index, start, stop, md5(substr(text, start + 1, stop - start)) AS chunk_md5 FROM chunks c JOIN documents d USING (doc_id)")

@@ -95,6 +95,7 @@ def pack_spans(spans: list[tuple[int, int]], size: int, overlap: int = 0) -> lis
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+CHUNKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("chunk", T.StringType())]))
 
 
 @F.pandas_udf(SPANS)
@@ -105,12 +106,12 @@ def sentence_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
 
 
 def pack_chunks(text: Column, parts: Column, size: int = 100, overlap: int = 0) -> Column:
-    """Spans of chunks of a text from its sentences."""
+    """Spans of chunks of a text from its sentences, with the chunks themselves."""
 
-    @F.pandas_udf(SPANS)
+    @F.pandas_udf(CHUNKS)
     def pack(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for t, p in batches:
-            yield pd.Series([[{"start": s, "end": e} for s, e in pack_spans(find_spans(x or "", list(y) if y is not None else []), size, overlap)] for x, y in zip(t, p, strict=True)])
+            yield pd.Series([[{"start": s, "end": e, "chunk": x[s:e]} for s, e in pack_spans(find_spans(x or "", list(y) if y is not None else []), size, overlap)] for x, y in zip(t, p, strict=True)])
 
     return pack(text, parts)
 
