@@ -26,7 +26,8 @@ def rewire(edges: DataFrame, canonical: DataFrame) -> DataFrame:
 def induced(members: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, src, dst): edges with both ends among the members of a key."""
     a, b = members.select(key, F.col("node").alias("src")), members.select(key, F.col("node").alias("dst"))
-    return edges.join(a, "src").join(b, [key, "dst"]).select(key, "src", "dst").distinct()
+    # Node sets are small, edges of a node many: the ends meet within their set first.
+    return a.join(b, key).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select(key, "src", "dst").distinct()
 
 
 def rendered(lines: DataFrame, key: str) -> DataFrame:
