@@ -16,14 +16,16 @@ from storyloom.llm.common import NO_ID, components, row_id, scratch
 PAIRWISE = 128
 
 
-def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of a text's word shingles (ASCII lower case); 0 without a word."""
+def word_grams(text: str | None, n: int) -> list[bytes]:
+    """The text's shingles of n words (ASCII lower case); a shorter text is one shingle, one without a word has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.split() and lower() know ASCII only
     if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    grams = zip(*(words[i:] for i in range(n)), strict=False) if len(words) >= n else [words]
-    h = np.fromiter((digest(b" ".join(g), seed) for g in grams), np.uint64)
+        return []
+    return [b" ".join(g) for g in zip(*(words[i:] for i in range(n)), strict=False)] if len(words) >= n else [b" ".join(words)]
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that most of the hashes have; 0 without any."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):  # bounded memory for long texts
         part = h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -31,6 +33,12 @@ def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of a text's word shingles (ASCII lower case); 0 without a word."""
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(g, seed) for g in word_grams(text, n)), np.uint64))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(id, fp) for each row of docs; fp holds the 64 bits as a signed long, id the doc_id (null: the largest long)."""
 
