@@ -176,17 +176,17 @@ def range_min(x: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-RUNS = "bucket int, id binary, start binary, n binary, w1 binary, w2 binary"
+RUNS = "bucket int, id binary, th binary, start binary, n binary, w1 binary, w2 binary"
 
 
 def windows(docs: DataFrame, buckets: int, window: int) -> DataFrame:
-    """Fingerprints of the windows at repeated anchors, in buckets by anchor; docs: (id, text, anchors)."""
+    """Fingerprints of the windows at repeated anchors, in buckets by anchor; docs: (id, th, text, anchors)."""
 
     def run(batches):
         one, two = Names(11), Names(12)
         for b in batches:
-            parts: dict[str, list] = {k: [] for k in ("h", "id", "start", "n", "w1", "w2")}
-            ids, places = b.column("id").to_pylist(), b.column("anchors")
+            parts: dict[str, list] = {k: [] for k in ("h", "id", "th", "start", "n", "w1", "w2")}
+            ids, ths, places = b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("anchors")
             for at, per in batches_of(b.column("text")):
                 flat = [w for ws in per for w in ws]
                 w1 = rolling(np.fromiter(map(one.__getitem__, flat), np.uint64, len(flat)), window, 0x9E3779B97F4A7C15)
@@ -198,7 +198,7 @@ def windows(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                         pos, a, e, h = (c.to_numpy(zero_copy_only=False) for c in found)
                         start, n = pos - a, a - e + 1
                         where = np.repeat(begin + start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        for k, v in (("h", h.view(np.uint64)), ("id", np.full(len(n), ids[i])), ("start", start), ("n", n), ("w1", mix(w1[where])), ("w2", mix(w2[where], 1))):
+                        for k, v in (("h", h.view(np.uint64)), ("id", np.full(len(n), ids[i])), ("th", np.full(len(n), ths[i])), ("start", start), ("n", n), ("w1", mix(w1[where])), ("w2", mix(w2[where], 1))):
                             parts[k].append(v)
                     begin += len(ws)
             if not parts["h"]:
@@ -211,39 +211,39 @@ def windows(docs: DataFrame, buckets: int, window: int) -> DataFrame:
                 r = np.flatnonzero(bucket == k)
                 n = c["n"][r]
                 w = np.repeat(ends[r] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows.append((k, c["id"][r].astype(np.int64).tobytes(), c["start"][r].astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), c["w1"][w].tobytes(), c["w2"][w].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], ["bucket", "id", "start", "n", "w1", "w2"])
+                rows.append((k, c["id"][r].astype(np.int64).tobytes(), c["th"][r].astype(np.int64).tobytes(), c["start"][r].astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), c["w1"][w].tobytes(), c["w2"][w].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 6, strict=True)], ["bucket", "id", "th", "start", "n", "w1", "w2"])
 
     return docs.mapInArrow(run, RUNS)
 
 
 def later(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(id, lo, hi): ranges of window starts whose words occur earlier, among the windows of one bucket."""
-    ids, start, n, w1, w2 = (np.frombuffer(b"".join(pdf[k]), t) for k, t in (("id", np.int64), ("start", np.int64), ("n", np.int32), ("w1", np.uint64), ("w2", np.uint64)))
+    """(id, th, lo, hi): ranges of window starts whose words occur earlier, among the windows of one bucket."""
+    ids, ths, start, n, w1, w2 = (np.frombuffer(b"".join(pdf[k]), t) for k, t in (("id", np.int64), ("th", np.int64), ("start", np.int64), ("n", np.int32), ("w1", np.uint64), ("w2", np.uint64)))
     run = np.repeat(np.arange(len(n)), n)
     at = np.repeat(start, n) + np.arange(len(w1)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((at, ids[run], w2, w1))
-    a, b, i, p = w1[order], w2[order], ids[run][order], at[order]
+    order = np.lexsort((at, ths[run], ids[run], w2, w1))
+    a, b, i, t, p = w1[order], w2[order], ids[run][order], ths[run][order], at[order]
     same = np.zeros(len(a), bool)
     same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     head = np.flatnonzero(~same)
     first = head[np.cumsum(~same) - 1] if len(a) else head
     gone = np.zeros(len(a), bool)
-    gone[order] = (i != i[first]) | (p != p[first])
+    gone[order] = (i != i[first]) | (t != t[first]) | (p != p[first])
     new = np.ones(len(a), bool)
     new[1:] = (run[1:] != run[:-1]) | ~gone[:-1]
     lo = np.flatnonzero(gone & new)
     last = np.ones(len(a), bool)
     last[:-1] = (run[1:] != run[:-1]) | ~gone[1:]
     hi = np.flatnonzero(gone & last)
-    return pd.DataFrame({"id": ids[run[lo]], "lo": at[lo], "hi": at[hi] + 1})
+    return pd.DataFrame({"id": ids[run[lo]], "th": ths[run[lo]], "lo": at[lo], "hi": at[hi] + 1})
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (with keep_text: text, of the kept words) for each row of docs.
 
     A word goes if a window of `window` words covers it that also starts earlier: in a smaller doc_id, or earlier in
-    the same document. Of equal texts only the one with the smallest doc_id is searched; the others lose every
+    the same document. Texts that share an id, or have none, are ordered by a hash. Of equal texts only the one with the smallest doc_id is searched; the others lose every
     window. Rows that agree in doc_id and text are one document; null doc_ids are one largest id. Null and empty
     texts have no word. Other columns are not read; an empty table gives no row.
     """
@@ -252,7 +252,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, keep_text: bool = False)
     buckets = repeats.buckets_for(status)
     places = repeats.repeated_anchors(base, lambda ths, texts: anchors(ths, texts, window), buckets)
     packed = scratch(windows(repeats.with_anchors(base, status, places), buckets, window), "windows")
-    found = packed.groupBy("bucket").applyInPandas(later, "id long, lo long, hi long")
+    found = packed.groupBy("bucket").applyInPandas(later, "id long, th long, lo long, hi long")
     told = repeats.with_spans(base, status, found)
 
     def run(batches):

@@ -108,15 +108,18 @@ def repeated_anchors(base: DataFrame, anchors, buckets: int) -> DataFrame:
 
 
 def with_anchors(base: DataFrame, status: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(id, text, anchors): one document for each text with repeated anchors."""
+    """(id, th, text, anchors): one document for each text with repeated anchors."""
     info = scratch(status.where("id = rep").join(anchors, "th").select("id", "md5", "anchors"), "places")
-    return base.join(info, ["id", "md5"]).select("id", "text", "anchors")
+    return base.join(info, ["id", "md5"]).select("id", "th", "text", "anchors")
 
 
 def with_spans(base: DataFrame, status: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, copy, copies, spans, text): found (id, lo, hi) are half-open ranges of window starts to act on."""
-    spans = found.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("id", "rep")
-    told = status.join(spans, "rep", "left").where("copies > 1 OR id <> rep OR spans IS NOT NULL")
+    """(doc_id, copy, copies, spans, text): found (id, th, lo, hi) are half-open ranges of window starts to act on.
+
+    A text is named by id and th: null ids are one id, and an id may come with several texts.
+    """
+    spans = found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("id", "rep")
+    told = status.join(spans, ["rep", "th"], "left").where("copies > 1 OR id <> rep OR spans IS NOT NULL")
     told = scratch(told.select("id", "md5", (F.col("id") != F.col("rep")).alias("copy"), "copies", F.when(F.col("id") == F.col("rep"), F.col("spans")).alias("spans")), "spans")
     joined = base.join(told, ["id", "md5"], "left")
     return joined.select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "spans", "text")

@@ -25,8 +25,8 @@ from storyloom.llm.recompress import rolling
 
 #: Bytes of a window and of an anchor's gram; bytes handled at once; passages laid out at once.
 WINDOW, GRAM, AT_ONCE, LAYOUT = 200, 64, 2 << 20, 4096
-PASSAGES = "bucket int, id binary, pos binary, a binary, b binary, shown binary, content binary"
-FOUND = "id long, lo long, hi long"
+PASSAGES = "bucket int, id binary, th binary, pos binary, a binary, b binary, shown binary, content binary"
+FOUND = "id long, th long, lo long, hi long"
 _symbol = mix(np.arange(256, dtype=np.uint64), 9)
 
 
@@ -94,29 +94,29 @@ def passages(docs: DataFrame, buckets: int, window: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, places = b.column("id").to_pylist(), b.column("anchors")
+            ids, ths, places = b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("anchors")
             seen: dict[tuple, list] = {}
             for i, t in enumerate(b.column("text")):
                 if not places[i].is_valid or not len(places[i]):
                     continue
                 raw = raw_of(t)
                 for pos, a, e, h in zip(*(c.to_pylist() for c in places[i].values.flatten()), strict=True):
-                    seen.setdefault((h, a, e, raw[pos - a : pos - e + window]), []).append((ids[i], pos))
+                    seen.setdefault((h, a, e, raw[pos - a : pos - e + window]), []).append((ids[i], ths[i], pos))
             rows: dict[int, list] = {}
             known = []
             for (h, a, e, content), where in seen.items():
                 distinct = dict.fromkeys(where)
                 rows.setdefault((h & (1 << 64) - 1) % buckets, []).append((*where[0], a, e, len(distinct) == 1, content))
                 if len(distinct) > 1:
-                    known += [(i, p, a, e, True, b"") for i, p in distinct]
+                    known += [(i, t, p, a, e, True, b"") for i, t, p in distinct]
             if known:
                 rows[-1] = known
-            columns = [[], [], [], [], [], [], []]
+            columns = [[], [], [], [], [], [], [], []]
             for k, r in rows.items():
-                for c, v in zip(columns, [k, *(np.array(x, t).tobytes() for x, t in zip(zip(*[x[:5] for x in r], strict=True), (np.int64, np.int64, np.int32, np.int32, np.uint8), strict=True)), b"".join(x[5] for x in r)], strict=True):
+                for c, v in zip(columns, [k, *(np.array(x, t).tobytes() for x, t in zip(zip(*[x[:6] for x in r], strict=True), (np.int64, np.int64, np.int64, np.int32, np.int32, np.uint8), strict=True)), b"".join(x[6] for x in r)], strict=True):
                     c.append(v)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "id", "pos", "a", "b", "shown", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "id", "th", "pos", "a", "b", "shown", "content"])
 
     return docs.mapInArrow(run, PASSAGES)
 
@@ -185,10 +185,10 @@ def repeated_windows(content: bytes, a: np.ndarray, b: np.ndarray, window: int)
 
 def solve(window: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, pos, a, b, shown = (np.frombuffer(b"".join(pdf[k]), t) for k, t in (("id", np.int64), ("pos", np.int64), ("a", np.int32), ("b", np.int32), ("shown", np.uint8)))
+        ids, ths, pos, a, b, shown = (np.frombuffer(b"".join(pdf[k]), t) for k, t in (("id", np.int64), ("th", np.int64), ("pos", np.int64), ("a", np.int32), ("b", np.int32), ("shown", np.uint8)))
         found = repeated_windows(b"".join(pdf["content"]), a.astype(np.int64), b.astype(np.int64), window)
         if not found:
-            return pd.DataFrame({"id": ids[:0], "lo": pos[:0], "hi": pos[:0]})
+            return pd.DataFrame({"id": ids[:0], "th": ths[:0], "lo": pos[:0], "hi": pos[:0]})
         who = np.concatenate([w for w, _ in found])
         start = pos[who] - np.concatenate([np.full(len(w), d) for w, d in found])
         keep = shown[who] > 0
@@ -199,7 +199,7 @@ def solve(window: int):
         new[1:] = (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(who)) - 1 if len(who) else lo
-        return pd.DataFrame({"id": ids[who[lo]], "lo": start[lo], "hi": start[hi] + 1})
+        return pd.DataFrame({"id": ids[who[lo]], "th": ths[who[lo]], "lo": start[lo], "hi": start[hi] + 1})
 
     return run
 
@@ -207,8 +207,8 @@ def solve(window: int):
 def known_windows(batches):
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, pos, a, b = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in (("id", np.int64), ("pos", np.int64), ("a", np.int32), ("b", np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pos - a), pa.array(pos - b + 1)], ["id", "lo", "hi"])
+            ids, ths, pos, a, b = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in (("id", np.int64), ("th", np.int64), ("pos", np.int64), ("a", np.int32), ("b", np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ths), pa.array(pos - a), pa.array(pos - b + 1)], ["id", "th", "lo", "hi"])
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_bytes: bool = False) -> DataFrame:
