@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.bindings.base import EVIDENCE_SQL, evidence
-from storyloom.bindings.rows import CONTEXT_SQL, context_rows
-from storyloom.bindings.text import LINES_SQL, NOISE_SQL, line_rows, loose_sql
+from storyloom.bindings.rows import CONTEXT_SQL, context_rows, held_passages
+from storyloom.bindings.text import LINES_SQL, NOISE_SQL, line_rows, loose_sql, norm_sql
 from storyloom.catalog import query, t
 from storyloom.functions import text as X
 from storyloom.operators import aggregates as A
@@ -37,7 +37,7 @@ def established_chapter(spark, sf):
 def index_progress(spark, sf):
     want = F.array(*map(F.lit, (1, 7, 20, 100, 300)))
     have = F.array_sort(F.array_intersect(F.collect_set(F.when(F.col("doc_id").isin(1, 7, 20, 100, 300), F.col("doc_id"))), want.cast("array<long>")))
-    return t(spark, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("latest"), F.array_join(have.cast("array<string>"), ",").alias("have"))
+    return t(spark, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("latest"), F.nullif(F.array_join(have.cast("array<string>"), ","), F.lit("")).alias("have"))
 
 
 @query("SELECT conv_id, array_to_string(list_sort(list_distinct(list(turn))), ',') AS turns FROM conversations WHERE turn % 4 <> 2 GROUP BY conv_id")
@@ -133,18 +133,27 @@ def claim_pool(spark, sf):
     return pool.select("claim_id", F.md5(F.col("p").cast("binary")).alias("pool_md5"))
 
 
-REACH_SQL = f"r AS (SELECT d.source AS draft, d.doc_id, b.item_id, contains({loose_sql('d.text')}, {loose_sql('substr(b.text, 1, 80)')}) AS hit FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40)"
+REACH_SQL = f"""bl AS (SELECT item_id, {loose_sql('text')} AS m FROM benchmark), dl AS (SELECT doc_id, source, {loose_sql('text')} AS body, row_number() OVER (PARTITION BY md5({norm_sql('text')}) ORDER BY doc_id) = 1 AS first FROM documents),
+hp AS MATERIALIZED (SELECT source, item_id, first FROM dl JOIN bl ON m <> '' AND contains(body, m)), r AS (SELECT s.source AS draft, b.item_id, EXISTS (SELECT 1 FROM hp WHERE hp.source = s.source AND hp.item_id = b.item_id) AS hit FROM (SELECT DISTINCT source FROM documents) s, benchmark b)"""
 
 
-def reach_rows(spark, sf):
-    d = t(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") % 40).alias("k"), X.loose(F.col("text")).alias("body"))
-    b = t(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 40).alias("k"), X.loose(F.substring("text", 1, 80)).alias("m"))
-    return d.join(b, "k").select(F.col("source").alias("draft"), "doc_id", "item_id", F.col("body").contains(F.col("m")).alias("hit"))
+def reached(spark, sf):
+    """(draft, item_id): passages that a document of the draft holds, whole."""
+    d = t(spark, sf, "documents").select("doc_id", F.col("source").alias("draft"))
+    return d.join(held_passages(spark, sf), "doc_id").select("draft", F.col("marker_id").alias("item_id")).distinct()
+
+
+def reach_counts(spark, sf, items):
+    """(draft, truths, reached) for every draft."""
+    n = items.agg(F.count("*").alias("truths"))
+    hits = reached(spark, sf).join(items, "item_id", "left_semi").groupBy("draft").agg(F.count("*").alias("reached"))
+    drafts = t(spark, sf, "documents").select(F.col("source").alias("draft")).distinct()
+    return drafts.join(hits, "draft", "left").crossJoin(F.broadcast(n)).select("draft", "truths", F.coalesce("reached", F.lit(0)).alias("reached"))
 
 
 @query(f"WITH {REACH_SQL} SELECT coalesce(draft, 'total') AS draft, count(*) AS truths, count(*) FILTER (hit) AS reached, round(count(*) FILTER (hit) / count(*), 6) AS share FROM r GROUP BY ROLLUP (draft)")
 def coverage_reach(spark, sf):
-    r = reach_rows(spark, sf).rollup("draft").agg(F.count("*").alias("truths"), F.count_if("hit").alias("reached"))
+    r = reach_counts(spark, sf, t(spark, sf, "benchmark").select("item_id")).rollup("draft").agg(F.sum("truths").alias("truths"), F.sum("reached").alias("reached"))
     return r.select(F.coalesce("draft", F.lit("total")).alias("draft"), "truths", "reached", F.round(F.col("reached") / F.col("truths"), 6).alias("share"))
 
 
@@ -162,13 +171,14 @@ def threshold_curve(spark, sf):
 
 @query(f"WITH {SCORES_SQL} SELECT user_id, max(score) AS best, max(score) - min(score) AS spread, array_to_string(list_sort(list(score)), ',') AS scores, arg_max(event_id, score * 10000000000 - event_id) AS best_claim FROM s GROUP BY user_id")
 def gt_spread(spark, sf):
-    g = scores(spark, sf).groupBy("user_id").agg(F.max("score").alias("best"), (F.max("score") - F.min("score")).alias("spread"), F.array_join(F.sort_array(F.collect_list("score")).cast("array<string>"), ",").alias("scores"), F.max(F.struct("score", -F.col("event_id"))).alias("m"))
-    return g.select("user_id", "best", "spread", "scores", (-F.col("m.col2")).alias("best_claim"))
+    s = scores(spark, sf)
+    g = s.groupBy("user_id").agg(F.max("score").alias("best"), (F.max("score") - F.min("score")).alias("spread"), F.max(F.struct("score", -F.col("event_id"))).alias("m"))
+    return g.join(A.listed(s, "user_id", "score", "scores"), "user_id").select("user_id", "best", "spread", "scores", (-F.col("m.col2")).alias("best_claim"))
 
 
 @query(f"WITH {SCORES_SQL} SELECT user_id, list_sort(list(score))[count(*) // 2 + 1] AS vote FROM s GROUP BY user_id")
 def verdict_vote(spark, sf):
-    return scores(spark, sf).groupBy("user_id").agg(A.upper_median(F.col("score")).alias("vote"))
+    return scores(spark, sf).groupBy("user_id").agg(A.upper_median("score").cast("long").alias("vote"))
 
 
 @query(f"WITH {EVIDENCE_SQL}, c AS (SELECT DISTINCT c.l_partkey AS claim_id, e.chunk_id FROM evidence c JOIN evidence e ON c.node_id = e.node_id WHERE c.idx = 1) SELECT p_partkey AS claim_id FROM part WHERE p_size % 11 >= 7 AND EXISTS (SELECT 1 FROM c WHERE claim_id = p_partkey AND chunk_id % 13 = 0)")
@@ -227,11 +237,14 @@ def context_savings(spark, sf):
     return once.groupBy("source").agg(F.sum("all").alias("channel_tokens"), F.sum("one").alias("store_tokens"))
 
 
-@query(f"WITH {REACH_SQL} SELECT doc_id, item_id FROM r WHERE hit <> (doc_id % 2 = 0 AND hit)")
+@query(f"WITH {REACH_SQL} SELECT DISTINCT source AS draft, item_id FROM hp h WHERE NOT EXISTS (SELECT 1 FROM hp k WHERE k.first AND k.source = h.source AND k.item_id = h.item_id)")
 def reach_parity(spark, sf):
-    r = reach_rows(spark, sf)
-    other = r.select("doc_id", "item_id", ((F.col("doc_id") % 2 == 0) & F.col("hit")).alias("store_hit"))
-    return r.join(other, ["doc_id", "item_id"]).where(~F.col("hit").eqNullSafe(F.col("store_hit"))).select("doc_id", "item_id")
+    """Passages that a draft's channel reaches but its store doesn't, as a text that several drafts have is stored under the first only."""
+    d = t(spark, sf, "documents").select("doc_id", F.col("source").alias("draft"), F.md5(X.norm(F.col("text")).cast("binary")).alias("k"))
+    stored = d.groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("stored"))
+    hits = held_passages(spark, sf).join(d.select("doc_id", "draft"), "doc_id").join(stored, "doc_id", "left")
+    flags = hits.groupBy("draft", F.col("marker_id").alias("item_id")).agg(F.lit(True).alias("channel"), F.coalesce(F.max("stored"), F.lit(False)).alias("store"))
+    return flags.where(~F.col("channel").eqNullSafe(F.col("store"))).select("draft", "item_id")
 
 
 @query("SELECT user_id, count(*) AS backlog FROM events WHERE event_type IN ('view', 'click') GROUP BY ROLLUP (user_id)")
@@ -253,14 +266,14 @@ def store_fingerprint(spark, sf):
 
 @query(f"WITH {REACH_SQL} SELECT draft, count(*) AS negatives, count(*) FILTER (hit) AS matched FROM r WHERE item_id % 2 = 1 GROUP BY draft")
 def negative_table(spark, sf):
-    return reach_rows(spark, sf).where("item_id % 2 = 1").groupBy("draft").agg(F.count("*").alias("negatives"), F.count_if("hit").alias("matched"))
+    return reach_counts(spark, sf, t(spark, sf, "benchmark").where("item_id % 2 = 1").select("item_id")).withColumnsRenamed({"truths": "negatives", "reached": "matched"})
 
 
-@query("SELECT conv_id, coalesce(string_agg('[' || r || '] ' || x, chr(10) ORDER BY r) FILTER (x IS NOT NULL), '(nothing new)') AS content FROM (SELECT conv_id, substr(text, 1, 20) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant' UNION ALL SELECT DISTINCT conv_id, NULL, NULL FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, coalesce(string_agg('[' || r || '] ' || x, chr(10) ORDER BY r) FILTER (x IS NOT NULL), '(nothing new)') AS content FROM (SELECT conv_id, text AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'assistant' UNION ALL SELECT DISTINCT conv_id, NULL, NULL FROM conversations) GROUP BY conv_id")
 def channel_content(spark, sf):
     """Numbered results of each conversation; those without any get a placeholder."""
     c = t(spark, sf, "conversations")
-    kept = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.substring("text", 1, 20).alias("x"))))).alias("k"))
+    kept = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.col("text").alias("x"))))).alias("k"))
     lines = F.transform("k", lambda e, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), e["x"]))
     return kept.select("conv_id", F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit("(nothing new)")).alias("content"))
 

@@ -6,40 +6,70 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storyloom.bindings.base import EVIDENCE_SQL, FACTS_SQL, evidence, facts
-from storyloom.bindings.rows import CONTEXT_SQL, context_rows
-from storyloom.bindings.text import chunk_rows
+from storyloom.bindings.rows import CONTEXT_SQL, held_passages
+from storyloom.bindings.text import CHUNKS_SQL, chunk_rows, loose_sql
 from storyloom.bindings.windows import RECENT_SQL, recent_rows
 from storyloom.catalog import query, t
 from storyloom.functions import rules
 from storyloom.functions import text as X
+from storyloom.operators import aggregates as A
 from storyloom.operators import graph as G
 from storyloom.operators import search as S
+from storyloom.operators.joins import entity_match, fact_context, names_of, related_by_name, resolve_cited
+from storyloom.sources.tables import kept
 
-TOPK_SQL = """vt AS (SELECT query_id, node_id, score FROM (SELECT q.vec_id AS query_id, v.vec_id AS node_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id % 25 = 0) WHERE r <= 5)"""
-WORDS = "([a-z0-9à-öø-ÿ]+)"
-BM25_SQL = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}', 1)) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), sz AS (SELECT doc_id, count(*) AS len FROM w GROUP BY 1), tot AS (SELECT count(*) AS n, avg(len) AS a FROM sz),
-q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{WORDS}', 1)) AS term FROM benchmark), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT item_id AS query_id, doc_id AS node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN sz USING (doc_id), tot GROUP BY 1, 2),
-ft AS (SELECT query_id, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM sc) WHERE r <= 5)"""
+#: As search.WORD for text without Han, Hangul or kana, such as the driver's.
+WORDS = r"([\p{L}\p{M}\p{N}]+)"
 
 
-def vector_hits(spark, sf, k=5):
-    e = t(spark, sf, "embeddings")
-    return S.vector_topk(e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec")), k)
+def vector_sql(p: str, nodes: str, asked: str, k: int) -> str:
+    """{p}vt: what vector_topk gives for asked (query_id, vec, up_to) and nodes (node_id, vec, chapter)."""
+    score = "list_cosine_similarity(q.vec, v.vec)"
+    return f"""{p}vt AS (SELECT query_id, node_id, score FROM (SELECT q.query_id, v.node_id, {score} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round({score}, 9) DESC, v.node_id) AS r
+FROM {asked} q, {nodes} v WHERE q.vec IS NOT NULL AND v.vec IS NOT NULL AND (q.up_to IS NULL OR v.chapter IS NULL OR v.chapter < q.up_to)) WHERE r <= {k})"""
+
+
+def text_sql(p: str, nodes: str, asked: str, k: int) -> str:
+    """{p}ft: what fulltext_topk gives for asked (query_id, text, up_to) and nodes (node_id, text, chapter)."""
+    return f"""{p}w AS (SELECT node_id, unnest(regexp_extract_all(lower(text), '{WORDS}', 1)) AS term FROM {nodes}), {p}tf AS (SELECT node_id, term, count(*) AS tf FROM {p}w GROUP BY ALL), {p}sz AS (SELECT node_id, any_value(chapter) AS chapter, any_value(len) AS len FROM (SELECT node_id, count(*) AS len FROM {p}w GROUP BY 1) JOIN {nodes} USING (node_id) GROUP BY 1), {p}tot AS (SELECT count(*) AS n, avg(len) AS a FROM {p}sz),
+{p}q AS (SELECT DISTINCT query_id, up_to, unnest(regexp_extract_all(lower(text), '{WORDS}', 1)) AS term FROM {asked}), {p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term),
+{p}sc AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM {p}q JOIN {p}df USING (term) JOIN {p}tf USING (term) JOIN {p}sz USING (node_id), {p}tot WHERE up_to IS NULL OR chapter IS NULL OR chapter < up_to GROUP BY 1, 2),
+{p}ft AS (SELECT query_id, node_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM {p}sc) WHERE r <= {k})"""
+
+
+def hybrid_sql(p: str, nodes: str, asked: str, k: int, wide: int = 10) -> str:
+    """{p}hy: what search.searched gives."""
+    scaled = "SELECT query_id, node_id, CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END AS s FROM"
+    return f"""{vector_sql(p, nodes, asked, wide)}, {text_sql(p, nodes, asked, wide)},
+{p}hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM (SELECT query_id, node_id, round(max(s), 6) AS score FROM ({scaled} {p}vt UNION ALL {scaled} {p}ft) GROUP BY 1, 2)) WHERE rank <= {k})"""
+
+
+#: Requests: benchmark passages with the vector of their number. Nodes: documents with theirs, in the order of chapters.
+ASKED_SQL = "asked AS (SELECT item_id AS query_id, text, embedding::DOUBLE[] AS vec, NULL AS up_to FROM benchmark LEFT JOIN embeddings ON vec_id = item_id)"
+NODES_SQL = "nodes AS (SELECT doc_id AS node_id, text, embedding::DOUBLE[] AS vec, doc_id AS chapter FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"
 
 
-def text_hits(spark, sf, k=5):
-    return S.fulltext_topk(t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), t(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text"), k)
+def asked_rows(spark, sf):
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(e, "query_id", "left")
 
 
-@query(f"WITH {TOPK_SQL} SELECT * FROM vt")
+def node_rows(spark, sf):
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec"))
+    return t(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text", F.col("doc_id").alias("chapter")).join(e, "node_id", "left")
+
+
+@query(f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS vec, NULL AS up_to FROM embeddings WHERE vec_id % 25 = 0), v AS (SELECT vec_id AS node_id, embedding::DOUBLE[] AS vec, NULL AS chapter FROM embeddings), {vector_sql('', 'v', 'q', 5)} SELECT query_id, node_id, round(score, 6) AS score FROM vt")
 def vector_topk(spark, sf):
-    return vector_hits(spark, sf).select("query_id", "node_id", F.round("score", 6).alias("score"))
+    e = t(spark, sf, "embeddings")
+    hits = S.vector_topk(e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vec")), 5)
+    return hits.select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {BM25_SQL} SELECT query_id, node_id, score FROM ft")
+@query(f"WITH {ASKED_SQL}, {NODES_SQL}, {text_sql('', 'nodes', 'asked', 5)} SELECT query_id, node_id, score FROM ft")
 def fulltext_topk(spark, sf):
-    return text_hits(spark, sf).select("query_id", "node_id", "score")
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    return S.fulltext_topk(t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), docs, 5).select("query_id", "node_id", "score")
 
 
 HYBRID_SQL = """h AS (SELECT query_id, node_id, max(s) AS score FROM (SELECT l_partkey AS query_id, l_suppkey AS node_id, l_discount / nullif(max(l_discount) OVER (PARTITION BY l_partkey), 0) AS s FROM lineitem UNION ALL SELECT l_partkey, l_suppkey, l_tax / nullif(max(l_tax) OVER (PARTITION BY l_partkey), 0) FROM lineitem) GROUP BY ALL)"""
@@ -51,26 +81,58 @@ def hybrid_search(spark, sf):
     return S.hybrid(lt.withColumnRenamed("l_discount", "score").drop("l_tax"), lt.withColumnRenamed("l_tax", "score").drop("l_discount"), 3).select("query_id", "node_id", "score")
 
 
-@query()
+GRAPH_SQL = """m AS (SELECT l_orderkey AS k, unnest(['p' || l_partkey, 's' || l_suppkey, 'n' || s_nationkey, 'r' || a.n_regionkey, 'c' || o_custkey, 'n' || c_nationkey, 'r' || b.n_regionkey]) AS node FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation b ON b.n_nationkey = c_nationkey),
+mem AS (SELECT DISTINCT k, node FROM m), e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1 UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+sub AS (SELECT a.k, src, dst FROM e JOIN mem a ON a.node = src JOIN mem b ON b.node = dst AND b.k = a.k)"""
+
+
+def graph_edges(spark, sf):
+    edge = lambda a, x, b, y: [F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst")]
+    e = t(spark, sf, "lineitem").where("l_linenumber = 1").select(*edge("p", "l_partkey", "s", "l_suppkey"))
+    for name, cols in (("supplier", edge("s", "s_suppkey", "n", "s_nationkey")), ("customer", edge("c", "c_custkey", "n", "c_nationkey")), ("nation", edge("n", "n_nationkey", "r", "n_regionkey"))):
+        e = e.union(t(spark, sf, name).select(*cols))
+    return e.distinct()
+
+
+def subgraph_rows(spark, sf, keys=None):
+    """(k, src, dst): facts of a chunk, their neighbours and all ancestors of these, then the edges inside that set. keys: (k) of the chunks to look at, else all."""
+    lt = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"))
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("c"), "o_custkey").alias("node"))
+    if keys is not None:
+        lt, o = lt.join(keys, "k", "left_semi"), o.join(keys, "k", "left_semi")
+    near = lt.select("k", F.explode(F.array("p", "s")).alias("node")).union(o.join(lt.select("k").distinct(), "k", "left_semi")).distinct()
+    edges = graph_edges(spark, sf)
+    up = G.ancestors(edges.where(~F.col("src").startswith("p")))
+    members = near.union(near.join(up, "node").select("k", F.col("ancestor").alias("node"))).distinct()
+    return G.induced(members, edges, "k")
+
+
+CHUNK_NODES_SQL = f"{CHUNKS_SQL}, nodes AS (SELECT c.doc_id * 100000 + c.chunk - 1 AS node_id, c.doc_id AS chapter, substr(text, start + 1, stop - start) AS text, embedding::DOUBLE[] AS vec FROM chunks c JOIN documents d USING (doc_id) LEFT JOIN embeddings ON vec_id = c.doc_id)"
+
+
+@query(f"WITH RECURSIVE {CHUNK_NODES_SQL}, {ASKED_SQL}, {hybrid_sql('', 'nodes', 'asked', 5)}, {GRAPH_SQL}, g AS (SELECT k, count(*) AS edges FROM sub WHERE k IN (SELECT node_id // 100000 FROM hy) GROUP BY k) SELECT query_id, rank, node_id, chapter, md5(text) AS text_md5, score, coalesce(edges, 0) AS edges FROM hy JOIN nodes USING (node_id) LEFT JOIN g ON k = chapter")
 def hybrid_chunks(spark, sf):
-    """Full-text search over chunks joined with the vector hits of the same request, five for each benchmark passage."""
-    chunks = chunk_rows(spark, sf).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("node_id"), "doc_id", F.col("chunk_text").alias("text"))
-    asked = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    words = S.fulltext_topk(asked, chunks.select("node_id", "text"), 10)
-    e = t(spark, sf, "embeddings")
-    requests = e.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    near = S.vector_topk(requests, e.select((F.col("vec_id") * 100000).alias("node_id"), F.col("embedding").alias("vec")), 10)
-    hits = S.hybrid(words.select("query_id", "node_id", "score"), near.select("query_id", "node_id", "score"), 5)
-    return hits.join(chunks, "node_id").select("query_id", "rank", "node_id", F.col("doc_id").alias("chapter"), "text", "score")
+    """Hybrid search over chunks, five for each passage, with the size of the graph around each hit's facts; a chunk has its document's vector."""
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    chunks = chunk_rows(spark, sf).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("node_id"), "doc_id", F.col("doc_id").alias("chapter"), F.col("chunk_text").alias("text"))
+    nodes = kept(chunks.join(e, "doc_id", "left"), "chunks")
+    hits = kept(S.searched(asked_rows(spark, sf), nodes, 5), "hits")
+    around = subgraph_rows(spark, sf, hits.select(F.floor(F.col("node_id") / 100000).alias("k")).distinct()).groupBy(F.col("k").alias("chapter")).agg(F.count("*").alias("edges"))
+    return hits.join(nodes, "node_id").join(around, "chapter", "left").select("query_id", F.col("rank").cast("long").alias("rank"), "node_id", "chapter", F.md5(F.col("text").cast("binary")).alias("text_md5"), "score", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-@query(f"""WITH {CONTEXT_SQL}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY char_id ORDER BY n_evidence DESC, node_id) AS r FROM ctx) WHERE r <= 5)
-SELECT k.char_id AS query_id, k.node_id, k.est_chapter, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT 'P' || l_partkey AS p FROM evidence e WHERE e.node_id = k.node_id)) AS related FROM k""")
+@query(f"""WITH {CONTEXT_SQL}, {ASKED_SQL}, {NODES_SQL}, {hybrid_sql('', 'nodes', 'asked', 5)}
+SELECT query_id, node_id, est_chapter, n_evidence, (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT 'P' || l_partkey AS p FROM evidence e WHERE e.node_id = hy.node_id)) AS related, (SELECT c_name FROM facts f JOIN customer ON c_custkey = f.char_id WHERE f.node_id = hy.node_id AND f.label = 'Event') AS participant FROM hy JOIN ctx USING (node_id)""")
 def fact_search(spark, sf):
-    """Five facts a request first, then what belongs to those only."""
-    kept = S.top_k(context_rows(spark, sf), "char_id", [F.desc("n_evidence"), "node_id"], 5).select("char_id", "node_id", "est_chapter")
-    parts = evidence(spark, sf).join(kept.select("node_id"), "node_id", "left_semi").groupBy("node_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("P"), "l_partkey"))), ",").alias("related"))
-    return kept.join(parts, "node_id", "left").select(F.col("char_id").alias("query_id"), "node_id", "est_chapter", "related")
+    """Hybrid search over facts, whose text and vector are those of the document of their number; then, for the five kept, chapter, participants and related things."""
+    hits = kept(S.searched(asked_rows(spark, sf), node_rows(spark, sf), 5).select("query_id", "node_id"), "hits")
+    ids = hits.select("node_id").distinct()
+    e, f = evidence(spark, sf).join(ids, "node_id", "left_semi"), facts(spark, sf).join(ids, "node_id", "left_semi")
+    ctx = fact_context(f, e.where("l_partkey % 2 = 0").select("node_id", (F.col("chapter") + 1).alias("chapter")), e)
+    related = names_of(e.select("node_id", F.concat(F.lit("P"), "l_partkey").alias("name")), "node_id", "name", "related")
+    who = f.where("label = 'Event'").join(t(spark, sf, "customer").select(F.col("c_custkey").alias("char_id"), F.col("c_name").alias("participant")), "char_id").select("node_id", "participant")
+    out = hits.join(ctx, "node_id").join(related, "node_id", "left").join(who, "node_id", "left")
+    return out.select("query_id", "node_id", "est_chapter", "n_evidence", F.array_join("related", ",").alias("related"), "participant")
 
 
 PAIRS_SQL = """pairs AS (SELECT a.p AS a, b.p AS b, round(1.0 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n), 1), 6) AS sim FROM
@@ -89,37 +151,81 @@ def fuzzy_pairs(spark, sf):
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.85")
 def embedding_pairs(spark, sf):
-    """Vectors of a label with a cosine of 0.85 or more: unit vectors once, then products within the label."""
-    e = t(spark, sf, "embeddings").withColumn("n", F.sqrt(S.dot(F.col("embedding"), F.col("embedding")))).where("n > 0")
-    e = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"), "n")
-    j = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return j.where(S.dot(F.col("a.v"), F.col("b.v")) / (F.col("a.n") * F.col("b.n")) >= 0.85).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
+    """Vectors of a label with a cosine of 0.85 or more."""
+    return S.vector_pairs(t(spark, sf, "embeddings").select(F.col("vec_id").alias("node_id"), "label", F.col("embedding").alias("vec")), 0.85)
 
 
-@query(f"""WITH {FACTS_SQL}, r AS (SELECT c_custkey AS query_id, c_name AS name FROM customer WHERE c_custkey % 50 = 0), f AS (SELECT query_id, node_id, chapter, row_number() OVER (PARTITION BY query_id ORDER BY chapter NULLS LAST, story_order NULLS LAST, facts.name) AS r FROM r JOIN facts ON char_id = query_id WHERE chapter <= 5)
-SELECT query_id, 'profile' AS kind, query_id AS node_id, NULL AS chapter FROM r UNION ALL SELECT query_id, 'fact', node_id, chapter FROM f WHERE r <= 60""")
+@query(f"""WITH {CONTEXT_SQL}, r AS (SELECT c_custkey AS query_id, c_name, c_nationkey FROM customer WHERE c_custkey % 100 = 0),
+own AS (SELECT DISTINCT query_id, 'S' || l_suppkey AS name FROM r JOIN orders ON o_custkey = query_id JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1), oth AS (SELECT DISTINCT query_id, 'S' || l_suppkey AS name FROM r JOIN orders ON o_custkey = query_id JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 2),
+rel AS (SELECT query_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT query_id, name FROM own UNION SELECT query_id, name FROM oth) GROUP BY 1),
+f AS (SELECT query_id, ctx.*, row_number() OVER (PARTITION BY query_id ORDER BY est_chapter, story_order NULLS LAST, ctx.name) AS rk FROM r JOIN ctx ON char_id = query_id WHERE est_chapter <= 5)
+SELECT query_id, 'profile' AS kind, query_id AS node_id, NULL AS chapter, 'n' || c_nationkey || ',r' || n_regionkey || ';' || coalesce(names, '') AS detail FROM r JOIN nation ON n_nationkey = c_nationkey LEFT JOIN rel USING (query_id)
+UNION ALL SELECT query_id, 'fact', node_id, est_chapter, label || ';' || c_name FROM f JOIN r USING (query_id) WHERE rk <= 60""")
 def entity_search(spark, sf):
-    r = t(spark, sf, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("query_id"))
-    f = r.join(facts(spark, sf), F.col("char_id") == F.col("query_id")).where(rules.up_to_chapter(F.col("chapter"), 5))
-    f = S.top_k(f, "query_id", [F.asc_nulls_last("chapter"), F.asc_nulls_last("story_order"), "name"], 60)
-    return r.select("query_id", F.lit("profile").alias("kind"), F.col("query_id").alias("node_id"), F.lit(None).cast("int").alias("chapter")).union(f.select("query_id", F.lit("fact"), "node_id", "chapter"))
-
-
-@query(f"""WITH {BM25_SQL}, h AS (SELECT query_id, node_id, score, regexp_replace(text, '\\s+', '', 'g') AS k, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM ft JOIN documents ON doc_id = node_id WHERE doc_id < 700)
-SELECT query_id, node_id, r AS rank, row_number() OVER (PARTITION BY query_id, md5(k) ORDER BY r) = 1 AS has_text FROM h""")
+    """Characters asked for by name or alias: a profile with relations and ancestors, and their first 60 facts up to a chapter."""
+    c = t(spark, sf, "customer")
+    known = c.select(F.col("c_custkey").alias("node_id"), F.col("c_name").alias("name"), F.array(F.concat(F.lit("c"), "c_custkey")).alias("aliases"))
+    asked = c.where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("query_id"), F.when(F.col("c_custkey") % 200 == 0, F.col("c_name")).otherwise(F.concat(F.lit("c"), "c_custkey")).alias("asked"))
+    met = kept(entity_match(asked, known).join(known.select("node_id", "name"), "node_id"), "met")
+    # The profile: names on its own side, then those of the other side that it doesn't have, and all ancestors.
+    o = t(spark, sf, "orders").join(met, F.col("o_custkey") == F.col("node_id")).select("query_id", F.col("o_orderkey").alias("l_orderkey"))
+    names = o.join(t(spark, sf, "lineitem").where("l_linenumber <= 2"), "l_orderkey").select("query_id", "l_linenumber", F.concat(F.lit("S"), "l_suppkey").alias("name"))
+    sides = [names.where(F.col("l_linenumber") == n).select("query_id", "name").distinct() for n in (1, 2)]
+    rel = names_of(related_by_name(*sides, "query_id"), "query_id", "name", "names")
+    start = met.select("query_id", F.concat(F.lit("c"), "node_id").alias("node"))
+    up = start.join(G.ancestors(graph_edges(spark, sf).where(F.col("src").startswith("c") | F.col("src").startswith("n"))), "node").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("ancestor")), ",").alias("up"))
+    profile = met.join(rel, "query_id", "left").join(up, "query_id", "left")
+    profile = profile.select("query_id", F.lit("profile").alias("kind"), "node_id", F.lit(None).cast("int").alias("chapter"), F.concat("up", F.lit(";"), F.coalesce(F.array_join("names", ","), F.lit(""))).alias("detail"))
+    # The facts of those only, cut before the first 60 are taken.
+    f = facts(spark, sf).join(met.select("query_id", F.col("node_id").alias("char_id"), F.col("name").alias("who")), "char_id")
+    e = evidence(spark, sf).join(f.select("node_id").distinct(), "node_id", "left_semi")
+    f = fact_context(f, e.where("l_partkey % 2 = 0").select("node_id", (F.col("chapter") + 1).alias("chapter")), e).where(rules.up_to_chapter(F.col("est_chapter"), 5))
+    f = S.top_k(f, "query_id", [F.asc("est_chapter"), F.asc_nulls_last("story_order"), F.asc("name")], 60)
+    return profile.union(f.select("query_id", F.lit("fact"), "node_id", "est_chapter", F.concat_ws(";", "label", "who")))
+
+
+CALLS_SQL = r"""cl AS (SELECT item_id, text, CASE WHEN item_id % 3 = 0 THEN '' ELSE regexp_extract(text, '^([^ ]+)', 1) END AS a, CASE WHEN item_id % 4 = 0 THEN '' ELSE regexp_extract(text, ' ([^ ]+)', 1) END AS v, item_id * 20 + 100 AS up_to, embedding::DOUBLE[] AS vec FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+rt AS (SELECT item_id, vec, up_to, list_filter([CASE WHEN a = '' THEN 'h' || text END, CASE WHEN a = '' THEN 'f' || text END, CASE WHEN a <> '' THEN 'h' || a END, CASE WHEN a <> '' THEN 'f' || a END, CASE WHEN a <> '' AND v <> '' THEN 'h' || a || ': ' || v END, CASE WHEN a <> '' AND v <> '' THEN 'f' || a || ': ' || v END], lambda x: x IS NOT NULL) AS c FROM cl),
+calls AS (SELECT item_id * 10 + generate_subscripts(c, 1) - 1 AS query_id, unnest(c) AS call, vec, up_to FROM rt), ha AS (SELECT query_id, substr(call, 2) AS text, vec, up_to FROM calls WHERE call[1] = 'h'), fa AS (SELECT query_id, substr(call, 2) AS text, vec, up_to FROM calls WHERE call[1] = 'f')"""
+TURNS_SQL = "turns AS (SELECT (conv_id + 1) * 10000000 + turn AS node_id, text, conv_id AS chapter, NULL::DOUBLE[] AS vec FROM conversations)"
+
+
+def routed_calls(spark, sf):
+    """(query_id, tool, text, vec, up_to): the calls of every claim on both channels, each with its claim's own chapter."""
+    axis = F.when(F.col("query_id") % 3 == 0, "").otherwise(F.regexp_extract("text", "^([^ ]+)", 1))
+    value = F.when(F.col("query_id") % 4 == 0, "").otherwise(F.regexp_extract("text", " ([^ ]+)", 1))
+    calls = asked_rows(spark, sf).select(F.col("query_id").alias("claim"), "vec", F.posexplode(rules.route_qav(axis, value, F.col("text"))).alias("channel", "c"))
+    return calls.select((F.col("claim") * 10 + F.col("channel")).alias("query_id"), "c.tool", F.col("c.query_text").alias("text"), "vec", (F.col("claim") * 20 + 100).alias("up_to"))
+
+
+@query(f"""WITH {CALLS_SQL}, {NODES_SQL}, {TURNS_SQL}, {hybrid_sql('h', 'nodes', 'ha', 3)}, {text_sql('f', 'turns', 'fa', 3)},
+hits AS (SELECT query_id, node_id, rank FROM hhy UNION ALL SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) FROM fft), tx AS (SELECT node_id, text FROM nodes UNION ALL SELECT node_id, text FROM turns)
+SELECT query_id // 10 AS claim_id, query_id % 10 AS channel, node_id, rank, row_number() OVER (PARTITION BY query_id // 10, md5(regexp_replace(text, '\s+', '', 'g')) ORDER BY query_id, rank) = 1 AS has_text FROM hits JOIN tx USING (node_id)""")
 def claim_retrieve(spark, sf):
-    """Hits of every claim at once: what lies ahead goes first, then repeated texts keep their reference only."""
-    d = t(spark, sf, "documents").where("doc_id < 700").select(F.col("doc_id").alias("node_id"), F.md5(F.regexp_replace("text", r"\s+", "").cast("binary")).alias("k"))
-    h = text_hits(spark, sf).drop("rank").join(d, "node_id")
-    h = h.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")))
-    return h.select("query_id", "node_id", F.col("rank").cast("long").alias("rank"), (F.row_number().over(Window.partitionBy("query_id", "k").orderBy("rank")) == 1).alias("has_text"))
-
-
-@query(f"WITH {BM25_SQL} SELECT route, count(*) AS hits, count(DISTINCT query_id) AS reached FROM (SELECT 'text' AS route, query_id, node_id FROM ft UNION ALL SELECT 'first', query_id, node_id FROM ft WHERE node_id % 2 = 0) GROUP BY route")
+    """All claims at once: routed to their channels, cut at each claim's chapter before the three best are taken, repeated texts kept as references."""
+    calls = kept(routed_calls(spark, sf), "calls")
+    turns = t(spark, sf, "conversations").select(((F.col("conv_id") + 1) * 10000000 + F.col("turn")).alias("node_id"), "text", F.col("conv_id").alias("chapter"))
+    docs = node_rows(spark, sf)
+    found = S.searched(calls.where("tool = 'hybrid_search'"), docs, 3).select("query_id", "node_id", "rank").union(S.fulltext_topk(calls.where("tool = 'fact_search'"), turns, 3).select("query_id", "node_id", "rank"))
+    texts = docs.select("node_id", "text").union(turns.select("node_id", "text")).select("node_id", F.md5(F.regexp_replace("text", r"\s+", "").cast("binary")).alias("k"))
+    h = found.join(texts, "node_id").withColumn("claim_id", F.floor(F.col("query_id") / 10))
+    first = F.row_number().over(Window.partitionBy("claim_id", "k").orderBy("query_id", "rank")) == 1
+    return h.select("claim_id", (F.col("query_id") % 10).alias("channel"), "node_id", F.col("rank").cast("long").alias("rank"), first.alias("has_text"))
+
+
+@query(rf"""WITH ra AS (SELECT item_id * 10 AS query_id, text, NULL AS up_to FROM benchmark UNION ALL SELECT item_id * 10 + 1, regexp_extract(text, '^([^ ]+)', 1) || ' ' || regexp_extract(text, ' ([^ ]+)', 1), NULL FROM benchmark), {NODES_SQL}, {text_sql('', 'nodes', 'ra', 5)},
+h AS (SELECT query_id, doc_id, contains({loose_sql('d.text')}, {loose_sql('b.text')}) AS held FROM ft JOIN documents d ON doc_id = node_id JOIN benchmark b ON item_id = query_id // 10)
+SELECT CASE WHEN query_id % 10 = 0 THEN 'quote' ELSE 'axis' END AS route, count(*) AS hits, count(DISTINCT query_id) FILTER (held) AS reached FROM h GROUP BY 1""")
 def reach_by_route(spark, sf):
-    h = text_hits(spark, sf)
-    routes = h.select(F.lit("text").alias("route"), "query_id", "node_id").union(h.where("node_id % 2 = 0").select(F.lit("first"), "query_id", "node_id"))
-    return routes.groupBy("route").agg(F.count("*").alias("hits"), F.count_distinct("query_id").alias("reached"))
+    """Two routings of the same claims, whole quote and first words, by how many passages their hits hold."""
+    b = t(spark, sf, "benchmark")
+    short = F.concat(F.regexp_extract("text", "^([^ ]+)", 1), F.lit(" "), F.regexp_extract("text", " ([^ ]+)", 1))
+    asked = b.select((F.col("item_id") * 10).alias("query_id"), "text").union(b.select(F.col("item_id") * 10 + 1, short))
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    held = held_passages(spark, sf).select(F.col("doc_id").alias("node_id"), F.col("marker_id").alias("claim"), F.lit(True).alias("held"))
+    h = S.fulltext_topk(asked, docs, 5).withColumn("claim", F.floor(F.col("query_id") / 10)).join(held, ["node_id", "claim"], "left")
+    route = F.when(F.col("query_id") % 10 == 0, "quote").otherwise("axis")
+    return h.groupBy(route.alias("route")).agg(F.count("*").alias("hits"), F.count_distinct(F.when(F.col("held"), F.col("query_id"))).alias("reached"))
 
 
 # ---- graph
@@ -166,11 +272,9 @@ def fact_neighbors(spark, sf):
     return up.select("node_id", F.explode(F.array(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("r"), "n_regionkey"))).alias("neighbor")).distinct()
 
 
-@query("WITH m AS (SELECT DISTINCT l_orderkey AS k, 'p' || l_partkey AS node FROM lineitem UNION SELECT DISTINCT l_orderkey, 's' || l_suppkey FROM lineitem), e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1) SELECT DISTINCT a.k, src, dst FROM e JOIN m a ON a.node = src JOIN m b ON b.node = dst AND b.k = a.k")
+@query(f"WITH {GRAPH_SQL} SELECT k, src, dst FROM sub")
 def chunk_subgraph(spark, sf):
-    lt = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s"), "l_linenumber")
-    members = lt.select("k", F.col("p").alias("node")).union(lt.select("k", "s")).distinct()
-    return G.induced(members, lt.where("l_linenumber = 1").select(F.col("p").alias("src"), F.col("s").alias("dst")).distinct(), "k")
+    return subgraph_rows(spark, sf)
 
 
 CONTEXT_TEXT_SQL = """lines AS (SELECT c_nationkey AS k, 1 AS section, c_name AS place, '- (Character) ' || c_name || coalesce((SELECT chr(10) || string_agg('  · ' || o_orderkey || ' (' || (year(o_orderdate) - 1991) || ')', chr(10) ORDER BY year(o_orderdate), o_orderkey) FROM orders WHERE o_custkey = c_custkey), '') AS line FROM customer
@@ -209,18 +313,44 @@ def novel_context(spark, sf):
     return g.join(recent_rows(spark, sf), "source", "left").select("source", F.md5(F.concat_ws("\n\n", F.concat(F.lit("works: "), "n"), "summaries").cast("binary")).alias("bundle_md5"))
 
 
-@query(f"WITH {EVIDENCE_SQL} SELECT e.user_id AS job_id, e.event_id AS claim_id, e.event_id % 11 AS score, count(v.chunk_id) AS cited FROM events e LEFT JOIN evidence v ON v.node_id = e.event_id WHERE e.event_id % 11 >= 7 GROUP BY ALL")
-def detect_contradictions(spark, sf):
-    """Verdicts from the threshold on, each with the passages its fact cites."""
-    v = t(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 11).alias("score")).where(F.col("score") >= rules.TAU)
-    cited = evidence(spark, sf).groupBy(F.col("node_id").alias("event_id")).agg(F.count("*").alias("cited"))
-    return v.join(cited, "event_id", "left").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("claim_id"), "score", F.coalesce("cited", F.lit(0)).alias("cited"))
+VOTES_SQL = """cl AS (SELECT user_id AS job_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, list_sort([event_id % 11, CASE WHEN event_id % 7 = 0 THEN 0 ELSE least(10, event_id % 13) END, greatest(0, event_id % 9 - 1)])[2] AS score FROM events)"""
 
 
-@query("SELECT 'orphan' AS problem, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'dangling', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) UNION ALL SELECT 'loop', count(*) FROM lineitem WHERE l_partkey = l_suppkey")
+@query(f"WITH {EVIDENCE_SQL}, {VOTES_SQL} SELECT job_id, 'P' || n AS claim_id, CAST(score AS INT) AS score, CASE WHEN event_id % 6 IN (1, 2, 3) THEN CAST(event_id % 6 AS VARCHAR) ELSE '1,2,3' END AS lines, (SELECT string_agg(c, ',' ORDER BY chapter, idx) FROM (SELECT chapter, idx, min(chunk_id) AS c FROM evidence v WHERE v.node_id = event_id GROUP BY ALL)) AS cited FROM cl WHERE score >= 7")
+def detect_contradictions(spark, sf):
+    """From claims and three samples of verdict JSON to findings: parsed, clamped, voted, cut at the threshold, with valid lines and resolved citations."""
+    e = F.col("event_id")
+    claims = t(spark, sf, "events").select(F.col("user_id").alias("job_id"), "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("n"))
+    claims = kept(claims, "claims")
+    samples = F.array((e % 11).cast("string"), F.when(e % 7 == 0, "high").otherwise((e % 13).cast("string")), (e % 9 - 1).cast("string"))
+    one = F.struct(F.concat(F.lit("P"), "n").alias("claimId"), F.col("score"), F.array((e % 6).cast("int")).alias("lineIds"), F.array(F.concat(F.lit("F"), "event_id"), F.lit("X9")).alias("cited"))
+    # A reply holds the verdicts of ten claims of a job.
+    replies = claims.select("job_id", "n", "event_id", F.posexplode(samples).alias("sample", "score")).groupBy("job_id", "sample", F.floor(F.col("n") / 10).alias("batch")).agg(F.to_json(F.struct(F.collect_list(one).alias("verdicts"))).alias("raw"))
+    v = replies.select("job_id", F.explode(F.from_json("raw", rules.VERDICTS)["verdicts"]).alias("v"))
+    score, _ = rules.clamp_score(F.col("v.score"))
+    v = v.select("job_id", (rules.claim_index(F.col("v.claimId"), F.col("v.i")) + 1).alias("n"), score.alias("score"), F.col("v.lineIds").alias("picked"), F.col("v.cited").alias("cited"))
+    votes = v.groupBy("job_id", "n").agg(A.upper_median("score").cast("int").alias("score"), F.first("picked").alias("picked"), F.first("cited").alias("cited")).where(F.col("score") >= rules.TAU)
+    lines, _ = rules.picked_lines(F.col("picked"), F.array(F.lit(1), F.lit(2), F.lit(3)))
+    found = kept(votes.join(claims, ["job_id", "n"]).select("job_id", "event_id", "n", "score", F.array_join(lines.cast("array<string>"), ",").alias("lines"), "cited"), "found")
+    known = evidence(spark, sf).select(F.concat(F.lit("F"), "node_id").alias("alias"), "chunk_id", "chapter", "idx")
+    places = resolve_cited(found.select(F.col("event_id").alias("claim_id"), "cited"), known)
+    places = places.groupBy(F.col("claim_id").alias("event_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"].cast("string")), ",").alias("cited"))
+    return found.drop("cited").join(places, "event_id", "left").select("job_id", F.concat(F.lit("P"), "n").alias("claim_id"), "score", "lines", "cited")
+
+
+@query("""WITH RECURSIVE h AS (SELECT n_nationkey AS a, (n_nationkey * 2 + 1) % 25 AS b FROM nation WHERE n_nationkey <> (n_nationkey * 2 + 1) % 25), reach AS (SELECT a, b FROM h UNION SELECT r.a, h.b FROM reach r JOIN h ON r.b = h.a), k AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_linenumber = 1)
+SELECT 'orphan' AS problem, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'dangling', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) UNION ALL SELECT 'loop', count(*) FROM lineitem WHERE l_partkey = l_suppkey
+UNION ALL SELECT 'one_sided', count(*) FROM k WHERE a <> b AND NOT EXISTS (SELECT 1 FROM k x WHERE x.a = k.b AND x.b = k.a) UNION ALL SELECT 'cycle', count(DISTINCT a) FROM reach WHERE a = b""")
 def graph_audit(spark, sf):
     lt = t(spark, sf, "lineitem")
-    orphan = t(spark, sf, "orders").join(lt, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").agg(F.count("*").alias("n")).select(F.lit("orphan").alias("problem"), "n")
-    dangling = lt.join(t(spark, sf, "part").where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").agg(F.count("*").alias("n")).select(F.lit("dangling").alias("problem"), "n")
-    loops = lt.where("l_partkey = l_suppkey").agg(F.count("*").alias("n")).select(F.lit("loop").alias("problem"), "n")
-    return orphan.union(dangling).union(loops)
+    orphan = t(spark, sf, "orders").join(lt, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti")
+    dangling = lt.join(t(spark, sf, "part").where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")
+    known = lt.where("l_linenumber = 1 AND l_partkey <> l_suppkey").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    back = known.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    up = t(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 2 + 1) % 25).alias("dst"))
+    found = {"orphan": orphan, "dangling": dangling, "loop": lt.where("l_partkey = l_suppkey"), "one_sided": known.join(back, ["a", "b"], "left_anti"), "cycle": G.on_cycles(up)}
+    out = None
+    for name, rows in found.items():
+        n = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
+        out = n if out is None else out.union(n)
+    return out

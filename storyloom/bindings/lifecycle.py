@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storyloom.bindings.text import CHUNKS_SQL, chunk_rows
 from storyloom.catalog import query, t
+from storyloom.operators.indexing import index_bundle
 from storyloom.sources import tables as T
 from storyloom.streaming import jobs as K
 
@@ -19,22 +20,33 @@ def sink_chunks(spark, sf):
     return T.put_partitions(c, path, "source").select("chunk_id")
 
 
-@query("SELECT doc_id AS number, source, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM documents")
+@query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id AS number, source, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version, coalesce(n, 0) AS n_chunks FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1) USING (doc_id)")
 def sink_chapters(spark, sf):
+    """Chapters written, then some written again in a new version by work, and the links of their chunks."""
     d = t(spark, sf, "documents").select(F.col("doc_id").alias("number"), "source")
-    return T.upsert(d.withColumn("version", F.lit("old")), d.where("number % 2 = 0").withColumn("version", F.lit("new")), "number")
+    path = K.place(spark, "chapters")
+    old = T.put_partitions(d.withColumn("version", F.lit("old")), f"{path}/1", "source")
+    now = T.put_partitions(T.upsert(old, d.where("number % 2 = 0").withColumn("version", F.lit("new")), "number"), f"{path}/2", "source")
+    c = chunk_rows(spark, sf).select("source", F.col("doc_id").alias("number"), F.concat_ws("-", F.lit("chunk"), "source", "doc_id", "chunk_index").alias("chunk_id"))
+    links = T.put_partitions(c, f"{path}/links", "source").groupBy("number").agg(F.count("*").alias("n_chunks"))
+    return now.join(links, "number", "left").select("number", "source", "version", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
-@query("SELECT n_nationkey AS node_id, CAST(n_regionkey AS VARCHAR) AS tenant_id FROM nation")
+@query("SELECT 'node' AS kind, 'n' || n_nationkey AS a, NULL AS b, CAST(n_regionkey AS VARCHAR) AS tenant_id FROM nation UNION ALL SELECT 'edge', 'n' || n_nationkey, 'r' || n_regionkey, CAST(n_regionkey AS VARCHAR) FROM nation")
 def sink_graph(spark, sf):
-    n = T.stamped(t(spark, sf, "nation").select(F.col("n_nationkey").alias("node_id"), "n_regionkey"), F.col("n_regionkey").cast("string"))
-    return T.put_partitions(n.drop("n_regionkey").withColumn("p", F.col("tenant_id")), K.place(spark, "graph"), "p").select("node_id", "tenant_id")
+    """Nodes and relationships, each with its tenant in the same write."""
+    n = t(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("a"), F.concat(F.lit("r"), "n_regionkey").alias("r"), F.col("n_regionkey").cast("string").alias("tenant"))
+    path = K.place(spark, "graph")
+    nodes = T.stamped(n.select("a", F.lit(None).cast("string").alias("b"), "tenant"), F.col("tenant"))
+    edges = T.stamped(n.select("a", F.col("r").alias("b"), "tenant"), F.col("tenant"))
+    out = [T.put_partitions(x.withColumn("tenant", F.col("tenant_id")), f"{path}/{kind}", "tenant").select(F.lit(kind).alias("kind"), "a", "b", "tenant_id") for kind, x in (("node", nodes), ("edge", edges))]
+    return out[0].union(out[1])
 
 
-@query("SELECT source, max(doc_id) AS chapter, arg_max(substr(text, 1, 30), doc_id) AS summary FROM documents GROUP BY source")
+@query("SELECT source, max(doc_id) AS chapter, arg_max(text, doc_id) AS summary FROM documents GROUP BY source")
 def sink_summaries(spark, sf):
     """The last summary of each story; its marker row is written after it."""
-    s = t(spark, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("chapter"), F.max_by(F.substring("text", 1, 30), "doc_id").alias("summary"))
+    s = t(spark, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("chapter"), F.max_by("text", "doc_id").alias("summary"))
     path = K.place(spark, "summaries")
     s.write.parquet(path)
     s.select("source").write.parquet(f"{path}-markers")
@@ -53,7 +65,9 @@ def sink_findings(spark, sf):
 
 @query("SELECT '| ' || event_type || ' | ' || count(*) || ' |' AS line FROM events GROUP BY event_type")
 def report_table(spark, sf):
-    return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).select(F.concat(F.lit("| "), "event_type", F.lit(" | "), "n", F.lit(" |")).alias("line"))
+    """A report of few rows written as JSON and as lines of Markdown; the lines are read back."""
+    rows = t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return T.put_report(rows, K.place(spark, "report"), "event_type", "n")
 
 
 @query("SELECT doc_id, source FROM documents")
@@ -62,10 +76,11 @@ def stream_index(spark, sf):
     return K.ingest(K.source(d.union(d.where("doc_id % 3 = 0")), "bundles"), ["doc_id"])
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events")
 def stream_dedupe(spark, sf):
-    e = t(spark, sf, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return K.ran(K.dedupe(K.source(e, "events"), ["user_id", "event_type"], "ts", "36500 days")).select("user_id", "event_type")
+    """Each job and kind once a day; a day's keys leave the state after another day."""
+    e = t(spark, sf, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("ts").cast("timestamp").alias("ts"))
+    return K.ran(K.dedupe(K.source(e, "events"), ["user_id", "event_type", "day"], "ts", "1 day")).select("user_id", "event_type", "day")
 
 
 @query("SELECT conv_id, turn, turn < coalesce(min(CASE WHEN turn <> r - 1 THEN turn END) OVER (PARTITION BY conv_id), 1e9) AS admitted FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE turn % 4 <> 2)")
@@ -74,46 +89,67 @@ def stream_continuity(spark, sf):
     return K.ran(K.stateful(K.source(c, "turns"), "conv_id", K.Continuity(), "conv_id long, turn long, admitted boolean"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_type AS model, event_type = 'error' OR event_id % 50 = 0 AS observed, event_id % 37 AS tokens, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE event_id % 10 = 0),
-w AS (SELECT model, CAST(0 AS BIGINT) AS r, CAST(1000 AS BIGINT) AS l FROM (SELECT DISTINCT model FROM e) UNION ALL SELECT w.model, e.r, CAST(CASE WHEN observed THEN tokens ELSE greatest(0, l - tokens) END AS BIGINT) FROM w JOIN e ON e.model = w.model AND e.r = w.r + 1)
-SELECT model, arg_max(l, r) AS left_over FROM w GROUP BY model""")
+def quota_calls(spark, sf):
+    """Every event as a call on a model: errors, and one in 50, observe what is left and for how long; the others spend."""
+    e = F.col("event_id")
+    return t(spark, sf, "events").select("event_id", F.col("event_type").alias("model"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("ts").cast("timestamp").alias("ts"), ((F.col("event_type") == "error") | (e % 50 == 0)).alias("observed"), (e % 37).alias("tokens"), ((e % 7) * 3600000).alias("reset"))
+
+
+@query()
 def stream_quota(spark, sf):
-    e = t(spark, sf, "events").where("event_id % 10 = 0").select("event_id", F.col("event_type").alias("model"), ((F.col("event_type") == "error") | (F.col("event_id") % 50 == 0)).alias("observed"), (F.col("event_id") % 37).alias("tokens"))
-    return K.ran(K.stateful(K.source(e, "calls"), "model", K.Quota(), "model string, left_over long"))
+    """What is left of each model's quota after all calls and resets; brute force in tests, as SQL would step row by row."""
+    calls = K.source(quota_calls(spark, sf), "calls").withWatermark("ts", "0 seconds")
+    log = K.ran(K.stateful(calls, "model", K.Quota(), "model string, at long, left_over long", "eventTime"))
+    return log.groupBy("model").agg(F.max_by("left_over", "at").alias("left_over"))
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL")
 def stream_usage(spark, sf):
     """Windows of a day; the last one, still open, is not shown."""
-    e = t(spark, sf, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts")).coalesce(1)
-    out = K.ran(K.windowed(K.source(e, "usage"), "ts", "0 seconds", "1 day", ["event_type"], "value"))
+    out = K.ran(K.windowed(usage_stream(spark, sf), "ts", "0 seconds", F.window("ts", "1 day"), ["event_type"], "value"))
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def usage_stream(spark, sf):
+    return K.source(t(spark, sf, "events").select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts")), "usage")
+
+
+@query("SELECT strftime(w, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL")
+def stream_usage_sliding(spark, sf):
+    """Windows of a day that start every twelve hours."""
+    out = K.ran(K.windowed(usage_stream(spark, sf), "ts", "0 seconds", F.window("ts", "1 day", "12 hours"), ["event_type"], "value"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, s HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_usage_session(spark, sf):
+    """Sessions of a user, closed by two hours without a call."""
+    out = K.ran(K.windowed(usage_stream(spark, sf), "ts", "0 seconds", F.session_window("ts", "2 hours"), ["user_id"], "value"))
+    return out.select("user_id", F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
 def stream_status(spark, sf):
-    """The last status of each job, kept by the sink: each batch replaces the rows of its jobs."""
-    e = K.source(t(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts")), "status")
-    latest = e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m")).select("user_id", F.col("m.event_type").alias("status"))
-    out, schema = K.place(spark, "statuses"), latest.schema
+    """The last status of each job: a batch adds the last of its own, and the reader takes the last of all; no batch reads or writes another's rows."""
+    e = K.source(t(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts")), "status", files_a_batch=1)
+    out = K.place(spark, "statuses")
 
     def batch(df, number):
-        rows = df if not number else T.upsert(spark.read.schema(schema).parquet(f"{out}/{number - 1}"), df, "user_id")
-        rows.write.mode("overwrite").parquet(f"{out}/{number}")
+        df.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("m")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = latest.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/{q.lastProgress.batchId}")
+    e.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/batch=*").groupBy("user_id").agg(F.max("m").alias("m")).select("user_id", F.col("m.event_type").alias("status"))
 
 
-@query("SELECT conv_id, count(*) AS chunks, max(turn) AS latest, count(DISTINCT role) AS characters FROM conversations GROUP BY conv_id")
+@query(f"WITH RECURSIVE {CHUNKS_SQL}, n AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS name FROM documents), p AS (SELECT doc_id, count(*) AS c, count(*) - 1 AS l FROM chunks GROUP BY 1), q AS (SELECT doc_id, count(*) AS k FROM n GROUP BY 1) SELECT source, count(*) AS chapters, CAST(sum(coalesce(c, 0)) AS BIGINT) AS chunks, CAST(sum(coalesce(l, 0)) AS BIGINT) AS links, CAST(sum(coalesce(k, 0)) AS BIGINT) AS mentions FROM documents LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id) GROUP BY source")
 def index_chapters(spark, sf):
-    """Conversations as chapters: chunks and characters to tables, then the marker, then what the tables hold."""
-    c = t(spark, sf, "conversations")
-    path = K.place(spark, "index")
-    c.select("conv_id", "turn").write.parquet(f"{path}/chunks")
-    c.select("conv_id", "role").distinct().write.parquet(f"{path}/nodes")
-    c.groupBy("conv_id").agg(F.max("turn").alias("latest")).write.parquet(f"{path}/markers")
-    chunks = spark.read.parquet(f"{path}/chunks").groupBy("conv_id").agg(F.count("*").alias("chunks"))
-    nodes = spark.read.parquet(f"{path}/nodes").groupBy("conv_id").agg(F.count("*").alias("characters"))
-    return chunks.join(spark.read.parquet(f"{path}/markers"), "conv_id").join(nodes, "conv_id").select("conv_id", "chunks", "latest", "characters")
+    """Two bundles of chapters, the second with all that the first had: chunks, their order, mentions, and the marker of each chapter last."""
+    d, path = t(spark, sf, "documents").select("source", "doc_id", "text"), K.place(spark, "index")
+    for bundle in (d.where("doc_id % 2 = 0"), d):
+        index_bundle(bundle, path)
+    read = lambda name: spark.read.parquet(f"{path}/*/{name}").groupBy("source")
+    out = read("markers").agg(F.count("*").alias("chapters"))
+    for name in ("chunks", "links", "mentions"):
+        out = out.join(read(name).agg(F.count("*").alias(name)), "source", "left")
+    return out.select("source", "chapters", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "links", "mentions")])

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.bindings.base import EVIDENCE_SQL, FACTS_SQL, evidence, facts
-from storyloom.bindings.text import loose_sql
+from storyloom.bindings.text import LINES_SQL, loose_sql
 from storyloom.catalog import query, t
 from storyloom.functions import rules
 from storyloom.functions import text as X
 from storyloom.operators import joins as J
 
 
-@query("SELECT doc_id AS number, CASE WHEN doc_id % 2 = 0 THEN 'Chapter ' || doc_id ELSE '' END AS title, md5(text) AS content_md5 FROM documents WHERE source = 'src1' AND doc_id <= 500")
+@query("SELECT doc_id AS number, CASE WHEN doc_id % 2 = 0 THEN 'Chapter ' || doc_id ELSE '' END AS title, md5(text) AS content_md5 FROM documents WHERE doc_id % 100 = 0")
 def src_manuscript(spark, sf):
-    d = t(spark, sf, "documents").where((F.col("source") == "src1") & (F.col("doc_id") <= 500))
-    return d.select(F.col("doc_id").alias("number"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Chapter "), "doc_id")).otherwise("").alias("title"), F.md5(F.col("text").cast("binary")).alias("content_md5"))
+    """A table of requests (work, number) looked up among all manuscripts."""
+    d = t(spark, sf, "documents").select("source", F.col("doc_id").alias("number"), "text")
+    asked = t(spark, sf, "documents").where("doc_id % 100 = 0").select("source", F.col("doc_id").alias("number"))
+    return J.in_scope(d, asked, "source", "number").select("number", F.when(F.col("number") % 2 == 0, F.concat(F.lit("Chapter "), "number")).otherwise("").alias("title"), F.md5(F.col("text").cast("binary")).alias("content_md5"))
 
 
 @query("SELECT doc_id, coalesce(nullif(lang, 'en'), 'untitled') AS title, CASE WHEN length(text) > 4000 THEN substr(text, 1, 4000) || ' … (total ' || length(text) || ')' ELSE text END AS preview FROM documents")
@@ -69,9 +71,11 @@ def tenant_key(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", rules.tenant_id(u, w).alias("tenant_id"), rules.tenant_ft(u, w).alias("tenant_ft"))
 
 
-@query("SELECT source, count(*) AS n, max(doc_id) AS latest FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS n, max(doc_id) AS latest FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 100 = 0) GROUP BY source")
 def tenant_scope(spark, sf):
-    return t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("latest"))
+    """Only the tenants that somebody asks for are read, then summed up each for itself."""
+    d = t(spark, sf, "documents").select("source", "doc_id")
+    return J.in_scope(d, d.where("doc_id % 100 = 0"), "source").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("latest"))
 
 
 @query(f"WITH {FACTS_SQL} SELECT node_id, chapter FROM facts WHERE chapter IS NULL OR chapter < 4")
@@ -268,15 +272,18 @@ def chunk_facts(spark, sf):
     return evidence(spark, sf).where("idx <= 2").join(facts(spark, sf), "node_id").select("chunk_id", "node_id", "label")
 
 
-@query(f"""WITH b AS (SELECT item_id, {loose_sql('text')} AS g FROM benchmark), c AS (SELECT d.doc_id, {loose_sql('substr(d.text, 1, 300)')} AS q, {loose_sql('substr(d.text, 250, 400)')} AS f, {loose_sql('d.text')} AS body, d.doc_id % 40 AS k FROM documents d)
-SELECT * FROM (SELECT b.item_id AS truth_id, c.doc_id AS claim_id, CASE WHEN q <> '' AND (contains(q, g) OR contains(g, q)) THEN 'quote' WHEN strpos(body, g) > 0 AND q <> '' AND strpos(body, q) > 0 AND greatest(strpos(body, g), strpos(body, q)) < least(strpos(body, g) + length(g), strpos(body, q) + length(q)) THEN 'span'
-WHEN length(g) >= 5 AND contains(q || f, g) THEN 'field' END AS kind FROM b JOIN c ON b.item_id % 8 = c.k % 8 WHERE g <> '') WHERE kind IS NOT NULL""")
+@query(f"""WITH {LINES_SQL}, b AS (SELECT item_id, {loose_sql('text')} AS g FROM benchmark), d AS (SELECT doc_id, {loose_sql('text')} AS body FROM documents), n AS (SELECT doc_id, line_no, {loose_sql('line')} AS q FROM lines),
+cm AS (SELECT doc_id, line_no, q, coalesce(q || lead(q) OVER (PARTITION BY doc_id ORDER BY line_no), q) AS fields FROM n), h AS MATERIALIZED (SELECT item_id, g, doc_id, strpos(body, g) AS gi, body FROM b, d WHERE g <> '')
+SELECT * FROM (SELECT item_id AS truth_id, doc_id, line_no, CASE WHEN q <> '' AND (contains(q, g) OR contains(g, q)) THEN 'quote' WHEN gi > 0 AND q <> '' AND strpos(body, q) > 0 AND greatest(gi, strpos(body, q)) < least(gi + length(g), strpos(body, q) + length(q)) THEN 'span'
+WHEN length(g) >= 5 AND gi > 0 AND contains(fields, g) THEN 'field' END AS kind FROM h JOIN cm USING (doc_id)) WHERE kind IS NOT NULL""")
 def gt_match(spark, sf):
-    truth = t(spark, sf, "benchmark").select((F.col("item_id") % 8).alias("k"), F.col("item_id").alias("truth_id"), X.loose(F.col("text")).alias("g"))
-    d = t(spark, sf, "documents")
-    c = d.select((F.col("doc_id") % 8).alias("k"), F.col("doc_id").alias("claim_id"), X.loose(F.substring("text", 1, 300)).alias("q"), X.loose(F.substring("text", 250, 400)).alias("f"), X.loose(F.col("text")).alias("body"))
-    c = c.withColumn("fields", F.concat("q", "f")).drop("f")
-    return J.match_quotes(truth, c, "k")
+    """Every benchmark passage with every line of every document as a claim; a claim's fields are its line and the next one."""
+    truth = t(spark, sf, "benchmark").select(F.col("item_id").alias("truth_id"), X.loose(F.col("text")).alias("g"))
+    q = F.transform(X.line_parts(F.col("text")), lambda x: X.loose(x))
+    both = F.zip_with("qs", F.slice("qs", 2, F.size("qs")), lambda a, b: F.struct(a.alias("q"), F.concat(a, F.coalesce(b, F.lit(""))).alias("fields")))
+    claims = t(spark, sf, "documents").select("doc_id", q.alias("qs")).select("doc_id", F.posexplode(both).alias("pos", "c"))
+    claims = claims.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "c.q", "c.fields")
+    return J.match_quotes(truth, claims, t(spark, sf, "documents").select("doc_id", X.loose(F.col("text")).alias("body")))
 
 
 @query(f"""WITH {EVIDENCE_SQL}, a AS (SELECT 'C' || chunk_id AS alias, chunk_id, chapter, idx FROM evidence UNION ALL SELECT 'F' || node_id, chunk_id, chapter, idx FROM evidence),
@@ -290,11 +297,11 @@ def resolve_cited(spark, sf):
     return J.resolve_cited(cited, aliases)
 
 
-@query("SELECT c.conv_id AS job_id, f.n AS line_no, substr(c.text, 1, 50) AS text FROM conversations c JOIN (SELECT conv_id, unnest([0, 1, 99]) AS n FROM (SELECT DISTINCT conv_id FROM conversations)) f ON f.conv_id = c.conv_id AND f.n = c.turn")
+@query("SELECT c.conv_id AS job_id, f.n AS line_no, c.text FROM conversations c JOIN (SELECT conv_id, unnest([0, 1, 99]) AS n FROM (SELECT DISTINCT conv_id FROM conversations)) f ON f.conv_id = c.conv_id AND f.n = c.turn")
 def finding_lines(spark, sf):
     c = t(spark, sf, "conversations")
     f = c.select("conv_id").distinct().select("conv_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(99))).alias("turn"))
-    return f.join(c, ["conv_id", "turn"]).select(F.col("conv_id").alias("job_id"), F.col("turn").alias("line_no"), F.substring("text", 1, 50).alias("text"))
+    return f.join(c, ["conv_id", "turn"]).select(F.col("conv_id").alias("job_id"), F.col("turn").alias("line_no"), "text")
 
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
@@ -303,12 +310,16 @@ def chapters_pending(spark, sf):
     return done.withColumn("done", F.lit(True)).union(todo.withColumn("done", F.lit(False)))
 
 
-@query(f"SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains({loose_sql('d.text')}, {loose_sql('substr(b.text, 1, 60)')})")
+def held_passages(spark, sf):
+    """(doc_id, marker_id): the benchmark passages that each document holds, both in loose form."""
+    m = t(spark, sf, "benchmark").select(F.col("item_id").alias("marker_id"), X.loose(F.col("text")).alias("m"))
+    return J.holding(t(spark, sf, "documents").select("doc_id", X.loose(F.col("text")).alias("body")), m)
+
+
+@query(f"SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains({loose_sql('d.text')}, {loose_sql('b.text')})")
 def marker_bearing(spark, sf):
-    """Documents that hold a marker: those that share its first gram are candidates, and only these are searched."""
-    m = t(spark, sf, "benchmark").select(X.loose(F.substring("text", 1, 60)).alias("m")).where("m <> ''").distinct()
-    d = t(spark, sf, "documents").select("doc_id", X.loose(F.col("text")).alias("body"))
-    return J.holding(d, m, 12)
+    """Documents that hold a marker, whole."""
+    return held_passages(spark, sf).select("doc_id").distinct()
 
 
 @query(f"WITH {EVIDENCE_SQL} SELECT DISTINCT claim_id, chunk_id FROM (SELECT l_partkey AS claim_id, chunk_id FROM evidence WHERE idx = 1 UNION ALL SELECT c.l_partkey, e.chunk_id FROM evidence c JOIN evidence e ON c.node_id = e.node_id WHERE c.idx = 2)")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storyloom.catalog import query, t
 from storyloom.functions import rules
 from storyloom.functions import text as X
+from storyloom.operators import search as S
 
 PUNCT_SQL = X.PUNCTUATION.replace("'", "''")
 NOISE_SQL = X.NAME_NOISE.replace("'", "''")
@@ -82,7 +82,7 @@ spans AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
 @query(f"WITH {SPANS_SQL} SELECT doc_id, start, stop FROM spans")
 def sentence_spans(spark, sf):
     d = t(spark, sf, "documents")
-    return d.select("doc_id", F.explode(X.sentence_spans("text", X.sentences(F.col("text")))).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+    return d.select("doc_id", F.explode(X.sentence_spans(X.sentences(F.col("text")))).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
 
 
 @query("SELECT doc_id, unnest(range(0, n_chars, 400)) AS start, least(start + 400, n_chars) AS stop FROM documents WHERE n_chars > 0")
@@ -101,9 +101,9 @@ chunks AS (SELECT doc_id, chunk, CAST(min(b) AS INT) AS start, CAST(max(e) AS IN
 def chunk_rows(spark, sf, size=100):
     """(doc_id, source, chunk_index from 0, start, stop, chunk_text) of every document."""
     d = t(spark, sf, "documents")
-    packed = d.select("doc_id", "source", X.pack_chunks(F.col("text"), X.sentences(F.col("text")), size).alias("p"))
-    spans = packed.select("doc_id", "source", F.posexplode("p").alias("chunk_index", "s"))
-    return spans.select("doc_id", "source", "chunk_index", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.col("s.chunk").alias("chunk_text"))
+    packed = d.select("doc_id", "source", "text", X.pack_spans(X.sentence_spans(X.sentences(F.col("text"))), size).alias("p"))
+    spans = packed.select("doc_id", "source", "text", F.posexplode("p").alias("chunk_index", "s"))
+    return spans.select("doc_id", "source", "chunk_index", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk_text"))
 
 
 @query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT c.doc_id, CAST(chunk - 1 AS INT) AS chunk_index, start, stop, md5(substr(text, start + 1, stop - start)) AS chunk_md5 FROM chunks c JOIN documents d USING (doc_id)")
@@ -142,9 +142,9 @@ def split_lines(spark, sf):
     return line_rows(spark, sf).select("doc_id", "line_no", F.md5(F.col("line").cast("binary")).alias("line_md5"))
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, 'L' || line_no || ': ' || substr(line, 1, 40) AS shown FROM lines")
+@query(f"WITH {LINES_SQL} SELECT doc_id, line_no, 'L' || line_no || ': ' || line AS shown FROM lines")
 def number_lines(spark, sf):
-    return line_rows(spark, sf).select("doc_id", "line_no", F.concat(F.lit("L"), "line_no", F.lit(": "), F.substring("line", 1, 40)).alias("shown"))
+    return line_rows(spark, sf).select("doc_id", "line_no", F.concat(F.lit("L"), "line_no", F.lit(": "), "line").alias("shown"))
 
 
 @query(f"""WITH RECURSIVE {LINES_SQL}, w AS (SELECT doc_id, line_no, length('L' || line_no || ': ' || line) AS n FROM lines),
@@ -175,31 +175,29 @@ def short_label(spark, sf):
     return t(spark, sf, "documents").select("doc_id", X.short_label(F.col("text")).alias("label"))
 
 
-@query(f"""WITH q AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(n) - 2, 1) + 1), lambda i: substr(n, i, 3))) AS g FROM (SELECT item_id, {norm_sql('text')} AS n FROM benchmark)),
-x AS (SELECT a.item_id, b.item_id AS other, len(list_intersect(a.g, b.g)) AS common, len(a.g) + len(b.g) AS total FROM q a JOIN q b ON a.item_id <> b.item_id)
-SELECT item_id, other AS nearest, round(common / (total - common), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(common / (total - common), 6) DESC, other) AS r FROM x) WHERE r = 1""")
+@query(f"""WITH g AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(n) - 2, 1) + 1), lambda i: substr(n, i, 3))) AS g FROM (SELECT item_id AS id, {norm_sql('text')} AS n FROM benchmark)), c AS (SELECT id, list_distinct(list_transform(range(1, greatest(length(n) - 2, 1) + 1), lambda i: substr(n, i, 3))) AS g FROM (SELECT doc_id AS id, {norm_sql('text')} AS n FROM documents)),
+x AS (SELECT a.id AS item_id, b.id AS other, len(list_intersect(a.g, b.g)) AS common, len(a.g) + len(b.g) AS total FROM g a, c b)
+SELECT item_id, other AS nearest, round(common / (total - common), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(common / (total - common), 6) DESC, other) AS r FROM x WHERE common > 0) WHERE r = 1""")
 def trigram_jaccard(spark, sf):
-    """The nearest other benchmark passage of each; an inverted index on trigrams finds the candidates."""
-    g = t(spark, sf, "benchmark").select("item_id", X.trigrams(F.col("text")).alias("g"))
-    rows = g.select("item_id", F.size("g").alias("n"), F.explode("g").alias("w"))
-    pairs = rows.alias("a").join(rows.alias("b"), F.col("a.w") == F.col("b.w")).where("a.item_id <> b.item_id").groupBy(F.col("a.item_id").alias("item_id"), F.col("b.item_id").alias("other"), (F.col("a.n") + F.col("b.n")).alias("total")).agg(F.count("*").alias("both"))
-    scored = pairs.select("item_id", "other", F.round(F.col("both") / (F.col("total") - F.col("both")), 6).alias("score"))
-    return scored.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "other"))).where("r = 1").select("item_id", F.col("other").alias("nearest"), "score")
+    """The nearest document of each benchmark passage by trigrams; the passages' trigrams, of a checked number, go to the documents."""
+    asked = t(spark, sf, "benchmark").select("item_id", X.trigrams(F.col("text")).alias("g")).select("item_id", F.size("g").alias("n"), F.explode("g").alias("w"))
+    own = t(spark, sf, "documents").select("doc_id", X.trigrams(F.col("text")).alias("g")).select("doc_id", F.size("g").alias("m"), F.explode("g").alias("w"))
+    pairs = own.join(S.sized(asked), "w").groupBy("item_id", "doc_id", (F.col("n") + F.col("m")).alias("total")).agg(F.count("*").alias("both"))
+    scored = pairs.select("item_id", F.col("doc_id").alias("nearest"), F.round(F.col("both") / (F.col("total") - F.col("both")), 6).alias("score"))
+    return S.top_k(scored, "item_id", [F.desc("score"), "nearest"], 1).select("item_id", "nearest", "score")
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name), 1), 6) AS sim FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+@query("SELECT p_partkey, round(1.0 - levenshtein(p_name, p_type || ' ' || p_brand) / greatest(length(p_name), length(p_type || ' ' || p_brand), 1), 6) AS sim FROM part")
 def name_similarity(spark, sf):
-    p = t(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    j = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(X.name_similarity(F.col("a.p_name"), F.col("b.p_name")), 6).alias("sim"))
+    """Each name with its alias; names are compared with one another by fuzzy_pairs."""
+    return t(spark, sf, "part").select("p_partkey", F.round(X.name_similarity(F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand")), 6).alias("sim"))
 
 
 @query()
 def wratio(spark, sf):
-    """The blended ratio of names within brand and size; checked against a small table of cases in tests."""
-    p = t(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    j = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.round(X.wratio("a.p_name", "b.p_name"), 6).alias("sim"))
+    """The blended ratio of each name with its words turned round and a part of its alias; checked against brute force in tests."""
+    alias = F.concat_ws(" ", F.array_join(F.reverse(F.split("p_name", " ")), " "), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, F.repeat(F.col("p_type"), 3)))
+    return t(spark, sf, "part").select("p_partkey", alias.alias("alias"), F.round(X.wratio("p_name", alias), 6).alias("sim"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'user' END AS role, length(coalesce(text, '')) AS n FROM conversations")

@@ -44,11 +44,11 @@ def state_history(spark, sf):
     return t(spark, sf, "events").select("event_id", "user_id", F.lag("event_type").over(w).alias("previous"), F.row_number().over(w).cast("long").alias("place"))
 
 
-RECENT_SQL = "recent AS (SELECT source, string_agg('[' || doc_id || '] ' || substr(text, 1, 40), chr(10) ORDER BY doc_id) AS summaries FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents WHERE text <> '') WHERE r <= 3 GROUP BY source)"
+RECENT_SQL = "recent AS (SELECT source, string_agg('[' || doc_id || '] ' || text, chr(10) ORDER BY doc_id) AS summaries FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents WHERE text <> '') WHERE r <= 3 GROUP BY source)"
 
 
 def recent_rows(spark, sf):
-    d = t(spark, sf, "documents").where("text <> ''").select("source", "doc_id", F.substring("text", 1, 40).alias("s"))
+    d = t(spark, sf, "documents").where("text <> ''").select("source", "doc_id", F.col("text").alias("s"))
     last = S.top_k(d, "source", [F.desc("doc_id")], 3).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "s"))).alias("l"))
     return last.select("source", F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["doc_id"].cast("string"), F.lit("] "), x["s"])), "\n").alias("summaries"))
 
@@ -92,18 +92,19 @@ def topk_per_query(spark, sf):
     return S.top_k(t(spark, sf, "lineitem"), "l_partkey", [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_suppkey"], 3).select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {FACTS_SQL} SELECT node_id, chapter, story_order FROM facts WHERE char_id % 100 = 7 ORDER BY chapter NULLS LAST, story_order NULLS LAST, name LIMIT 60")
+@query(f"WITH {FACTS_SQL} SELECT char_id, node_id, chapter, story_order FROM (SELECT *, row_number() OVER (PARTITION BY char_id ORDER BY chapter NULLS LAST, story_order NULLS LAST, name) AS r FROM facts) WHERE r <= 60")
 def entity_facts_top(spark, sf):
-    return facts(spark, sf).where("char_id % 100 = 7").orderBy(F.asc_nulls_last("chapter"), F.asc_nulls_last("story_order"), "name").limit(60).select("node_id", "chapter", "story_order")
+    """The first 60 facts of every character."""
+    return S.top_k(facts(spark, sf), "char_id", [F.asc_nulls_last("chapter"), F.asc_nulls_last("story_order"), F.asc("name")], 60).select("char_id", "node_id", "chapter", "story_order")
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, q.label AS ql, v.vec_id AS node_id, v.label AS vl, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+@query("""WITH s AS (SELECT q.vec_id AS query_id, q.label AS ql, v.vec_id AS node_id, v.label AS vl, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 25 = 0),
 w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM s), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS r2 FROM w WHERE r <= 20 AND ql = vl)
 SELECT query_id, node_id, r2 AS rank FROM f WHERE r2 <= 5""")
 def oversample_trim(spark, sf):
     """Top 4k, then the tenant, then top k: what filtering after the search loses, as a diagnostic."""
     e = t(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").alias("vec"))
-    wide = S.vector_topk(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "vec"), e.select(F.col("vec_id").alias("node_id"), "vec"), 20)
+    wide = S.vector_topk(e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "vec"), e.select(F.col("vec_id").alias("node_id"), "vec"), 20)
     ql, nl = e.select(F.col("vec_id").alias("query_id"), "label"), e.select(F.col("vec_id").alias("node_id"), "label")
     same = wide.join(ql, "query_id").join(nl, ["node_id", "label"]).drop("rank")
     return S.top_k(same, "query_id", [F.desc(F.round("score", 9)), "node_id"], 5).select("query_id", "node_id", F.col("rank").cast("long").alias("rank"))

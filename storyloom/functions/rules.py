@@ -124,6 +124,6 @@ GRAPH = "struct<nodes:array<struct<id:string,label:string,properties:map<string,
 
 
 def claim_index(claim_id: Column, i: Column) -> Column:
-    """Position from 0: of 'P12' 11, else i - 1; null if neither is a number."""
+    """Position from 0: of 'P12' 11, else i - 1; null if neither is a number, or it is beyond an int."""
     by_id = F.regexp_extract(F.coalesce(claim_id, F.lit("")), "^P([0-9]+)$", 1)
-    return F.when(by_id != "", by_id.cast("int") - 1).otherwise(i.try_cast("int") - 1)
+    return F.when(by_id != "", by_id.try_cast("int") - 1).otherwise(i.try_cast("int") - 1)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -42,9 +43,9 @@ def alias_flatten(c: Column) -> Column:
 
 
 def evidence_tokens(c: Column) -> Column:
-    """'C3, C4' to [3, 4]; tokens of another form go."""
+    """'C3, C4' to [3, 4]; tokens of another form, or beyond an int, go."""
     tokens = F.transform(F.split(c, ","), lambda x: F.trim(x))
-    return F.transform(F.filter(tokens, lambda x: x.rlike("^C[0-9]+$")), lambda x: F.substring(x, 2, 18).cast("int"))
+    return F.filter(F.transform(F.filter(tokens, lambda x: x.rlike("^C[0-9]+$")), lambda x: F.substring(x, 2, 18).try_cast("int")), lambda n: n.isNotNull())
 
 
 def sentences(c: Column) -> Column:
@@ -64,64 +65,80 @@ def split_oversized(start: Column, end: Column, size: int) -> Column:
     return F.transform(F.sequence(start, end - 1, F.lit(size).cast("long")), lambda i: F.struct(i.alias("start"), F.least(i + size, end).alias("end")))
 
 
-def find_spans(text: str, parts: list[str]) -> list[tuple[int, int]]:
-    """Each part's place after the one before it; parts that are not there are left out."""
-    spans, cursor = [], 0
-    for part in parts:
-        part = part.strip()
-        at = text.find(part, cursor) if part else -1
-        if at >= 0:
-            cursor = at + len(part)
-            spans.append((at, cursor))
-    return spans
+SPANS = "array<struct<start:int,end:int>>"
+EDGES = " \t\n\r"
 
 
-def pack_spans(spans: list[tuple[int, int]], size: int, overlap: int = 0) -> list[tuple[int, int]]:
-    """Consecutive spans joined while they stay within size; a chunk may start with the last ones of the chunk before."""
-    pieces = [(i, min(i + size, e)) for s, e in spans for i in range(s, e, size)]
-    out, held = [], []
-    for piece in pieces:
-        if held and piece[1] - held[0][0] > size:
-            out.append((held[0][0], held[-1][1]))
-            back, room = len(held), overlap
-            while back and held[back - 1][1] - held[back - 1][0] <= room:
-                back -= 1
-                room -= held[back][1] - held[back][0]
-            held = held[back:]
-            if held and piece[1] - held[0][0] > size:
-                held = []
-        held.append(piece)
-    return out + ([(held[0][0], held[-1][1])] if held else [])
+def _span(start: Column, end: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
 
-SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-CHUNKS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+def sentence_spans(parts: Column) -> Column:
+    """Spans of the parts of a text without white space at their ends; the parts are the whole text, so lengths add up to places."""
 
+    def step(acc: Column, s: Column) -> Column:
+        n, lead, body = F.length(s), F.length(s) - F.length(F.ltrim(s, F.lit(EDGES))), F.length(F.btrim(s, F.lit(EDGES)))
+        start = acc["at"] + lead
+        return F.struct((acc["at"] + n).alias("at"), F.when(body > 0, F.array_append(acc["spans"], _span(start, start + body))).otherwise(acc["spans"]).alias("spans"))
 
-@F.pandas_udf(SPANS)
-def sentence_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """(text, sentences) to spans; a running position over one row, so a batch of rows goes through Python at once."""
-    for text, parts in batches:
-        yield pd.Series([[{"start": s, "end": e} for s, e in find_spans(t or "", list(p) if p is not None else [])] for t, p in zip(text, parts, strict=True)])
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), step, lambda acc: acc["spans"])
 
 
-def pack_chunks(text: Column, parts: Column, size: int = 100, overlap: int = 0) -> Column:
-    """Spans of chunks of a text from its sentences, with the chunks themselves."""
+def located_spans(text: Column, parts: Column) -> Column:
+    """Spans of sentences that somebody else cut: each is looked up after the one before it; those that are not there are left out."""
 
-    @F.pandas_udf(CHUNKS)
-    def pack(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for t, p in batches:
-            yield pd.Series([[{"start": s, "end": e, "chunk": x[s:e]} for s, e in pack_spans(find_spans(x or "", list(y) if y is not None else []), size, overlap)] for x, y in zip(t, p, strict=True)])
+    def step(acc: Column, s: Column) -> Column:
+        body = F.btrim(s, F.lit(EDGES))
+        at = F.when(F.length(body) > 0, F.call_function("locate", body, text, acc["at"] + 1)).otherwise(0)
+        end = at - 1 + F.length(body)
+        return F.struct(F.when(at > 0, end).otherwise(acc["at"]).alias("at"), F.when(at > 0, F.array_append(acc["spans"], _span(at - 1, end))).otherwise(acc["spans"]).alias("spans"))
 
-    return pack(text, parts)
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), step, lambda acc: acc["spans"])
+
+
+def pack_spans(spans: Column, size: int = 100) -> Column:
+    """Consecutive spans joined while they stay within size; longer ones are cut to size first."""
+    cut = F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s["start"], s["end"] - 1, F.lit(size)), lambda i: _span(i, F.least(i + size, s["end"])))))
+
+    def closed(acc: Column) -> Column:
+        return F.array_append(acc["out"], _span(acc["head"], acc["last"]))
+
+    def step(acc: Column, p: Column) -> Column:
+        full = (acc["head"] >= 0) & (p["end"] - acc["head"] > size)
+        head = F.when(full | (acc["head"] < 0), p["start"]).otherwise(acc["head"])
+        return F.struct(head.alias("head"), p["end"].alias("last"), F.when(full, closed(acc)).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(-1).alias("head"), F.lit(-1).alias("last"), F.array().cast(SPANS).alias("out"))
+    return F.aggregate(cut, zero, step, lambda acc: F.when(acc["head"] >= 0, closed(acc)).otherwise(acc["out"]))
+
+
+def overlapping_chunks(spans: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Chunks of at most size that may start with the last spans of the chunk before, up to overlap characters of them.
+
+    Ends rise, so a chunk's last span is found by bisection; running lengths give the first span that a chunk repeats.
+    A repetition that leaves no room for the next span is dropped.
+    """
+    cut = [(i, min(i + size, e)) for s, e in spans for i in range(s, e, size)]
+    starts, ends = [s for s, _ in cut], [e for _, e in cut]
+    lengths = list(accumulate((e - s for s, e in cut), initial=0))
+    out, head = [], 0
+    while head < len(cut):
+        after = bisect_right(ends, starts[head] + size, head)
+        out.append((starts[head], ends[after - 1]))
+        if after == len(cut):
+            break
+        repeat = max(head, bisect_left(lengths, lengths[after] - overlap, head, after))
+        head = repeat if ends[after] - starts[repeat] <= size else after
+    return out
 
 
 class PackChunks:
     """Table function (text, size, overlap) to rows of chunk_index, start, stop, chunk_text."""
 
     def eval(self, text: str, size: int, overlap: int):
-        parts = [m.group() for m in re.finditer(SENTENCE, text or "")]
-        for i, (s, e) in enumerate(pack_spans(find_spans(text or "", parts), size, overlap)):
+        text = text or ""
+        bodies = ((m.start() + len(m.group()) - len(m.group().lstrip(EDGES)), m.group().strip(EDGES)) for m in re.finditer(SENTENCE, text))
+        for i, (s, e) in enumerate(overlapping_chunks([(at, at + len(body)) for at, body in bodies if body], size, overlap)):
             yield i, s, e, text[s:e]
 
 
@@ -132,22 +149,14 @@ def register_pack_chunks(spark) -> None:
 def pack_pieces(lines: Column, size: int = 3000) -> Column:
     """For each numbered line the number of its piece, from 1: a piece closes before the line that would pass size."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            out = []
-            for row in rows:
-                piece, held, numbers = 1, 0, []
-                for i, line in enumerate(row if row is not None else [], 1):
-                    n = len(line) + len(f"L{i}: ")
-                    if held and held + n > size:
-                        piece, held = piece + 1, 0
-                    held += n
-                    numbers.append(piece)
-                out.append(numbers)
-            yield pd.Series(out)
+    def step(acc: Column, line: Column) -> Column:
+        n = F.length(line) + F.length(F.concat(F.lit("L"), acc["i"].cast("string"), F.lit(": ")))
+        full = (acc["held"] > 0) & (acc["held"] + n > size)
+        piece = acc["piece"] + F.when(full, 1).otherwise(0)
+        return F.struct((acc["i"] + 1).alias("i"), F.when(full, n).otherwise(acc["held"] + n).alias("held"), piece.alias("piece"), F.array_append(acc["out"], piece).alias("out"))
 
-    return pack(lines)
+    zero = F.struct(F.lit(1).alias("i"), F.lit(0).alias("held"), F.lit(1).alias("piece"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.coalesce(lines, F.array().cast("array<string>")), zero, step, lambda acc: acc["out"])
 
 
 def claim_cap(n: Column) -> Column:
@@ -184,17 +193,24 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def _common(x: str, y: str) -> int:
+    """Length of the longest common subsequence; a row of the table is one integer, a bit for each character of x."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(x):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for c in y:
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(x) - row.bit_count()
+
+
 def wratio_of(a: str, b: str) -> float:
     """Weighted best of the whole, the sorted-word and the best-window ratios of two names, from 0 to 1."""
 
     def ratio(x: str, y: str) -> float:
-        before = [0] * (len(y) + 1)
-        for c in x:
-            row = [0]
-            for j, d in enumerate(y, 1):
-                row.append(before[j - 1] + 1 if c == d else max(before[j], row[-1]))
-            before = row
-        return 2 * before[-1] / (len(x) + len(y)) if x or y else 1.0
+        return 2 * _common(x, y) / (len(x) + len(y)) if x or y else 1.0
 
     if not a or not b:
         return 0.0

@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from storyloom.functions import rules
 
 
-def upper_median(c: Column) -> Column:
-    """The middle of the sorted values, the upper one of two."""
-    s = F.array_sort(F.collect_list(c))
-    return s[F.floor(F.size(s) / 2).cast("int")]
+def upper_median(name: str) -> Column:
+    """The middle of a column's sorted values, the upper one of two; values are counted, not listed."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
+
+
+def listed(rows: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """(key, out): all values of a key in order, joined by commas. Equal values are counted first, so a key's list grows with its distinct values only."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").cast("int").alias("__n"))
+    g = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(value, "__n"))).alias("__l"))
+    return g.select(key, F.array_join(F.flatten(F.transform("__l", lambda x: F.array_repeat(x[value].cast("string"), x["__n"]))), ",").alias(out))
 
 
 def merge_nodes(nodes: DataFrame, keys: list[str], combined: list[str], kept: list[str], order: str) -> DataFrame:

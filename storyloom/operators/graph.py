@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.sources.tables import kept
 
-def ancestors(edges: DataFrame, depth: int = 100) -> DataFrame:
-    """(node, ancestor) along (src, dst), any number of steps. A path that comes back to itself ends there."""
-    edges.createOrReplaceTempView("storyloom_hierarchy")
-    return edges.sparkSession.sql(f"""WITH RECURSIVE up (node, ancestor, path) MAX RECURSION LEVEL {depth} AS (
-        SELECT src, dst, array(src, dst) FROM storyloom_hierarchy WHERE src <> dst
-        UNION ALL SELECT u.node, e.dst, array_append(u.path, e.dst) FROM up u JOIN storyloom_hierarchy e ON e.src = u.ancestor WHERE NOT array_contains(u.path, e.dst))
-        SELECT DISTINCT node, ancestor FROM up""")
+
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor) along (src, dst), any number of steps; no node is its own ancestor.
+
+    Each round joins only what the round before found with the edges, and keeps what is new; rounds are tables in the
+    shared folder. Cycles end, as a round then finds nothing new.
+    """
+    up = kept(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    delta = known = up.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"))
+    while True:
+        step = delta.join(up, delta["ancestor"] == up["src"]).select("node", F.col("dst").alias("ancestor")).where("node <> ancestor").distinct()
+        delta = kept(step.join(known, ["node", "ancestor"], "left_anti"), "ancestors")
+        if delta.isEmpty():
+            return known
+        known = known.union(delta)
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(node): nodes that lie on a cycle of more than one edge."""
+    up = ancestors(edges)
+    back = edges.where("src <> dst").select(F.col("src").alias("ancestor"), F.col("dst").alias("node")).distinct()
+    return up.join(back, ["ancestor", "node"], "left_semi").select("node").distinct()
 
 
 def rewire(edges: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -24,10 +40,9 @@ def rewire(edges: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def induced(members: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, src, dst): edges with both ends among the members of a key."""
-    a, b = members.select(key, F.col("node").alias("src")), members.select(key, F.col("node").alias("dst"))
-    # Node sets are small, edges of a node many: the ends meet within their set first.
-    return a.join(b, key).join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select(key, "src", "dst").distinct()
+    """(key, src, dst): edges with both ends among the members of a key. An edge goes to the keys of its source, then looks for its end there."""
+    out = edges.select("src", "dst").distinct().join(members.select(key, F.col("node").alias("src")).distinct(), "src")
+    return out.join(members.select(key, F.col("node").alias("dst")).distinct(), [key, "dst"], "left_semi").select(key, "src", "dst")
 
 
 def rendered(lines: DataFrame, key: str) -> DataFrame:

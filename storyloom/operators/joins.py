@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,20 +65,39 @@ def resolve_cited(cited: DataFrame, aliases: DataFrame) -> DataFrame:
     return first.select("claim_id", F.col("f.chunk_id").alias("chunk_id"), F.row_number().over(order).cast("long").alias("rank"))
 
 
-def match_quotes(truth: DataFrame, claims: DataFrame, key: str) -> DataFrame:
-    """(truth_id, claim_id, kind) by the first rule that holds, within equal keys.
+def match_kind(g, q, fields, body):
+    """How a truth g meets a claim, all in loose form; the first rule that holds, null if none.
 
-    truth: g; claims: q (quote), fields and body (the text), all in loose form.
-
-    quote: one holds the other; span: their first places in the text overlap; field: a truth of five characters or
-    more is in the claim's fields.
+    quote: it and the claim's quote q, one holds the other; span: their first places in the text overlap; field: a
+    truth of five characters or more is in the claim's fields.
     """
-    g, q = F.col("g"), F.col("q")
-    j = truth.join(claims, key).where(g != "")
-    gi, qi = F.instr(F.col("body"), g), F.when(q != "", F.instr(F.col("body"), q)).otherwise(0)
+    gi, qi = F.instr(body, g), F.when(q != "", F.instr(body, q)).otherwise(0)
     span = (gi > 0) & (qi > 0) & (F.greatest(gi, qi) < F.least(gi + F.length(g), qi + F.length(q)))
-    kind = F.when((q != "") & (q.contains(g) | g.contains(q)), "quote").when(span, "span").when((F.length(g) >= 5) & F.col("fields").contains(g), "field")
-    return j.select("truth_id", "claim_id", kind.alias("kind")).where("kind IS NOT NULL")
+    return F.when((q != "") & (q.contains(g) | g.contains(q)), "quote").when(span, "span").when((F.length(g) >= 5) & fields.contains(g), "field")
+
+
+def match_quotes(truth: DataFrame, claims: DataFrame, texts: DataFrame, n: int = 12) -> DataFrame:
+    """(truth_id, doc_id, line_no, kind) of truths (truth_id, g) and claims (doc_id, line_no, q, fields) of texts (doc_id, body).
+
+    A claim's quote and fields are parts of its text. So a truth meets a claim only if the text holds the truth, or
+    the truth holds the quote; the first candidates come from one search of every text, the others from the quote's
+    first n characters.
+    """
+    truth = truth.where(F.col("g") != "")
+    held = holding(texts, truth.select(F.col("truth_id").alias("marker_id"), F.col("g").alias("m"))).withColumnRenamed("marker_id", "truth_id")
+    near = held.join(claims, "doc_id").join(truth, "truth_id").join(texts, "doc_id")
+    met = near.select("truth_id", "doc_id", "line_no", match_kind(F.col("g"), F.col("q"), F.col("fields"), F.col("body")).alias("kind"))
+    size = F.least(F.length("q"), F.lit(n))
+    asked = claims.where(F.col("q") != "").select("doc_id", "line_no", "q", F.substring("q", 1, n).alias("k"), size.alias("size"))
+    places = truth.select("truth_id", "g", F.explode(F.sequence(F.lit(1), F.least(F.length("g"), F.lit(n)))).alias("size"))
+    places = places.select("truth_id", "g", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("g") - F.col("size") + 1), lambda i: F.substring(F.col("g"), i, F.col("size"))))).alias("k"))
+    inside = asked.join(places, ["k", "size"]).where(F.col("g").contains(F.col("q"))).select("truth_id", "doc_id", "line_no", F.lit("quote").alias("kind"))
+    return met.where("kind IS NOT NULL").union(inside).distinct()
+
+
+def in_scope(rows: DataFrame, tenants: DataFrame, *keys: str) -> DataFrame:
+    """The rows of the tenants asked for; a table partitioned by its tenant is read only where these are."""
+    return rows.join(tenants.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def pending(requested: DataFrame, done: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -92,13 +112,31 @@ def cited_closure(cited: DataFrame, bridge: DataFrame) -> DataFrame:
     return direct.union(cited.where("kind = 'fact'").join(bridge, "node_id").select("claim_id", "chunk_id")).distinct()
 
 
-def holding(texts: DataFrame, markers: DataFrame, n: int) -> DataFrame:
-    """(doc_id) of texts (doc_id, body) that hold a marker (m). Markers are found by their first n characters; shorter ones are searched for in every text."""
-    lengths = markers.select(F.least(F.length("m"), F.lit(n)).alias("k"), F.substring("m", 1, n).alias("g"), "m")
-    # A look-ahead finds the gram at every place in one pass; substring() would count characters from the start each time.
-    grams = F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    places = texts.select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
-    long_ = places.join(lengths.where(F.col("k") == n), "g").select("doc_id", "m").distinct()
-    found = long_.join(texts, "doc_id").where(F.col("body").contains(F.col("m"))).select("doc_id")
-    short = texts.join(lengths.where(F.col("k") < n), F.col("body").contains(F.col("m")), "left_semi").select("doc_id")
-    return found.union(short).distinct()
+def holding(texts: DataFrame, markers: DataFrame, block_chars: int = 1 << 20) -> DataFrame:
+    """(doc_id, marker_id): which texts (doc_id, body) hold which markers (marker_id, m), whole and exactly.
+
+    Markers go to the texts in blocks of bounded size, dealt by hash; a task searches each text once for all markers
+    of a block. Null and empty markers are held by nothing.
+    """
+    markers = markers.where(F.length("m") > 0)
+    blocks, found = int((markers.agg(F.sum(F.length("m"))).first()[0] or 0) // block_chars) + 1, None
+    for b in range(blocks):
+        ids: dict[str, list[int]] = {}
+        for r in markers.where(F.pmod(F.xxhash64("m"), F.lit(blocks)) == b).collect():  # one block, of a checked size
+            ids.setdefault(r["m"], []).append(r["marker_id"])
+        shipped = texts.sparkSession.sparkContext.broadcast(ids)
+
+        def search(batches, shipped=shipped):
+            import ahocorasick
+
+            index = ahocorasick.Automaton()
+            for m, own in shipped.value.items():
+                index.add_word(m, own)
+            index.make_automaton()
+            for pdf in batches:
+                rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["body"], strict=True) if t and len(index) for i in {i for _, own in index.iter(t) for i in own}]
+                yield pd.DataFrame(rows, columns=["doc_id", "marker_id"])
+
+        part = texts.select("doc_id", "body").mapInPandas(search, "doc_id long, marker_id long")
+        found = part if found is None else found.union(part)
+    return found.distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +12,33 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where none is set."""
+    """The folder in spark.checkpoint.dir. Where none is set, a temporary one, on a local master only: elsewhere tasks would not share it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not named and app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-storyloom-")
-    return named or _own[app]
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-storyloom-")
+    return _own[context.applicationId]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/storyloom/{uuid.uuid4().hex}-{name}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: the lineage ends there, and a lost executor costs nothing before it."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def put_partitions(df: DataFrame, path: str, *keys: str) -> DataFrame:
     """Replaces exactly the partitions that df has; writing the same rows twice leaves the same table."""
-    df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    # A rebalance deals a large work over several tasks and joins small ones.
+    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -30,6 +47,22 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything under path, on whatever store Spark reads."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def put_report(rows: DataFrame, path: str, *columns: str) -> DataFrame:
+    """rows, of which there are few, as one JSON file and one Markdown file of table lines under path; returns the lines."""
+    rows.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    read = rows.sparkSession.read.schema(rows.schema).json(f"{path}/json")
+    cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    read.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")).coalesce(1).write.mode("overwrite").text(f"{path}/md")
+    return rows.sparkSession.read.text(f"{path}/md").withColumnRenamed("value", "line")
+
+
 def stamped(df: DataFrame, tenant) -> DataFrame:
     """df with its tenant in the same write; rows without one fail the job."""
     return df.withColumn("tenant_id", F.coalesce(tenant, F.raise_error(F.lit("a row has no tenant"))))

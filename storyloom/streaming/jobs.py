@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from storyloom.sources.tables import shared_dir
+from storyloom.sources.tables import shared_path
 
 #: The state store that processors with several state variables need.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/storyloom/{uuid.uuid4().hex}-{name}"
+    return shared_path(spark, name)
 
 
 def ran(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -33,37 +31,40 @@ def ran(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def source(df: DataFrame, name: str) -> DataFrame:
+def source(df: DataFrame, name: str, files_a_batch: int | None = None) -> DataFrame:
     """The rows of a static table as a stream of files."""
     path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    reader = df.sparkSession.readStream.schema(df.schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
 
 
-def ingest(chapters: DataFrame, key: list[str]) -> DataFrame:
-    """Bundles of files; chapters already marked are left out, and marks are written with the rows of their batch."""
-    spark, out = chapters.sparkSession, place(chapters.sparkSession, "ingest")
-    schema = chapters.schema
+def ingested(df: DataFrame, number: int, out: str, key: list[str]) -> None:
+    """Batch `number` of an ingestion: chapters that an earlier batch has are left out. A batch that runs again writes the same rows again."""
+    spark, new = df.sparkSession, df.dropDuplicates(key)
+    if number:
+        done = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch int").parquet(out)
+        new = new.join(done.where(F.col("batch") < number).select(*key), key, "left_anti")
+    new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    def batch(df: DataFrame, number: int) -> None:
-        new = df.dropDuplicates(key)
-        if number:
-            done = spark.read.schema(schema).parquet(out).select(*key)
-            new = new.join(done, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = chapters.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+def ingest(chapters: DataFrame, key: list[str]) -> DataFrame:
+    """Bundles of files, each chapter once: the rows of a batch are the marks of its chapters."""
+    spark, out = chapters.sparkSession, place(chapters.sparkSession, "ingest")
+    chapters.sparkSession.createDataFrame([], chapters.schema).write.parquet(f"{out}/batch=-1")  # so that the table has files from the start
+    q = chapters.writeStream.foreachBatch(lambda df, number: ingested(df, number, out, key)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/batch=*")
+    return spark.read.schema(chapters.schema).parquet(f"{out}/batch=*")
 
 
 def dedupe(events: DataFrame, keys: list[str], ts: str, within: str) -> DataFrame:
+    """Each key once within a span of event time; its state leaves when the watermark has passed the span."""
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed(events: DataFrame, ts: str, late: str, window: str, keys: list[str], value: str) -> DataFrame:
-    w = F.window(ts, window)
-    return events.withWatermark(ts, late).groupBy(w, *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+def windowed(events: DataFrame, ts: str, late: str, window, keys: list[str], value: str) -> DataFrame:
+    """Counts and sums by a window of event time, tumbling, sliding or of a session; rows later than `late` are dropped, open windows not shown."""
+    return events.withWatermark(ts, late).groupBy(window.alias("window"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
 class Continuity(StatefulProcessor):
@@ -73,38 +74,58 @@ class Continuity(StatefulProcessor):
         self.last = handle.getValueState("last", "last long")
 
     def handleInputRows(self, key, rows, timer_values):
-        last = self.last.get()[0] if self.last.exists() else -1
-        broken = False
-        for pdf in rows:
-            for n in sorted(pdf["turn"].tolist()):
-                ok = not broken and n == last + 1
-                broken = broken or not ok
-                last = n if ok else last
-                yield pd.DataFrame({"conv_id": [key[0]], "turn": [n], "admitted": [ok]})
+        last, broken = self.last.get()[0] if self.last.exists() else -1, False
+        turns = sorted(n for pdf in rows for n in pdf["turn"].tolist())  # the rows of one key may come in several frames
+        admitted = []
+        for n in turns:
+            broken = broken or n != last + 1
+            last = last if broken else n
+            admitted.append(not broken)
         self.last.update((last,))
+        yield pd.DataFrame({"conv_id": [key[0]] * len(turns), "turn": turns, "admitted": admitted})
 
     def close(self) -> None:
         pass
 
 
 class Quota(StatefulProcessor):
-    """What is left of a model's quota: observations set it, spending lowers it, never below 0."""
+    """What is left of a model's quota: an observation sets it and says when it will be full again, spending lowers it, never below 0.
+
+    Rows: at and reset in milliseconds, event_id, observed, tokens. A call after the reset finds the full quota; for a
+    model without calls a timer restores it when the watermark passes the reset.
+    """
+
+    FULL = 1000
 
     def init(self, handle) -> None:
-        self.left = handle.getValueState("left", "left long")
+        self.handle = handle
+        self.state = handle.getValueState("quota", "left long, reset long")
 
     def handleInputRows(self, key, rows, timer_values):
-        left = self.left.get()[0] if self.left.exists() else 1000
-        for pdf in rows:
-            for kind, tokens in sorted(zip(pdf["event_id"], zip(pdf["observed"], pdf["tokens"], strict=True), strict=True)):
-                observed, n = tokens
-                left = int(n) if observed else max(0, left - int(n))
-        self.left.update((left,))
-        yield pd.DataFrame({"model": [key[0]], "left_over": [left]})
+        left, reset = self.state.get() if self.state.exists() else (self.FULL, 0)
+        calls = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        at = 0
+        for at, observed, tokens, wait in zip(calls["at"].tolist(), calls["observed"].tolist(), calls["tokens"].tolist(), calls["reset"].tolist(), strict=True):
+            if reset and at >= reset:
+                left, reset = self.FULL, 0
+            if observed:
+                left, reset = tokens, at + wait
+            else:
+                left = max(0, left - tokens)
+        self.state.update((left, reset))
+        if reset:
+            self.handle.registerTimer(reset)
+        yield pd.DataFrame({"model": [key[0]], "at": [at], "left_over": [left]})
+
+    def handleExpiredTimer(self, key, timer_values, expired):
+        left, reset = self.state.get()
+        if reset and reset == expired.getExpiryTimeInMs():
+            self.state.update((self.FULL, 0))
+            yield pd.DataFrame({"model": [key[0]], "at": [reset], "left_over": [self.FULL]})
 
     def close(self) -> None:
         pass
 
 
-def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "none")
+def stateful(df: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str = "none") -> DataFrame:
+    return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", time)
