@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.sources.tables import shared_dir
+
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id inside the operators, so that such rows sort last.
 NO_ID = 2**63 - 1
 M64 = (1 << 64) - 1
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, local runs), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-storyloom-")
-    return _own_dirs[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -39,6 +28,23 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SALT = "__salt"
+
+
+def spread(big: DataFrame, small: DataFrame, key: list[str], n: str, by: list[str], least: int = 100, share: int = 10_000, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """big and small, to be joined on key and SALT such that a key of many rows of big is dealt out over tasks.
+
+    small has one row for each key, is a stored table, and its column n says how many rows of big have this key. A key
+    is hot if that is more than `least` and more than one in `share` of all; so there are at most `share` of them, which
+    bounds what is broadcast. Rows of a hot key are dealt by a hash of the columns `by`; its row of small is repeated.
+    """
+    most = max(least, int((small.agg(F.sum(n)).first()[0] or 0) // share))
+    hot = small.where(F.col(n) > most).select(*key, F.lit(True).alias("__hot"))
+    dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.col(n) > most, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return big.join(F.broadcast(hot), key, "left").withColumn(SALT, dealt).drop("__hot"), small.withColumn(SALT, F.explode(every))
+
+
 def row_id(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import row_id, scratch
+from storyloom.llm.common import SALT, row_id, scratch, spread
 
 #: Text bytes for each bucket of the exchange, and the fewest buckets.
 BUCKET_BYTES, BUCKETS = 16 << 20, 64
@@ -34,8 +34,9 @@ def statuses(base: DataFrame) -> DataFrame:
     """(id, md5, th, rep, copies, n): one row for each (id, text); rep is the smallest id with this text, copies its rows."""
     ids = base.select("id", "md5", "th", F.octet_length("text").alias("n")).groupBy("id", "md5", "th").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
     ids = scratch(ids, "ids")
-    whole = ids.groupBy("md5").agg(F.min("id").alias("rep"), F.sum("rows").alias("copies"))
-    return scratch(ids.join(whole, "md5").select("id", "md5", "th", "rep", "copies", "n"), "statuses")
+    whole = scratch(ids.groupBy("md5").agg(F.min("id").alias("rep"), F.sum("rows").alias("copies"), F.count("*").alias("ids")), "whole")
+    ids, whole = spread(ids, whole, ["md5"], "ids", ["id"])
+    return scratch(ids.join(whole, ["md5", SALT]).select("id", "md5", "th", "rep", "copies", "n"), "statuses")
 
 
 def buckets_for(status: DataFrame) -> int:
@@ -116,11 +117,12 @@ def with_anchors(base: DataFrame, status: DataFrame, anchors: DataFrame) -> Data
 def with_spans(base: DataFrame, status: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, copy, copies, spans, text): found (id, th, lo, hi) are half-open ranges of window starts to act on.
 
-    A text is named by id and th: null ids are one id, and an id may come with several texts.
+    A text is named by id and th: null ids are one id, and an id may come with several texts. Only the row with the
+    smallest id of a text has spans, so copies meet in no join.
     """
-    spans = found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumnRenamed("id", "rep")
-    told = status.join(spans, ["rep", "th"], "left").where("copies > 1 OR id <> rep OR spans IS NOT NULL")
-    told = scratch(told.select("id", "md5", (F.col("id") != F.col("rep")).alias("copy"), "copies", F.when(F.col("id") == F.col("rep"), F.col("spans")).alias("spans")), "spans")
+    spans = found.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    told = status.join(spans, ["id", "th"], "left").where("copies > 1 OR id <> rep OR spans IS NOT NULL")
+    told = scratch(told.select("id", "md5", (F.col("id") != F.col("rep")).alias("copy"), "copies", "spans"), "spans")
     joined = base.join(told, ["id", "md5"], "left")
     return joined.select("doc_id", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "spans", "text")
 
