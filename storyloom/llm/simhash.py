@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import NO_ID, components, row_id, scratch
+from storyloom.llm.common import NO_ID, SALT, components, row_id, scratch, spread
 
 #: Buckets up to this many fingerprints are compared pair by pair; in larger ones each looks up its possible neighbours.
 PAIRWISE = 128
@@ -40,14 +40,18 @@ def fingerprint(text: str | None, n: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(id, fp) for each row of docs; fp holds the 64 bits as a signed long, id the doc_id (null: the largest long)."""
+    """(id, th, fp) for each row of docs; fp holds the 64 bits as a signed long, id the doc_id (null: the largest long), th a hash of the text."""
 
     def run(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
 
-    return docs.select(row_id().alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(row_id().alias("id"), text_hash().alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, th long, fp long")
+
+
+def text_hash():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -84,6 +88,19 @@ def links(distinct: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> Dat
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).union(looked)
 
 
+def grouped(docs: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
+    """(id, th, fp, c, component_id) for each row of docs; equal fingerprints are one vertex, c names the component, and component_id is its smallest id."""
+    prints = scratch(fingerprints(docs), "prints")
+    distinct = scratch(prints.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
+    found = components(links(distinct.select("fp", F.col("fp").alias("id")), radius, pairwise))
+    of = scratch(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "id", "n", F.coalesce("component", "fp").alias("c")), "named")
+    low = scratch(of.groupBy("c").agg(F.min("id").alias("low"), F.count("*").alias("members")), "lowest")
+    of, low = spread(of, low, ["c"], "members", ["fp"])
+    of = of.join(low, ["c", SALT]).select("fp", "n", "c", F.when(F.col("low") < NO_ID, F.col("low")).alias("component_id"))
+    prints, of = spread(prints, scratch(of, "groups"), ["fp"], "n", ["id", "th"])
+    return prints.join(of, ["fp", SALT]).select("id", "th", "fp", "c", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs.
 
@@ -92,31 +109,17 @@ def near_duplicates(docs: DataFrame, radius: int = 2, pairwise: int = PAIRWISE)
     is the smallest id that is not null, or null if there is none. Repeated rows get equal results; an empty table
     gives none. Columns besides doc_id and text are not read.
     """
-    prints = scratch(fingerprints(docs), "prints")
-    distinct = scratch(prints.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    # A fingerprint that only rows without id have gets a vertex above every id.
-    vertex = distinct.withColumn("id", F.when(F.col("id") == NO_ID, F.lit(2**62) + F.pmod(F.xxhash64("fp"), F.lit(2**61))).otherwise(F.col("id")))
-    found = components(links(vertex, radius, pairwise))
-    of = vertex.join(found, vertex["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    joined = prints.join(of, "fp")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return joined.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), hexed, F.when(F.col("component_id") < 2**62, F.col("component_id")).alias("component_id"))
+    return grouped(docs, radius, pairwise).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), hexed, "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The rows of docs, all columns, of which one for each component: that of the smallest doc_id.
 
-    Among rows with the same doc_id the one with the smallest text stays; rows without doc_id stay only where no
-    member of their component has one, one for each component that shares their fingerprint.
+    A row is named by its doc_id and its text, so unrelated texts under one doc_id (or none) each answer for
+    themselves. Rows without doc_id come last; of rows with one doc_id the one with the smaller hash of its text stays,
+    and of rows that agree in both any one.
     """
-    keep = near_duplicates(docs, radius)
-    named = keep.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(named, docs["doc_id"] == named["__id"], "left_semi")
-    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
-    if docs.where("doc_id IS NULL").isEmpty():
-        return kept
-    bare = docs.where("doc_id IS NULL")
-    print_of = F.udf(lambda t: f"{fingerprint(t):016x}", "string")
-    alone = keep.where("component_id IS NULL").select(F.col("fingerprint").alias("__f")).distinct()
-    bare = bare.withColumn("__f", print_of("text")).join(alone, "__f", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__f").orderBy("text"))).where("__n = 1")
-    return kept.unionByName(bare.select(*docs.columns))
+    stay = grouped(docs, radius).groupBy("c").agg(F.min(F.struct("id", "th")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.th").alias("__th"))
+    marked = docs.withColumns({"__id": row_id(), "__th": text_hash()}).join(stay, ["__id", "__th"], "left_semi")
+    return marked.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__th").orderBy("text"))).where("__n = 1").select(*docs.columns)
