@@ -29,7 +29,8 @@ from storyloom.llm.common import scratch_path
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SCHEMA = "doc_id long, media binary"
-MANIFEST = "_archives.json"
+#: Each commit lists its archives in a file of its own; what can go wrong while a member is read.
+MANIFEST, FAILURES = "_archives-", (OSError, ValueError, struct.error, zipfile.BadZipFile)
 
 
 def payload(text: str | None) -> bytes:
@@ -73,7 +74,7 @@ def from_png(media: bytes) -> tuple[bytes, int]:
     raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
     if len(raw) != height * (WIDTH + 1) or raw[:: WIDTH + 1].any():
         raise ValueError("unexpected size or row filter")
-    return raw.reshape(height, WIDTH + 1)[:, 1:].tobytes(), len(raw) if n_bytes is None else n_bytes
+    return raw.reshape(height, WIDTH + 1)[:, 1:].tobytes(), height * WIDTH if n_bytes is None else n_bytes
 
 
 def features(samples: bytes) -> str:
@@ -102,8 +103,10 @@ class MediaReader(DataSourceReader):
 
     def partitions(self):
         store, root = fs.FileSystem.from_uri(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            listed = json.loads(f.read())
+        listed = []
+        for manifest in manifests(store, root):
+            with store.open_input_stream(manifest) as f:
+                listed += json.loads(f.read())
         return [ByteRange(a["name"], lo, min(lo + self.range_bytes, a["size"])) for a in listed for lo in range(0, a["size"], self.range_bytes)] or [ByteRange("", 0, 0)]
 
     def member(self, store, path: str, info: zipfile.ZipInfo) -> bytes:
@@ -112,7 +115,7 @@ class MediaReader(DataSourceReader):
             try:
                 with store.open_input_file(path) as f:
                     return self.take(f, info)
-            except (OSError, ValueError):
+            except FAILURES:
                 if not left:
                     raise
         raise AssertionError
@@ -121,7 +124,7 @@ class MediaReader(DataSourceReader):
     def take(f, info: zipfile.ZipInfo) -> bytes:
         f.seek(info.header_offset)
         head = f.read(30)
-        if head[:4] != b"PK\x03\x04":
+        if len(head) < 30 or head[:4] != b"PK\x03\x04":
             raise ValueError(f"no member at {info.header_offset}")
         name, extra = struct.unpack("<HH", head[26:30])
         f.seek(info.header_offset + 30 + name + extra)
@@ -130,19 +133,29 @@ class MediaReader(DataSourceReader):
             raise ValueError(f"the member at {info.header_offset} has a wrong checksum")
         return data
 
+    def directory(self, store, path: str) -> list[zipfile.ZipInfo]:
+        """The members that an archive lists; a failed read is tried again."""
+        for left in range(self.tries - 1, -1, -1):
+            try:
+                with store.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                    return z.infolist()
+            except FAILURES:
+                if not left:
+                    raise
+        raise AssertionError
+
     def read(self, partition: ByteRange):
         if not partition.name:
             return
         store, root = fs.FileSystem.from_uri(self.path)
         path = f"{root}/{partition.name}"
         ids, media, held = [], [], 0
+        members = [i for i in self.directory(store, path) if partition.lo <= i.header_offset < partition.hi]
         with store.open_input_file(path) as f:
-            with zipfile.ZipFile(f) as z:
-                members = [i for i in z.infolist() if partition.lo <= i.header_offset < partition.hi]
             for info in sorted(members, key=lambda i: i.header_offset):
                 try:
                     data = self.take(f, info)
-                except (OSError, ValueError):
+                except FAILURES:
                     data = self.member(store, path, info)
                 name = info.filename.split("-", 1)[1].removesuffix(".png")
                 ids.append(None if name == "null" else int(name))
@@ -159,9 +172,14 @@ class MediaReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "media"])
 
 
+def manifests(store, root: str) -> list[str]:
+    found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in found if f.base_name.startswith(MANIFEST))
+
+
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, batches):
         store, root = fs.FileSystem.from_uri(self.path)
@@ -181,8 +199,11 @@ class MediaWriter(DataSourceArrowWriter):
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
         listed = [{"name": m.name, "size": m.size, "members": m.members} for m in messages if m is not None and m.members]
-        with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(listed).encode())
+        for manifest in before:  # its archives no longer count
+            store.delete_file(manifest)
 
     def abort(self, messages):
         store, root = fs.FileSystem.from_uri(self.path)
@@ -205,11 +226,11 @@ class MediaArchives(DataSource):
         return MediaReader(dict(self.options))
 
     def writer(self, schema, overwrite):
-        return MediaWriter(dict(self.options))
+        return MediaWriter(dict(self.options), overwrite)
 
 
-def store_documents(docs: DataFrame, path: str) -> None:
-    """Each row's text as a member of an archive under path; a null text is an empty one, a null doc_id stays null."""
+def store_documents(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """Each row's text as a member of an archive under path; a null text is an empty one, a null doc_id stays null. Mode `append` keeps what is there, `overwrite` does not."""
 
     def encode(batches):
         for b in batches:
@@ -219,7 +240,7 @@ def store_documents(docs: DataFrame, path: str) -> None:
 
     docs.sparkSession.dataSource.register(MediaArchives)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plain.mapInArrow(encode, SCHEMA).write.format("media_archives").mode("append").save(path)
+    plain.mapInArrow(encode, SCHEMA).write.format("media_archives").mode(mode).save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options) -> DataFrame:
