@@ -103,13 +103,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     the rest of its source until one block is left, where at most two units of each source land. Null texts have size
     0; a null source is a source of its own, the last. Where one document holds a large part of its source, no choice may
     come nearer to the target than about half its size. Rows that agree in doc_id, source and size are told apart by
-    ordinal. An empty table gives no row. Only doc_id, text and source are read.
+    ordinal, in the order of a hash of their text. An empty table gives no row. Only doc_id, text and source are read.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("t"))
     sized = scratch(sized, "sizes")
     goal = scratch(targets(sized, weights, share, cap), "targets")
-    same = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    units = sized.withColumn("ordinal", F.row_number().over(same))
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("t")
+    units = sized.withColumn("ordinal", F.row_number().over(same)).drop("t")
     units = units.join(goal.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     units = units.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     units = units.withColumn("base", F.floor(F.col("ratio") + 1e-12)).withColumn("pi", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base")))
@@ -136,10 +136,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as mix() takes it: a document taken twice gives two rows."""
-    plan = mix(docs, **options).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__w"), F.col("ordinal").alias("__o"), "copies").where("copies > 0")
+    plan = mix(docs, **options).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__w"), F.col("ordinal").alias("__o"), F.col("copies").alias("__copies")).where("__copies > 0")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     own = docs.withColumns({"__d0": F.col("doc_id").cast("long"), "__s0": F.col("source").cast("string"), "__w0": size})
-    own = own.withColumn("__o0", F.row_number().over(Window.partitionBy("__d0", "__s0", "__w0").orderBy(F.lit(0))))
+    own = own.withColumn("__o0", F.row_number().over(Window.partitionBy("__d0", "__s0", "__w0").orderBy(F.xxhash64("text"))))
     same = F.col("__d0").eqNullSafe(F.col("__d")) & F.col("__s0").eqNullSafe(F.col("__s")) & (F.col("__w0") == F.col("__w")) & (F.col("__o0") == F.col("__o"))
-    took = own.join(plan, same).withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return took.select(*[docs[c] for c in docs.columns])
+    took = own.join(plan, same).withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return took.select(*docs.columns)
