@@ -23,6 +23,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case. The pattern also takes numerals such as fractions and superscripts; these part words."""
+    out = []
+    for w in LETTERS.findall((text or "").lower()):
+        out += [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split()
+    return out
+
+
 def word_features(word: str) -> list[int]:
     """Slots of a lower-case word: itself, affixes of one to three letters, trigrams, its length."""
     w = f"<{word}>"
@@ -126,7 +134,7 @@ def lexicon_counts(rows: DataFrame) -> DataFrame:
         for b in batches:
             counts: dict[str, np.ndarray] = {}
             for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
-                words = LETTERS.findall(text.as_py().lower())
+                words = words_of(text.as_py())
                 if len(slot_of) > 300_000:
                     slot_of.clear()
                 for w in words:
@@ -204,7 +212,7 @@ def sequence_gradient(texts: list[str], langs: list[str], model: Model, seed: in
     index = {x: i for i, x in enumerate(model.labels)}
     spans = []
     for text, lang in zip(texts, langs, strict=True):
-        words = LETTERS.findall(text.lower())
+        words = words_of(text)
         spans += [(words[i : i + SPAN], index[lang]) for i in range(0, len(words), SPAN)]
     seqs = [(w, [y] * len(w)) for w, y in spans]
     rng = np.random.default_rng(seed)
@@ -267,7 +275,7 @@ def label_documents(docs: DataFrame, model: Model, folds: int = 5, words_at_once
                 words, lengths, rows = [], [], []
 
             for i, t in enumerate(b.column("text")):
-                own = LETTERS.findall((t.as_py() or "").lower()) if m.labels else []
+                own = words_of(t.as_py()) if m.labels else []
                 if own:
                     words += own
                     lengths.append(len(own))
