@@ -45,8 +45,9 @@ def pivots_of(distinct: DataFrame, cell: int, limit: int) -> dict:
 def assign(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
     """Each vector in the cell of its nearest pivot, and in every lower cell that can hold a vector within radius.
 
-    For x in cell i, y in cell j and |x - y| <= r: d(y, p_i) <= d(x, p_i) + r <= d(x, p_j) + r <= d(y, p_j) + 2 r. A pair
-    across two cells is found in the lower one.
+    For x in cell i and y in cell j the plane halfway between p_i and p_j parts them, so |x - y| <= r needs that y is no
+    farther than r from it: (d(y, p_i)^2 - d(y, p_j)^2) / (2 |p_i - p_j|) <= r. A pair across two cells is found in the
+    lower one.
     """
     shipped = distinct.sparkSession.sparkContext.broadcast(pivots)
 
@@ -64,11 +65,12 @@ def assign(distinct: DataFrame, pivots: dict, radius: float) -> DataFrame:
                     cell += [0] * len(rows)
                     home += [True] * len(rows)
                     continue
+                apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
                 for lo in range(0, len(rows), 1024):
                     part = np.array(rows[lo : lo + 1024])
-                    d = np.sqrt(np.maximum(2 - 2 * unit([vs[i] for i in part]) @ p.T, 0))
+                    d = np.maximum(2 - 2 * unit([vs[i] for i in part]) @ p.T, 0)  # squared
                     own = d.argmin(axis=1)
-                    near = d <= d[np.arange(len(part)), own][:, None] + 2 * radius + 1e-6
+                    near = d - d[np.arange(len(part)), own][:, None] <= 2 * radius * apart[own] + 1e-6
                     near &= np.arange(len(p))[None, :] < own[:, None]
                     r, c = np.nonzero(near)
                     at += [*part.tolist(), *part[r].tolist()]
