@@ -5,81 +5,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import row_id
+from storyloom.llm.common import SALT, row_id, scratch, spread
+
+#: A boundary stands after one line in so many; the modulus and factor of a Lehmer generator, which mixes window hashes.
+DIVISOR, PRIME, FACTOR = 2, 2147483647, 48271
 
 
 def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def chunked(docs: DataFrame, divisor: int = 4) -> DataFrame:
-    """docs without text, with __null, __id, __th (a hash of the text) and __chunks: arrays of whole lines, joined by line feeds.
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as a column of its own step: what a lambda refers to is then computed once a row, not once an element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def chunked(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
+    """docs without text, with __null, __id, __th (a hash of the text), __lines and __chunks: arrays of (at, n), half of which overlap.
 
-    The rolling hash of a line is that of the line before and its own; a chunk ends where it is divisible by divisor
-    (and at the end), so a boundary depends on two lines only and an insertion moves no boundary further on.
+    The rolling hash of a line is that of the line before and its own; after a mixing step it decides whether the line
+    is a boundary, so that a boundary depends on two lines only and an insertion moves none further on. A chunk is
+    the two lines of a boundary, or reaches from one boundary's two lines to the next one's (from the first line, to
+    the last line, at the ends).
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = [c for c in docs.columns if c != "text"]
-    # Each step is its own generator: what a lambda refers to is then computed once a row, not once an element.
     base = docs.select(*[docs[c] for c in rest], F.col("text").isNull().alias("__null"), row_id().alias("__id"), F.xxhash64(text).alias("__th"), F.explode(F.array(F.split(text, "\n", -1))).alias("__lines"))
-    base = base.select("*", F.explode(F.array(F.transform("__lines", line_hash))).alias("__h"))
+    base = once(base, "__h", F.transform("__lines", line_hash))
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("__h", 1, F.size("__h") - 1))
-    rolled = F.zip_with("__h", before, lambda h, b: (b * 31 + h) % divisor)
-    ends = F.filter(F.transform(rolled, lambda r, i: F.when(r == 0, i + 1)), lambda e: e.isNotNull())
-    base = base.select("*", F.explode(F.array(F.array_union(ends, F.array(F.size("__h"))))).alias("__ends"))
-    starts = F.concat(F.array(F.lit(0)), F.slice("__ends", 1, F.size("__ends") - 1))
-    chunks = F.zip_with("__ends", starts, lambda e, b: F.slice("__lines", b + 1, e - b))
-    return base.select(*rest, "__null", "__id", "__th", F.explode(F.array(chunks)).alias("__chunks"))
+    rolled = F.zip_with("__h", before, lambda h, b: F.shiftright((b * 31 + h) % PRIME * FACTOR % PRIME, 12) % divisor)
+    base = once(base, "__ends", F.filter(F.transform(rolled, lambda r, i: F.when((r == 0) & (i > 0), i)), lambda e: e.isNotNull()))
+    last, none = F.size("__lines") - 1, F.size("__ends") == 0
+    starts = F.concat(F.array(F.lit(0)), F.transform("__ends", lambda e: e - 1))
+    spans = F.zip_with(starts, F.concat("__ends", F.array(last)), lambda a, b: F.struct(a.alias("at"), (b - a + 1).alias("n")))
+    pairs = F.transform("__ends", lambda e: F.struct((e - 1).alias("at"), F.lit(2).alias("n")))
+    chunks = F.concat(pairs, F.filter(spans, lambda s: (s["n"] > 2) | none))
+    return base.select(*rest, "__null", "__id", "__th", "__lines", chunks.alias("__chunks"))
 
 
 def repeated(base: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(__id, __th, gone): for each document the positions of chunks that occur earlier, byte for byte.
+    """(__id, __th, __gone): for each document the chunks (at, n) that occur earlier, byte for byte.
 
-    Hashes, counted with partial sums, leave few candidates; these are grouped by their bytes. Order is by doc_id,
-    then by position; chunks of fewer than min_lines lines, or without a character, never go.
+    Counted hashes, with partial sums, leave few candidates; these are grouped by their bytes. Order is by doc_id,
+    then by position; chunks of fewer than min_lines lines, or without a character, never go. Chunks that occur often
+    are dealt out over tasks.
     """
-    rows = base.select("__id", "__th", F.posexplode("__chunks").alias("pos", "lines")).where(F.size("lines") >= min_lines)
-    rows = rows.select("__id", "__th", "pos", F.array_join("lines", "\n").alias("chunk")).where(F.length(F.regexp_replace("chunk", "\n", "")) > 0)
+    places = base.select("__id", "__th", "__lines", F.explode("__chunks").alias("__c")).where(F.col("__c.n") >= min_lines)
+    rows = places.select("__id", "__th", "__c", F.array_join(F.slice("__lines", F.col("__c.at") + 1, F.col("__c.n")), "\n").alias("chunk")).where(F.length(F.translate("chunk", "\n", "")) > 0)
     rows = rows.withColumn("h", F.xxhash64("chunk"))
-    twice = rows.groupBy("h").agg(F.min(F.struct("__id", "__th", "pos")).alias("lo"), F.max(F.struct("__id", "__th", "pos")).alias("hi")).where("lo <> hi").select("h")
-    found = rows.join(twice, "h", "left_semi")
-    first = found.groupBy("h", "chunk").agg(F.min(F.struct("__id", "__th", "pos")).alias("first"))
-    later = found.join(first, ["h", "chunk"]).where(F.struct("__id", "__th", "pos") != F.col("first"))
-    return later.groupBy("__id", "__th").agg(F.collect_set("pos").alias("gone"))
+    twice = scratch(rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "twice")
+    dealt, twice = spread(rows, twice, ["h"], "times", ["__id", "__th", "__c"])
+    found = scratch(dealt.join(twice.select("h", SALT), ["h", SALT], "left_semi").drop(SALT), "candidates")
+    first = scratch(found.groupBy("h", "chunk").agg(F.min(F.struct("__id", "__th", "__c")).alias("first"), F.count("*").alias("times")).where("times > 1"), "first")
+    dealt, first = spread(found, first, ["h", "chunk"], "times", ["__id", "__th", "__c"])
+    later = dealt.join(first, ["h", "chunk", SALT]).where(F.struct("__id", "__th", "__c") != F.col("first"))
+    return later.groupBy("__id", "__th").agg(F.collect_set("__c").alias("__gone"))
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 4, min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2) -> DataFrame:
     """docs, all columns and rows, with text cut to what stays, and __n_lines, __n_removed.
 
-    Of equal chunks of at least min_lines lines the first by (doc_id, position) stays. A null text counts as empty and
-    stays null. Rows that agree in doc_id and text are one document and get the same result; rows without doc_id come
-    last. A document all of whose chunks go keeps its row with an empty text.
+    A line goes if a chunk of at least min_lines lines covers it that also occurs earlier, by (doc_id, position);
+    chunks are judged on the input. A null text counts as empty and stays null. Rows that agree in doc_id and text are
+    one document and get the same result; rows without doc_id come last. A document all of whose lines go keeps its
+    row with an empty text. A very long text is one row, handled in time linear in its lines. Columns may have any
+    name that doesn't begin with two underscores.
     """
     base = chunked(docs, divisor)
     gone = repeated(base, min_lines).withColumnsRenamed({"__id": "__i", "__th": "__t"})
     joined = base.join(gone, (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")), "left")
-    none = F.col("gone").isNull()
-    kept = F.filter("__chunks", lambda c, i: ~F.array_contains("gone", i))
-    whole = F.array_join(F.flatten(F.when(none, F.col("__chunks")).otherwise(kept)), "\n")
-    n = F.size(F.flatten("__chunks"))
+    every, covered = F.sequence(F.lit(0), F.size("__lines") - 1), F.flatten(F.transform("__gone", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1)))
+    joined = once(joined, "__kept", F.when(F.col("__gone").isNull(), every).otherwise(F.array_except(every, covered)))
+    whole = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
     out = joined.withColumns({
-        "__n_lines": n.cast("long"),
-        "__n_removed": F.when(none, F.lit(0)).otherwise(n - F.size(F.flatten(kept))).cast("long"),
+        "__n_lines": F.size("__lines").cast("long"),
+        "__n_removed": (F.size("__lines") - F.size("__kept")).cast("long"),
         "text": F.when(~F.col("__null"), whole),
     })
     return out.select(*docs.columns, "__n_lines", "__n_removed")
 
 
 #: The same over whole tables for DuckDB.
-ORACLE = """
+ORACLE = f"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 h AS (SELECT doc_id, ls, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS hs FROM l),
-e AS (SELECT doc_id, ls, list_filter(range(1, len(ls) + 1), lambda i: i = len(ls) OR ((CASE WHEN i > 1 THEN hs[i - 1] * 31 ELSE 0 END) + hs[i]) % 4 = 0) AS es FROM h),
-c AS (SELECT doc_id, ls, unnest(range(1, len(es) + 1)) AS k, es FROM e),
-d AS (SELECT doc_id, k, CASE WHEN k > 1 THEN es[k - 1] ELSE 0 END AS lo, es[k] AS hi, ls FROM c),
-r AS (SELECT doc_id, k, hi - lo AS n, array_to_string(ls[lo + 1:hi], chr(10)) AS chunk FROM d),
-f AS (SELECT *, n >= 2 AND length(replace(chunk, chr(10), '')) > 0 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM r)
-SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed,
-  sha256(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
-FROM f GROUP BY doc_id
+e AS (SELECT doc_id, ls, list_filter(range(1, len(ls)), lambda i: (((hs[i] * 31 + hs[i + 1]) % {PRIME} * {FACTOR} % {PRIME}) >> 12) % {DIVISOR} = 0) AS es FROM h),
+s AS (SELECT doc_id, ls, unnest(es) - 1 AS lo, unnest(es) AS hi FROM e
+  UNION SELECT doc_id, ls, unnest(list_concat([0], list_transform(es, lambda x: x - 1))) AS lo, unnest(list_concat(es, [len(ls) - 1])) AS hi FROM e),
+c AS (SELECT DISTINCT doc_id, lo, hi, array_to_string(ls[lo + 1:hi + 1], chr(10)) AS chunk FROM s WHERE hi > lo),
+g AS (SELECT doc_id, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, lo) AS r FROM c WHERE length(replace(chunk, chr(10), '')) > 0) WHERE r > 1),
+x AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM g),
+a AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS i FROM l),
+k AS (SELECT a.doc_id, a.i, a.line, x.i IS NOT NULL AS gone FROM a LEFT JOIN x ON x.doc_id = a.doc_id AND x.i = a.i)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id
 """
