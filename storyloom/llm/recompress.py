@@ -204,47 +204,71 @@ def windows(docs: DataFrame, buckets: int, window: int) -> DataFrame:
             if not parts["h"]:
                 continue
             c = {k: np.concatenate(v) for k, v in parts.items()}
-            bucket = (c["h"] % np.uint64(buckets)).astype(np.int64)
-            ends = np.cumsum(c["n"])
+            # Of equal windows of a batch only the first goes on; the others are known to occur earlier (bucket -1).
+            run_of = np.repeat(np.arange(len(c["n"])), c["n"])
+            at = np.repeat(c["start"], c["n"]) + np.arange(len(run_of)) - np.repeat(np.cumsum(c["n"]) - c["n"], c["n"])
+            known = occurs_earlier(c["id"][run_of], c["th"][run_of], at, c["w1"], c["w2"])
+            bucket = (c["h"] % np.uint64(buckets)).astype(np.int64)[run_of]
+            bucket[known] = -1
             rows = []
             for k in np.unique(bucket).tolist():
-                r = np.flatnonzero(bucket == k)
-                n = c["n"][r]
-                w = np.repeat(ends[r] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                rows.append((k, c["id"][r].astype(np.int64).tobytes(), c["th"][r].astype(np.int64).tobytes(), c["start"][r].astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), c["w1"][w].tobytes(), c["w2"][w].tobytes()))
+                chosen = bucket == k
+                lo, hi = stretches(run_of, chosen)
+                shown = chosen if k >= 0 else np.zeros(0, np.int64)
+                r = run_of[lo]
+                rows.append((k, c["id"][r].astype(np.int64).tobytes(), c["th"][r].astype(np.int64).tobytes(), at[lo].astype(np.int64).tobytes(), (hi - lo + 1).astype(np.int32).tobytes(), c["w1"][shown].tobytes(), c["w2"][shown].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32()] + [pa.binary()] * 6, strict=True)], ["bucket", "id", "th", "start", "n", "w1", "w2"])
 
     return docs.mapInArrow(run, RUNS)
 
 
-def later(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(id, th, lo, hi): ranges of window starts whose words occur earlier, among the windows of one bucket."""
-    ids, ths, start, n, w1, w2 = (np.frombuffer(b"".join(pdf[k]), t) for k, t in (("id", np.int64), ("th", np.int64), ("start", np.int64), ("n", np.int32), ("w1", np.uint64), ("w2", np.uint64)))
-    run = np.repeat(np.arange(len(n)), n)
-    at = np.repeat(start, n) + np.arange(len(w1)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((at, ths[run], ids[run], w2, w1))
-    a, b, i, t, p = w1[order], w2[order], ids[run][order], ths[run][order], at[order]
+def occurs_earlier(ids, ths, at, w1, w2) -> np.ndarray:
+    """Whether a window's words also start at an earlier place (id, th, at) among these windows."""
+    order = np.lexsort((at, ths, ids, w2, w1))
+    a, b, i, t, p = w1[order], w2[order], ids[order], ths[order], at[order]
     same = np.zeros(len(a), bool)
     same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     head = np.flatnonzero(~same)
     first = head[np.cumsum(~same) - 1] if len(a) else head
     gone = np.zeros(len(a), bool)
     gone[order] = (i != i[first]) | (t != t[first]) | (p != p[first])
-    new = np.ones(len(a), bool)
-    new[1:] = (run[1:] != run[:-1]) | ~gone[:-1]
-    lo = np.flatnonzero(gone & new)
-    last = np.ones(len(a), bool)
-    last[:-1] = (run[1:] != run[:-1]) | ~gone[1:]
-    hi = np.flatnonzero(gone & last)
+    return gone
+
+
+def stretches(run: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of each stretch of chosen windows within a run."""
+    new, last = np.ones(len(run), bool), np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | ~chosen[:-1]
+    last[:-1] = (run[1:] != run[:-1]) | ~chosen[1:]
+    return np.flatnonzero(chosen & new), np.flatnonzero(chosen & last)
+
+
+def later(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(id, th, lo, hi): ranges of window starts whose words occur earlier, among the windows of one bucket."""
+    ids, ths, start, n, w1, w2 = (np.frombuffer(b"".join(pdf[k]), t) for k, t in (("id", np.int64), ("th", np.int64), ("start", np.int64), ("n", np.int32), ("w1", np.uint64), ("w2", np.uint64)))
+    run = np.repeat(np.arange(len(n)), n)
+    at = np.repeat(start, n) + np.arange(len(w1)) - np.repeat(np.cumsum(n) - n, n)
+    lo, hi = stretches(run, occurs_earlier(ids[run], ths[run], at, w1, w2))
     return pd.DataFrame({"id": ids[run[lo]], "th": ths[run[lo]], "lo": at[lo], "hi": at[hi] + 1})
 
 
+def known_ranges(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            ids, ths, start, n = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in (("id", np.int64), ("th", np.int64), ("start", np.int64), ("n", np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ths), pa.array(start), pa.array(start + n)], ["id", "th", "lo", "hi"])
+
+
+FOUND = "id long, th long, lo long, hi long"
+
+
 def dedup_words(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (with keep_text: text, of the kept words) for each row of docs.
 
     A word goes if a window of `window` words covers it that also starts earlier: in a smaller doc_id, or earlier in
-    the same document. Texts that share an id, or have none, are ordered by a hash. Of equal texts only the one with the smallest doc_id is searched; the others lose every
-    window. Rows that agree in doc_id and text are one document; null doc_ids are one largest id. Null and empty
+    the same document. Texts that share an id, or have none, are ordered by a hash. Of equal texts only the one with
+    the smallest doc_id is searched; the others lose every window. A very long text is one row: memory grows with its
+    words. Rows that agree in doc_id and text are one document; null doc_ids are one largest id. Null and empty
     texts have no word. Other columns are not read; an empty table gives no row.
     """
     base = repeats.base_of(docs)
@@ -252,7 +276,8 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, keep_text: bool = False)
     buckets = repeats.buckets_for(status)
     places = repeats.repeated_anchors(base, lambda ths, texts: anchors(ths, texts, window), buckets)
     packed = scratch(windows(repeats.with_anchors(base, status, places), buckets, window), "windows")
-    found = packed.groupBy("bucket").applyInPandas(later, "id long, th long, lo long, hi long")
+    found = packed.where("bucket >= 0").groupBy("bucket").applyInPandas(later, FOUND)
+    found = found.union(packed.where("bucket < 0").mapInArrow(known_ranges, FOUND))
     told = repeats.with_spans(base, status, found)
 
     def run(batches):
