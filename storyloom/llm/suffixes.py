@@ -4,27 +4,29 @@ Bytes covered by a 200-byte string that occurs anywhere else are removed. Each w
 gram by hash, so equal windows lie alike around equal anchors. Spark counts anchors; passages around those that
 repeat go, by anchor, into bounded collections. There one symbol of every passage is inserted each round, from the
 right: a stable sort by the new symbol turns the order of the suffixes at one column into that at the next, with
-their common prefixes. Columns come from an external file, written once and read in sequence, so memory holds a few
-numbers for each passage whatever the passages' length. As passages are laid out around their anchors, suffixes that
+their common prefixes. Columns come from an external file in the shared folder, written once and read in sequence, so
+beside the passages themselves memory holds a few numbers for each. As passages are laid out around their anchors, suffixes that
 can share 200 bytes always stand in the same column, and one column's order is all that is kept.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 
 from storyloom.llm import repeats
-from storyloom.llm.common import mix, scratch
+from storyloom.llm.common import mix, scratch, scratch_path
 from storyloom.llm.recompress import rolling
 
-#: Bytes of a window and of an anchor's gram; bytes handled at once; passages laid out at once.
-WINDOW, GRAM, AT_ONCE, LAYOUT = 200, 64, 2 << 20, 4096
+#: Bytes of a window and of an anchor's gram; bytes handled at once; bytes that a file's buffer holds.
+WINDOW, GRAM, AT_ONCE, BUFFER = 200, 64, 2 << 20, 1 << 20
 PASSAGES = "bucket int, id binary, th binary, pos binary, a binary, b binary, shown binary, content binary"
 FOUND = "id long, th long, lo long, hi long"
 _symbol = mix(np.arange(256, dtype=np.uint64), 9)
@@ -121,25 +123,55 @@ def passages(docs: DataFrame, buckets: int, window: int) -> DataFrame:
     return docs.mapInArrow(run, PASSAGES)
 
 
-def laid_out(content: bytes, size: np.ndarray, left: np.ndarray, top: int, width: int, to) -> None:
-    """Writes the passages to a file column by column; a passage's first byte belongs in column top - left."""
+def reach(first: np.ndarray, end: np.ndarray, column: int) -> np.ndarray:
+    """The passages that have a byte in a column."""
+    return np.flatnonzero((first <= column) & (column < end))
+
+
+def exactly(stream, n: int) -> bytes:
+    """n bytes; a remote store may hand out fewer at once."""
+    data = stream.read(n)
+    while len(data) < n:
+        more = stream.read(n - len(data))
+        if not more:
+            raise OSError("a file of columns is too short")
+        data += more
+    return data
+
+
+@contextmanager
+def columns_of(content: bytes, size: np.ndarray, first: np.ndarray, end: np.ndarray, width: int, folder: str | None):
+    """A stream of the passages' bytes, column by column from the last to the first; its file goes when it has been read."""
     begin = np.cumsum(size) - size
     raw = np.frombuffer(content, np.uint8)
-    out = np.memmap(to, np.uint8, "w+", shape=(width, len(size)))
-    for lo in range(0, len(size), LAYOUT):
-        n, b, c = size[lo : lo + LAYOUT], begin[lo : lo + LAYOUT], top - left[lo : lo + LAYOUT]
-        block = np.zeros((len(n), width), np.uint8)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        block[np.repeat(np.arange(len(n)), n), np.repeat(c, n) + inner] = raw[np.repeat(b, n) + inner]
-        out[:, lo : lo + len(n)] = block.T
-    out.flush()
-
 
-def repeated_windows(content: bytes, a: np.ndarray, b: np.ndarray, window: int) -> list[tuple[np.ndarray, int]]:
+    def write(to) -> None:
+        for column in range(width - 1, -1, -1):
+            there = reach(first, end, column)
+            to.write(raw[begin[there] + column - first[there]].tobytes())
+
+    if folder is None:
+        to = pa.BufferOutputStream()
+        write(to)
+        yield pa.BufferReader(to.getvalue())
+        return
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    path = f"{root}/{uuid.uuid4().hex}"
+    with store.open_output_stream(path, buffer_size=BUFFER) as to:
+        write(to)
+    try:
+        with store.open_input_stream(path, buffer_size=BUFFER) as columns:
+            yield columns
+    finally:
+        store.delete_file(path)
+
+
+def repeated_windows(content: bytes, a: np.ndarray, b: np.ndarray, window: int, folder: str | None = None) -> list[tuple[np.ndarray, int]]:
     """(passages, distance) of windows that start `distance` before their anchor and occur twice or more.
 
     order: the passages that reach the column, by the suffix that starts there. prefix[k]: bytes that suffixes k-1
-    and k have in common, up to the shorter one's end.
+    and k have in common, up to the shorter one's end. folder: where the file of columns lies; none for one in memory.
     """
     size, top = a - b + window, int(a.max())
     width = top + window - int(b.min())
@@ -149,10 +181,11 @@ def repeated_windows(content: bytes, a: np.ndarray, b: np.ndarray, window: int)
     by_start = np.argsort(-(top - a), kind="stable")
     starts = -(top - a)[by_start]
     order, prefix, out = np.zeros(0, np.int64), np.zeros(0, np.int32), []
-    with tempfile.TemporaryFile() as to:
-        laid_out(content, size, a, top, width, to)
-        symbols = np.memmap(to, np.uint8, "r", shape=(width, len(a)))
+    symbols = np.zeros(len(a), np.uint8)
+    with columns_of(content, size, top - a, end, width, folder) as columns:
         for column in range(width - 1, -1, -1):
+            there = reach(top - a, end, column)
+            symbols[there] = np.frombuffer(exactly(columns, len(there)), np.uint8)
             gone = by_start[slice(*np.searchsorted(starts, [-(column + 1), -column]))]
             if len(gone):  # these began in the column before: their neighbours share what all between had in common
                 leaves = np.zeros(len(a), bool)
@@ -166,7 +199,7 @@ def repeated_windows(content: bytes, a: np.ndarray, b: np.ndarray, window: int)
                 prefix[0] = 0
             if not len(order):
                 continue
-            symbol = symbols[column][order]
+            symbol = symbols[order]
             longer = np.zeros(len(order), np.int32)
             for s in np.flatnonzero(np.bincount(symbol, minlength=256)).tolist():
                 at = np.flatnonzero(symbol == s)
@@ -183,10 +216,10 @@ def repeated_windows(content: bytes, a: np.ndarray, b: np.ndarray, window: int)
     return out
 
 
-def solve(window: int):
+def solve(window: int, folder: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, ths, pos, a, b, shown = (np.frombuffer(b"".join(pdf[k]), t) for k, t in (("id", np.int64), ("th", np.int64), ("pos", np.int64), ("a", np.int32), ("b", np.int32), ("shown", np.uint8)))
-        found = repeated_windows(b"".join(pdf["content"]), a.astype(np.int64), b.astype(np.int64), window)
+        found = repeated_windows(b"".join(pdf["content"]), a.astype(np.int64), b.astype(np.int64), window, folder)
         if not found:
             return pd.DataFrame({"id": ids[:0], "th": ths[:0], "lo": pos[:0], "hi": pos[:0]})
         who = np.concatenate([w for w, _ in found])
@@ -216,14 +249,15 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_by
 
     Rows with equal texts repeat each other whole: all of a text of at least `window` bytes goes, and one of them
     stands for all in the search. Null and empty texts have no byte; repeated rows count as copies; null doc_ids are
-    allowed. Other columns are not read; an empty table gives no row.
+    allowed. A very long text is searched in pieces, but is one row: memory grows with its bytes. Other columns are not
+    read; an empty table gives no row.
     """
     base = repeats.base_of(docs)
     status = repeats.statuses(base)
     buckets = repeats.buckets_for(status)
     places = repeats.repeated_anchors(base, lambda ths, texts: anchors(ths, texts, window, gram), buckets)
     packed = scratch(passages(repeats.with_anchors(base, status, places), buckets, window), "passages")
-    found = packed.where("bucket >= 0").groupBy("bucket").applyInPandas(solve(window), FOUND)
+    found = packed.where("bucket >= 0").groupBy("bucket").applyInPandas(solve(window, scratch_path(docs.sparkSession, "columns")), FOUND)
     found = found.union(packed.where("bucket < 0").mapInArrow(known_windows, FOUND))
     told = repeats.with_spans(base, status, scratch(found, "found"))
 
