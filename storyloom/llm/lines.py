@@ -43,19 +43,27 @@ def chunked(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     return base.select(*rest, "__null", "__id", "__th", "__lines", chunks.alias("__chunks"))
 
 
-def repeated(base: DataFrame, min_lines: int = 2) -> DataFrame:
-    """(__id, __th, __gone): for each document the chunks (at, n) that occur earlier, byte for byte.
+def candidates(base: DataFrame, min_lines: int = 2) -> DataFrame:
+    """(__id, __th, __cand): for each document that has any, its chunks (at, n, h) whose hash occurs more than once.
 
-    Counted hashes, with partial sums, leave few candidates; these are grouped by their bytes. Order is by doc_id,
-    then by position; chunks of fewer than min_lines lines, or without a character, never go. Chunks that occur often
-    are dealt out over tasks.
+    Hashes and places alone are exchanged, no bytes. Chunks of fewer than min_lines lines, or without a character, are
+    none. Chunks that occur often are dealt out over tasks.
     """
     places = base.select("__id", "__th", "__lines", F.explode("__chunks").alias("__c")).where(F.col("__c.n") >= min_lines)
-    rows = places.select("__id", "__th", "__c", F.array_join(F.slice("__lines", F.col("__c.at") + 1, F.col("__c.n")), "\n").alias("chunk")).where(F.length(F.translate("chunk", "\n", "")) > 0)
-    rows = rows.withColumn("h", F.xxhash64("chunk"))
-    twice = scratch(rows.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "twice")
-    dealt, twice = spread(rows, twice, ["h"], "times", ["__id", "__th", "__c"])
-    found = scratch(dealt.join(twice.select("h", SALT), ["h", SALT], "left_semi").drop(SALT), "candidates")
+    places = places.select("__id", "__th", "__c", chunk_text("__c").alias("chunk")).where(F.length(F.translate("chunk", "\n", "")) > 0)
+    places = scratch(places.select("__id", "__th", F.struct("__c.at", "__c.n", F.xxhash64("chunk").alias("h")).alias("__c")).withColumn("h", F.col("__c.h")), "places")
+    twice = scratch(places.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"), "twice")
+    dealt, twice = spread(places, twice, ["h"], "times", ["__id", "__th", "__c"])
+    return dealt.join(twice.select("h", SALT), ["h", SALT], "left_semi").groupBy("__id", "__th").agg(F.collect_set("__c").alias("__cand"))
+
+
+def chunk_text(c: str) -> Column:
+    return F.array_join(F.slice("__lines", F.col(f"{c}.at") + 1, F.col(f"{c}.n")), "\n")
+
+
+def repeated(told: DataFrame) -> DataFrame:
+    """(__id, __th, __gone): for each document the candidates that occur earlier, byte for byte, by doc_id and position."""
+    found = told.select("__id", "__th", "__lines", F.explode("__cand").alias("__c")).select("__id", "__th", "__c", F.col("__c.h").alias("h"), chunk_text("__c").alias("chunk"))
     first = scratch(found.groupBy("h", "chunk").agg(F.min(F.struct("__id", "__th", "__c")).alias("first"), F.count("*").alias("times")).where("times > 1"), "first")
     dealt, first = spread(found, first, ["h", "chunk"], "times", ["__id", "__th", "__c"])
     later = dealt.join(first, ["h", "chunk", SALT]).where(F.struct("__id", "__th", "__c") != F.col("first"))
@@ -72,12 +80,16 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_lines: int = 2) ->
     name that doesn't begin with two underscores.
     """
     base = chunked(docs, divisor)
-    gone = repeated(base, min_lines).withColumnsRenamed({"__id": "__i", "__th": "__t"})
-    joined = base.join(gone, (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")), "left")
+    named = lambda df: df.withColumnsRenamed({"__id": "__i", "__th": "__t"})
+    same = (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t"))
+    told = scratch(base.drop("__chunks").join(named(candidates(base, min_lines)), same, "left").drop("__i", "__t"), "told")
+    some = told.where(F.col("__cand").isNotNull())
+    marked = some.join(named(repeated(some)), same, "left").drop("__i", "__t", "__cand")
+    marked = marked.unionByName(told.where(F.col("__cand").isNull()).drop("__cand"), allowMissingColumns=True)
     every, covered = F.sequence(F.lit(0), F.size("__lines") - 1), F.flatten(F.transform("__gone", lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1)))
-    joined = once(joined, "__kept", F.when(F.col("__gone").isNull(), every).otherwise(F.array_except(every, covered)))
+    marked = once(marked, "__kept", F.when(F.col("__gone").isNull(), every).otherwise(F.array_except(every, covered)))
     whole = F.array_join(F.transform("__kept", lambda i: F.get("__lines", i)), "\n")
-    out = joined.withColumns({
+    out = marked.withColumns({
         "__n_lines": F.size("__lines").cast("long"),
         "__n_removed": (F.size("__lines") - F.size("__kept")).cast("long"),
         "text": F.when(~F.col("__null"), whole),
