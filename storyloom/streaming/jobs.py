@@ -117,9 +117,9 @@ class Quota(StatefulProcessor):
             self.handle.registerTimer(reset)
         yield pd.DataFrame({"model": [key[0]], "at": [at], "left_over": [left]})
 
-    def handleExpiredTimer(self, key, timer_values, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # Spark passes these by name
         left, reset = self.state.get()
-        if reset and reset == expired.getExpiryTimeInMs():
+        if reset and reset == expiredTimerInfo.getExpiryTimeInMs():
             self.state.update((self.FULL, 0))
             yield pd.DataFrame({"model": [key[0]], "at": [reset], "left_over": [self.FULL]})
 
