@@ -200,7 +200,7 @@ def routed_calls(spark, sf):
 
 @query(f"""WITH {CALLS_SQL}, {NODES_SQL}, {TURNS_SQL}, {hybrid_sql('h', 'nodes', 'ha', 3)}, {text_sql('f', 'turns', 'fa', 3)},
 hits AS (SELECT query_id, node_id, rank FROM hhy UNION ALL SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) FROM fft), tx AS (SELECT node_id, text FROM nodes UNION ALL SELECT node_id, text FROM turns)
-SELECT query_id // 10 AS claim_id, query_id % 10 AS channel, node_id, rank, row_number() OVER (PARTITION BY query_id // 10, md5(regexp_replace(text, '\s+', '', 'g')) ORDER BY query_id, rank) = 1 AS has_text FROM hits JOIN tx USING (node_id)""")
+SELECT query_id // 10 AS claim_id, query_id % 10 AS channel, node_id, rank, row_number() OVER (PARTITION BY query_id // 10, md5(regexp_replace(text, '\\s+', '', 'g')) ORDER BY query_id, rank) = 1 AS has_text FROM hits JOIN tx USING (node_id)""")
 def claim_retrieve(spark, sf):
     """All claims at once: routed to their channels, cut at each claim's chapter before the three best are taken, repeated texts kept as references."""
     calls = kept(routed_calls(spark, sf), "calls")
