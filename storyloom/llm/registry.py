@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm import language, lines, media, mixing, pieces, quality, recompress, simhash, suffixes, vectors
+from storyloom.llm import alignment, bytepairs, language, lines, media, mixing, pieces, quality, recompress, resampling, simhash, suffixes, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_documents(docs, language.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_recompress, op3_pieces, op4_lines, op5_vectors, op6_media, op7_simhash, op8_suffixes, op9_mixing, op10_language)}
+def op11_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_recompress, op3_pieces, op4_lines, op5_vectors, op6_media, op7_simhash, op8_suffixes, op9_mixing, op10_language, op11_bytepairs, op12_alignment, op13_resampling)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op2_recompress": recompress.ORACLE, "op4_lines": lines.ORACLE, "op5_vectors": vectors.ORACLE}
