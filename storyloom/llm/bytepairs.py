@@ -45,8 +45,8 @@ CONTRACT_LONG = f"""WITH RECURSIVE t AS (
    FROM (SELECT *, lag(here, 1, false) OVER (PARTITION BY w ORDER BY n) AS gone FROM put) WHERE NOT gone))
 SELECT w, p, id, done FROM t WHERE done OR i = {ROUNDS}"""
 
-#: Ids of each word in order, and the bytes that they decode to.
-DECODE = "SELECT w, list(id ORDER BY p) AS ids, unhex(string_agg(hex, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY w"
+#: The ids of each word in order, as 32-bit integers, and the bytes that they decode to.
+DECODE = "SELECT w, unhex(string_agg(le, '' ORDER BY p)) AS ids, unhex(string_agg(hex, '' ORDER BY p)) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,13 +77,13 @@ class PairCodec:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000):
-        self.ranks, self.pattern, self.limit, self.cache = ranks, regex.compile(pattern), cache, {}
+        self.ranks, self.pattern, self.limit, self.cache, self.older = ranks, regex.compile(pattern), cache, {}, {}
         self.apart = classes_apart()
-        self.any_apart = re.compile(f"[{''.join(map(chr, self.apart))}]") if self.apart else re.compile(r"(?!)")
+        self.letters_apart = frozenset(map(chr, self.apart))
         merges = np.array([(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], dtype=np.int64).reshape(-1, 2)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "800MB", "temp_directory": ""})
-        for name, table in (("merges", {"pair": merges[:, 0], "id": merges[:, 1]}), ("vocabulary", {"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})):
+        for name, table in (("merges", {"pair": merges[:, 0], "id": merges[:, 1]}), ("vocabulary", {"id": list(ranks.values()), "hex": [t.hex() for t in ranks], "le": [r.to_bytes(4, "little").hex() for r in ranks.values()]})):
             self.db.register("rows", pa.table(table))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
@@ -113,17 +113,17 @@ class PairCodec:
                 return pa.concat_tables(parts)
             rows = self._rows(CONTRACT_LONG, rows.filter(pa.array(~done)).select(["w", "p", "id"]))
 
-    def words(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
-        """Ids of each word, and the bytes that these decode to."""
-        out, rest = [None] * len(words), []
+    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids of each word, as 32-bit integers, and the bytes that these decode to."""
+        out: list = [None] * len(words)
+        sides: dict[bool, list[int]] = {False: [], True: []}
         for i, x in enumerate(words):
             r = self.ranks.get(x)
             if r is None:
-                rest.append(i)
+                sides[len(x) > LONG].append(i)
             else:
-                out[i] = ([r], x)
-        for long in (False, True):
-            some = [i for i in rest if (len(words[i]) > LONG) == long]
+                out[i] = (r.to_bytes(4, "little"), x)
+        for long, some in sides.items():
             at = 0
             while at < len(some):
                 end, size = at, 0
@@ -139,23 +139,27 @@ class PairCodec:
         return out
 
     def cut(self, unit: str) -> list[bytes]:
-        """The matches of the pattern. Characters that the library knows otherwise are looked at as it does."""
-        if self.any_apart.search(unit):
+        """The matches of the pattern in a unit. Characters that the library knows otherwise are looked at as it does."""
+        if not unit.isascii() and not self.letters_apart.isdisjoint(unit):
             return [unit[m.start() : m.end()].encode() for m in self.pattern.finditer(unit.translate(self.apart))]
         return [w.encode() for w in self.pattern.findall(unit)]
 
     def learn(self, units: set[str]) -> None:
-        """Puts (number of ids, ids as 32-bit integers, decoded bytes) of each unit of text into the cache."""
-        missing = [u for u in units if u not in self.cache]
-        if len(self.cache) + len(missing) > self.limit:
-            self.cache.clear()
-            missing = list(units)
+        """Puts (ids as 32-bit integers, decoded bytes) of each unit of text into the cache; what was not met for long leaves it."""
+        if len(self.cache) > self.limit:
+            self.older, self.cache = self.cache, {}
+        missing = []
+        for u in units.difference(self.cache):
+            known = self.older.get(u)
+            if known is None:
+                missing.append(u)
+            else:
+                self.cache[u] = known
         cut = [self.cut(u) for u in missing]
         distinct = list({w for ws in cut for w in ws})
         of = dict(zip(distinct, self.words(distinct), strict=True))
         for u, ws in zip(missing, cut, strict=True):
-            ids = [i for w in ws for i in of[w][0]]
-            self.cache[u] = (len(ids), np.array(ids, dtype="<u4").tobytes(), b"".join(of[w][1] for w in ws))
+            self.cache[u] = of[ws[0]] if len(ws) == 1 else (b"".join([of[w][0] for w in ws]), b"".join([of[w][1] for w in ws]))
 
     def units(self, text: str) -> list[str]:
         """The text cut before single spaces inside it; every unit but the first begins with its space."""
@@ -165,7 +169,7 @@ class PairCodec:
     def encode(self, text: str | None) -> list[int]:
         units = self.units(text or "")
         self.learn(set(units))
-        return np.frombuffer(b"".join(self.cache[u][1] for u in units), "<u4").tolist()
+        return np.frombuffer(b"".join([self.cache[u][0] for u in units]), "<u4").tolist()
 
     def digests(self, texts: list[str | None]):
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded bytes) of each text, in order."""
@@ -179,7 +183,8 @@ class PairCodec:
             self.learn({u for us in cut for u in us})
             for us in cut:
                 known = [self.cache[u] for u in us]
-                yield sum(k[0] for k in known), hashlib.sha256(b"".join(k[1] for k in known)).hexdigest(), hashlib.sha256(b"".join(k[2] for k in known)).hexdigest()
+                ids, data = b"".join([k[0] for k in known]), b"".join([k[1] for k in known])
+                yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()
             at = end
 
 
