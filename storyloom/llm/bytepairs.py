@@ -24,9 +24,9 @@ SLICE, WORDS, BYTES, LONG, ROUNDS = 4_000_000, 16_000, 1_000_000, 64, 48
 CONTRACT = """WITH RECURSIVE t AS (
   SELECT w, p, id, nid, q, false AS done FROM start
   UNION ALL
-  (WITH best AS (SELECT w, min(m.id << 32 | p) AS b FROM t JOIN merges m ON m.pair = (t.id << 32 | t.nid) WHERE NOT done AND nid >= 0 GROUP BY w),
-   pick AS (SELECT w, b >> 32 AS id, b & 4294967295 AS p FROM best),
-   put AS (SELECT k.w, k.id, k.p, l.q, r.nid, r.q AS after FROM pick k JOIN t l ON l.w = k.w AND l.p = k.p JOIN t r ON r.w = k.w AND r.p = l.q)
+  (WITH best AS (SELECT w, min(m.id << 32 | p) AS b, arg_min(q, m.id << 32 | p) AS q FROM t JOIN merges m ON m.pair = (t.id << 32 | t.nid) WHERE NOT done AND nid >= 0 GROUP BY w),
+   pick AS (SELECT w, b >> 32 AS id, b & 4294967295 AS p, q FROM best),
+   put AS (SELECT k.w, k.id, k.p, k.q, r.nid, r.q AS after FROM pick k JOIN t r ON r.w = k.w AND r.p = k.q)
    SELECT t.w, t.p, CASE WHEN t.p = put.p THEN put.id ELSE t.id END,
      CASE WHEN t.p = put.p THEN put.nid WHEN t.q = put.p THEN put.id ELSE t.nid END,
      CASE WHEN t.p = put.p THEN put.after ELSE t.q END, put.w IS NULL
@@ -76,9 +76,10 @@ class PairCodec:
     token, as then no round makes a pair of lower rank; the tests state this for the vocabulary in use.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 800_000):
         self.ranks, self.pattern, self.limit, self.cache, self.older = ranks, regex.compile(pattern), cache, {}, {}
         self.apart = classes_apart()
+        self.plain = self.pattern.findall(" ab cd") == [" ab", " cd"]  # a word with its space is one match
         self.letters_apart = frozenset(map(chr, self.apart))
         merges = np.array([(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], dtype=np.int64).reshape(-1, 2)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
@@ -113,39 +114,40 @@ class PairCodec:
                 return pa.concat_tables(parts)
             rows = self._rows(CONTRACT_LONG, rows.filter(pa.array(~done)).select(["w", "p", "id"]))
 
-    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids of each word, as 32-bit integers, and the bytes that these decode to."""
-        out: list = [None] * len(words)
-        sides: dict[bool, list[int]] = {False: [], True: []}
-        for i, x in enumerate(words):
-            r = self.ranks.get(x)
-            if r is None:
-                sides[len(x) > LONG].append(i)
-            else:
-                out[i] = (r.to_bytes(4, "little"), x)
-        for long, some in sides.items():
-            at = 0
-            while at < len(some):
-                end, size = at, 0
-                while end < len(some) and end - at < WORDS and (end == at or size + len(words[some[end]]) <= BYTES):
-                    size += len(words[some[end]])
-                    end += 1
-                self.db.register("tokens", self._contracted([words[i] for i in some[at:end]], long))
-                got = self.db.sql(DECODE).to_arrow_table()
-                self.db.unregister("tokens")
-                for w, ids, data in zip(got["w"].to_pylist(), got["ids"].to_pylist(), got["bytes"].to_pylist(), strict=True):
-                    out[some[at + w]] = (ids, data)
-                at = end
+    def words(self, words: list[bytes]) -> list:
+        """The ids of each word, as 32-bit integers; where these decode to other bytes, ids and bytes."""
+        out: list = [self.ranks.get(x) for x in words]
+        rest = [i for i, r in enumerate(out) if r is None]
+        out = [None if r is None else r.to_bytes(4, "little") for r in out]
+        short, long = [i for i in rest if len(words[i]) <= LONG], [i for i in rest if len(words[i]) > LONG]
+        batches = [short[at : at + WORDS] for at in range(0, len(short), WORDS)]
+        size = BYTES
+        for i in long:
+            if size + len(words[i]) > BYTES:
+                batches.append([])
+                size = 0
+            batches[-1].append(i)
+            size += len(words[i])
+        for some in batches:
+            self.db.register("tokens", self._contracted([words[i] for i in some], len(words[some[0]]) > LONG))
+            got = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("tokens")
+            for w, ids, data in zip(got["w"].to_pylist(), got["ids"].to_pylist(), got["bytes"].to_pylist(), strict=True):
+                i = some[w]
+                out[i] = ids if data == words[i] else (ids, data)
         return out
 
     def cut(self, unit: str) -> list[bytes]:
         """The matches of the pattern in a unit. Characters that the library knows otherwise are looked at as it does."""
-        if not unit.isascii() and not self.letters_apart.isdisjoint(unit):
+        if unit.isascii():
+            if self.plain and unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+                return [unit.encode()]
+        elif not self.letters_apart.isdisjoint(unit):
             return [unit[m.start() : m.end()].encode() for m in self.pattern.finditer(unit.translate(self.apart))]
         return [w.encode() for w in self.pattern.findall(unit)]
 
     def learn(self, units: set[str]) -> None:
-        """Puts (ids as 32-bit integers, decoded bytes) of each unit of text into the cache; what was not met for long leaves it."""
+        """Puts the ids of each unit of text, as 32-bit integers, into the cache, and where they decode to other bytes these too; what was not met for long leaves it."""
         if len(self.cache) > self.limit:
             self.older, self.cache = self.cache, {}
         missing = []
@@ -159,7 +161,7 @@ class PairCodec:
         distinct = list({w for ws in cut for w in ws})
         of = dict(zip(distinct, self.words(distinct), strict=True))
         for u, ws in zip(missing, cut, strict=True):
-            self.cache[u] = of[ws[0]] if len(ws) == 1 else (b"".join([of[w][0] for w in ws]), b"".join([of[w][1] for w in ws]))
+            self.cache[u] = of[ws[0]] if len(ws) == 1 else self._joined(ws, [of[w] for w in ws])
 
     def units(self, text: str) -> list[str]:
         """The text cut before single spaces inside it; every unit but the first begins with its space."""
@@ -169,7 +171,21 @@ class PairCodec:
     def encode(self, text: str | None) -> list[int]:
         units = self.units(text or "")
         self.learn(set(units))
-        return np.frombuffer(b"".join([self.cache[u][0] for u in units]), "<u4").tolist()
+        return np.frombuffer(self.joined(units)[0], "<u4").tolist()
+
+    @staticmethod
+    def _joined(texts: list[bytes], known: list):
+        """One entry for several: the ids one after the other, and the bytes if any differ from the text's."""
+        if tuple not in set(map(type, known)):
+            return b"".join(known)
+        return b"".join([k if type(k) is bytes else k[0] for k in known]), b"".join([t if type(k) is bytes else k[1] for t, k in zip(texts, known, strict=True)])
+
+    def joined(self, units: list[str]) -> tuple[bytes, bytes]:
+        """The ids of a text's units and the bytes that they decode to."""
+        known = [self.cache[u] for u in units]
+        if tuple not in set(map(type, known)):
+            return b"".join(known), "".join(units).encode()
+        return self._joined([u.encode() for u in units], known)
 
     def digests(self, texts: list[str | None]):
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded bytes) of each text, in order."""
@@ -182,8 +198,7 @@ class PairCodec:
             cut = [self.units(t or "") for t in texts[at:end]]
             self.learn({u for us in cut for u in us})
             for us in cut:
-                known = [self.cache[u] for u in us]
-                ids, data = b"".join([k[0] for k in known]), b"".join([k[1] for k in known])
+                ids, data = self.joined(us)
                 yield len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()
             at = end
 
