@@ -67,37 +67,53 @@ def token_ends(start: np.ndarray, end: np.ndarray, size: np.ndarray, part: np.nd
 
 
 class Aligner:
-    def __init__(self, v: Vocabularies, cache: int = 200_000):
-        self.v, self.limit, self.cache = v, cache, {}
+    """Alignments of units of text, kept by number: group texts, token counts and, one after the other, links."""
+
+    def __init__(self, v: Vocabularies, cache: int = 900_000):
+        self.v, self.limit = v, cache
+        ends = lambda words, *marks: [[f"{w}{m}" for w in words] for m in marks]
+        self.a_text = ends(range(len(v.a_bytes)), ",", "|")
+        self.b_text = ends(range(len(v.b_bytes)), ",", ";")
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.n_a = self.n_b = np.zeros(0, np.int64)
+        self.first, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def learn(self, units: set[str]) -> None:
-        missing = [u for u in units if u not in self.cache]
-        if len(self.cache) + len(missing) > self.limit:
-            self.cache.clear()
+        missing = [u for u in units if u not in self.number]
+        if len(self.number) + len(missing) > self.limit and self.number:
+            self.forget()
             missing = list(units)
         for lo in range(0, len(missing), UNITS):
             self.align(missing[lo : lo + UNITS])
 
+    def _encoded(self, units: list[str]) -> tuple[list[str], list, list]:
+        """Units whose tokens' bytes are a space and the unit, with the tokens of both sides; the others get the number -1."""
+        v = self.v
+        a = v.a.encode_batch([" " + u for u in units], add_special_tokens=False)
+        b = v.b.encode(units, return_type="offset_mapping", num_threads=1)
+        ids = [x.ids for x in a], [x["ids"] for x in b]
+        whole = "".join([" " + u for u in units]).encode()
+        if all(b"".join([own[i] for x in side for i in x]) == whole for side, own in zip(ids, (v.a_bytes, v.b_bytes), strict=True)):
+            good = range(len(units))
+        else:
+            right = lambda u, x, own: b"".join([own[i] for i in x]) == (" " + u).encode()
+            good = [i for i, u in enumerate(units) if right(u, ids[0][i], v.a_bytes) and right(u, ids[1][i], v.b_bytes)]
+            self.number.update((u, -1) for u in set(units) - {units[i] for i in good})
+        return [units[i] for i in good], [(ids[0][i], a[i].offsets) for i in good], [(ids[1][i], b[i]["offsets"]) for i in good]
+
     def align(self, units: list[str]) -> None:
-        """Puts (n_a, n_b, groups as text, links) of a space and each unit into the cache, or None where the tokens' bytes are others."""
-        v, good, a_ids, b_ids, a_spans, b_spans = self.v, [], [], [], [], []
-        texts = [" " + u for u in units]
-        for u, text, a, b in zip(units, texts, v.a.encode_batch(texts, add_special_tokens=False), v.b.encode(units, return_type="proto", num_threads=1), strict=True):
-            ids, pieces, data = a.ids, b.pieces, text.encode()
-            other = [p.id for p in pieces]
-            if b"".join([v.a_bytes[i] for i in ids]) != data or b"".join([v.b_bytes[i] for i in other]) != data:
-                self.cache[u] = None
-                continue
-            good.append((u, len(text), len(ids), len(other)))
-            a_ids.append(ids)
-            b_ids.append(other)
-            a_spans.append(a.offsets)
-            b_spans.append([(p.begin, p.end) for p in pieces])
+        """Gives each unit a number and keeps the alignment of a space and the unit under it."""
+        v = self.v
+        good, a_side, b_side = self._encoded(units)
         if not good:
             return
-        chars = np.array([g[1] for g in good])
+        chars = np.array([len(u) + 1 for u in good])
         first = np.cumsum(chars) - chars
-        codes = np.frombuffer("".join(" " + g[0] for g in good).encode("utf-32-le"), "<u4")
+        codes = np.frombuffer("".join([" " + u for u in good]).encode("utf-32-le"), "<u4")
         byte_of = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
 
         def flat(x, depth=1):
@@ -105,26 +121,34 @@ class Aligner:
                 x = chain.from_iterable(x)
             return np.fromiter(x, np.int64)
 
-        # Offsets of A are characters of a unit, spans of B bytes of a unit without the space before it.
-        a, b = flat(a_ids), flat(b_ids)
-        span = byte_of[flat(a_spans, 2).reshape(-1, 2) + np.repeat(first, [g[2] for g in good])[:, None]]
-        a_end = token_ends(span[:, 0], span[:, 1], v.a_len[a], np.zeros(len(a), bool))
-        span = flat(b_spans, 2).reshape(-1, 2) + 1 + np.repeat(byte_of[first], [g[3] for g in good])[:, None]
-        is_byte = v.b_is_byte[b]
-        b_end = token_ends(span[:, 0], span[:, 1], v.b_len[b], is_byte & np.append(is_byte[1:], False))
-        both = np.intersect1d(a_end, b_end)
+        def side(tokens, size, shift, is_byte):
+            n = np.array([len(ids) for ids, _ in tokens])
+            ids = flat(ids for ids, _ in tokens)
+            # Spans are characters of a unit: of A with the space before it, of B without.
+            span = byte_of[flat((s for _, s in tokens), 2).reshape(-1, 2) + (np.repeat(first, n) + shift)[:, None]]
+            part = is_byte[ids] & np.append(is_byte[ids][1:], False)
+            return n, ids, token_ends(span[:, 0], span[:, 1], size[ids], part)
+
+        n_a, a, a_end = side(a_side, v.a_len, 0, np.zeros(len(v.a_len), bool))
+        n_b, b, b_end = side(b_side, v.b_len, 1, v.b_is_byte)
+        both = np.intersect1d(a_end, b_end, assume_unique=True)
         i, j = np.searchsorted(a_end, both), np.searchsorted(b_end, both)
-        links = (a[i] << 32 | b[j]).tolist()
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        groups, p, q = [], 0, 0
-        for x, y in zip((i + 1).tolist(), (j + 1).tolist(), strict=True):
-            groups.append(f"{','.join(a_text[p:x])}|{','.join(b_text[q:y])}")
-            p, q = x, y
-        last = np.searchsorted(both, byte_of[first + chars], "right").tolist()
-        lo = 0
-        for (u, _, n_a, n_b), hi in zip(good, last, strict=True):
-            self.cache[u] = (n_a, n_b, ";".join(groups[lo:hi]), links[lo:hi])
+        # The tokens' texts in order: a group's A tokens, then its B tokens; the last of each side closes it.
+        a_group, b_group = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
+        texts = np.empty(len(a) + len(b), object)
+        for ids, own, text, place in ((a, i, self.a_text, np.arange(len(a)) + np.append(0, j + 1)[a_group]), (b, j, self.b_text, np.arange(len(b)) + (i + 1)[b_group])):
+            last = np.zeros(len(ids), np.int64)
+            last[own] = 1
+            texts[place] = [text[k][t] for k, t in zip(last.tolist(), ids.tolist(), strict=True)]
+        texts, ends, lo = texts.tolist(), (np.cumsum(n_a) + np.cumsum(n_b)).tolist(), 0
+        at = len(self.groups)
+        for k, (u, hi) in enumerate(zip(good, ends, strict=True)):
+            self.number[u] = at + k
+            self.groups.append("".join(texts[lo:hi]))
             lo = hi
+        self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
+        self.first = np.concatenate([self.first, len(self.links) + np.searchsorted(both, byte_of[first + chars], "right")])
+        self.links = np.concatenate([self.links, a[i] << 32 | b[j]])
 
     def texts(self, texts: list[str | None]):
         """(n_a, n_b, n_groups, digest of the groups, links, how often each) of each text."""
@@ -137,14 +161,16 @@ class Aligner:
             cut = [CUT.split(t) if t else [] for t in texts[at:end]]
             self.learn({u for us in cut for u in us})
             for us in cut:
-                known = [self.cache[u] for u in us]
-                if not known or None in known:
+                known = [self.number[u] for u in us]
+                if not known or min(known) < 0:
                     yield 0, 0, 0, "", (), ()
                     continue
-                links = np.fromiter(chain.from_iterable(k[3] for k in known), np.int64)
-                pair, n = np.unique(links, return_counts=True)
-                groups = hashlib.sha256(";".join([k[2] for k in known]).encode()).hexdigest()
-                yield sum(k[0] for k in known), sum(k[1] for k in known), len(links), groups, pair, n
+                k = np.array(known)
+                n = self.first[k + 1] - self.first[k]
+                links = self.links[np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                pair, times = np.unique(links, return_counts=True)
+                groups = hashlib.sha256("".join([self.groups[x] for x in known])[:-1].encode()).hexdigest()
+                yield int(self.n_a[k].sum()), int(self.n_b[k].sum()), len(links), groups, pair, times
             at = end
 
 
@@ -193,7 +219,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 for each row of docs.
 
     A (tokenizers, byte-level) encodes a space and the text, B (sentencepiece, with a dummy space) the text; their spans
-    (of B those of its proto; the installed version has no immutable one) are refined by decoded bytes; special
+    (of B its offset mapping, as the installed version has no immutable proto any more) are refined by decoded bytes; special
     tokens' strings are plain text. Both cut at single spaces inside a text, so equal units of text are aligned once a
     task. Null and empty texts, and those whose tokens' bytes are not the text's (U+2581 turns into a space), have zeros
     and the digest ''. Repeated rows get equal rows and count each time; a row without doc_id keeps null; an empty table
