@@ -103,13 +103,14 @@ def docstore_chunks(spark, sf):
     return e.union(e.where("idx = 1")).groupBy("chunk_id").agg(F.min(F.struct("chapter", "idx")).alias("s")).select("chunk_id", "s.chapter", "s.idx")
 
 
-@query("""WITH h AS (SELECT l_partkey AS node_id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS pos, l_returnflag || l_suppkey AS name, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus || l_suppkey ELSE '' END AS description, CASE WHEN l_linenumber % 3 = 0 THEN l_discount END AS story_order, l_suppkey AS chunk_id FROM lineitem),
-o AS (SELECT node_id, chunk_id, min(pos) AS p FROM h GROUP BY ALL), e AS (SELECT node_id, string_agg(chunk_id, ',' ORDER BY p) AS evidence FROM o GROUP BY node_id)
-SELECT node_id, arg_min(name, pos) AS name, arg_min(description, pos) FILTER (description <> '') AS description, arg_min(story_order, pos) FILTER (story_order IS NOT NULL) AS story_order, any_value(evidence) AS evidence FROM h JOIN e USING (node_id) GROUP BY node_id""")
+@query("""WITH h AS (SELECT l_partkey AS node_id, (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS pos, l_returnflag || l_suppkey AS name, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus || l_suppkey ELSE '' END AS description, CASE WHEN l_linenumber % 3 = 0 THEN l_discount END AS story_order, l_suppkey AS chunk_id, CASE WHEN l_linenumber % 4 <> 0 THEN 'S' || l_suppkey % 20 END AS related FROM lineitem),
+o AS (SELECT node_id, chunk_id, min(pos) AS p FROM h GROUP BY ALL), e AS (SELECT node_id, string_agg(chunk_id, ',' ORDER BY p) AS evidence FROM o GROUP BY node_id),
+ro AS (SELECT node_id, related, min(pos) AS p FROM h WHERE related IS NOT NULL GROUP BY ALL), re AS (SELECT node_id, string_agg(related, ',' ORDER BY p) AS related FROM ro GROUP BY node_id)
+SELECT node_id, arg_min(name, pos) AS name, arg_min(description, pos) FILTER (description <> '') AS description, arg_min(story_order, pos) FILTER (story_order IS NOT NULL) AS story_order, any_value(evidence) AS evidence, any_value(re.related) AS related FROM h JOIN e USING (node_id) LEFT JOIN re USING (node_id) GROUP BY node_id""")
 def docstore_facts(spark, sf):
     n = F.col("l_linenumber")
-    h = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("node_id"), ((F.col("l_orderkey") * 8 + n) * 1000000 + F.col("l_suppkey")).alias("pos"), F.concat("l_returnflag", "l_suppkey").alias("name"), F.when(n % 2 == 0, F.concat("l_linestatus", "l_suppkey")).otherwise("").alias("description"), F.when(n % 3 == 0, F.col("l_discount")).alias("story_order"), F.col("l_suppkey").alias("chunk_id"))
-    return A.docstore_facts(h).withColumn("evidence", F.array_join(F.col("evidence").cast("array<string>"), ","))
+    h = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("node_id"), ((F.col("l_orderkey") * 8 + n) * 1000000 + F.col("l_suppkey")).alias("pos"), F.concat("l_returnflag", "l_suppkey").alias("name"), F.when(n % 2 == 0, F.concat("l_linestatus", "l_suppkey")).otherwise("").alias("description"), F.when(n % 3 == 0, F.col("l_discount")).alias("story_order"), F.col("l_suppkey").alias("chunk_id"), F.when(n % 4 != 0, F.concat(F.lit("S"), F.col("l_suppkey") % 20)).alias("related"))
+    return A.docstore_facts(h).withColumn("evidence", F.array_join(F.col("evidence").cast("array<string>"), ",")).withColumn("related", F.array_join("related", ","))
 
 
 @query("SELECT DISTINCT c_custkey AS node_id, c_name AS name FROM customer JOIN orders ON o_custkey = c_custkey")
@@ -164,9 +165,11 @@ def scores(spark, sf):
     return t(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 11).alias("score"), F.col("event_type").isin("purchase", "click").alias("truth"))
 
 
-@query(f"WITH {SCORES_SQL} SELECT CAST(tau AS INT) AS tau, count(*) FILTER (truth AND score >= tau) AS tp, count(*) FILTER (NOT truth AND score >= tau) AS fp, count(*) FILTER (score >= tau) AS alarms FROM s, range(11) r(tau) GROUP BY tau")
+@query(f"WITH {SCORES_SQL} SELECT CAST(tau AS INT) AS tau, count(*) FILTER (truth AND score >= tau) AS tp, count(*) FILTER (truth AND event_id % 3 <> 0 AND score >= tau) AS grounded, count(*) FILTER (NOT truth AND event_id % 5 = 0 AND score >= tau) AS hard_negatives, count(*) FILTER (NOT truth AND event_id % 5 <> 0 AND score >= tau) AS noise, count(*) FILTER (score >= tau) AS alarms FROM s, range(11) r(tau) GROUP BY tau")
 def threshold_curve(spark, sf):
-    return A.threshold_curve(scores(spark, sf), "truth")
+    """Truths found, those with their evidence, hard negatives, the rest, and all alarms, at each threshold."""
+    truth, hard = F.col("truth"), F.col("event_id") % 5 == 0
+    return A.threshold_curve(scores(spark, sf), {"tp": truth, "grounded": truth & (F.col("event_id") % 3 != 0), "hard_negatives": ~truth & hard, "noise": ~truth & ~hard, "alarms": F.lit(True)})
 
 
 @query(f"WITH {SCORES_SQL} SELECT user_id, max(score) AS best, max(score) - min(score) AS spread, array_to_string(list_sort(list(score)), ',') AS scores, arg_max(event_id, score * 10000000000 - event_id) AS best_claim FROM s GROUP BY user_id")
@@ -188,14 +191,14 @@ def grounded_detection(spark, sf):
     return t(spark, sf, "part").where("p_size % 11 >= 7").select(F.col("p_partkey").alias("claim_id")).join(closure.where("chunk_id % 13 = 0"), "claim_id", "left_semi")
 
 
-@query("SELECT o_orderstatus AS draft, CAST(sum(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unknown, count(*) FILTER (o_orderkey % 11 >= 7 AND o_orderkey % 3 = 0) AS bare FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS draft, CAST(sum(CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unknown, count(*) FILTER (o_orderkey % 11 >= 7 AND o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0) AS bare, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 2 = 1) AS off_reference FROM orders GROUP BY 1")
 def citation_hygiene(spark, sf):
-    cited = F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("C1")))
-    cited = F.when(F.col("o_orderkey") % 4 == 0, F.array_append(cited, F.lit("X9"))).otherwise(cited)
-    o = t(spark, sf, "orders").select("o_orderstatus", "o_orderkey", cited.alias("cited"))
-    known = F.array(F.lit("C1"), F.lit("C2"))
-    bare = (F.col("o_orderkey") % 11 >= 7) & (F.size(F.array_intersect("cited", known)) == 0) & (F.col("o_orderkey") % 3 == 0)
-    return o.groupBy(F.col("o_orderstatus").alias("draft")).agg(F.sum(F.size(F.array_except("cited", known))).alias("unknown"), F.count_if(bare).alias("bare"))
+    """Citations that no source has, high scores without any, and citations of sources that the claim was not given."""
+    key = F.col("o_orderkey")
+    cited = F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("C1")))
+    cited = F.when(key % 4 == 0, F.array_append(cited, F.lit("X9"))).otherwise(cited)
+    o = t(spark, sf, "orders").select(F.col("o_orderstatus").alias("draft"), (key % 11).alias("score"), cited.alias("cited"), F.array(F.lit("C1"), F.lit("C2")).alias("known"), F.when(key % 2 == 0, F.array(F.lit("C1"))).otherwise(F.array(F.lit("C2"))).alias("given"))
+    return A.citation_hygiene(o, "draft", 7)
 
 
 @query(f"WITH {LINES_SQL}, q AS (SELECT doc_id, n, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN n + 1 ELSE 1 + doc_id % n END AS k, doc_id % 2 = 0 AS good FROM (SELECT doc_id, max(line_no) AS n FROM lines GROUP BY doc_id)) SELECT count(*) AS total, count(*) FILTER (k IS NULL) AS empty, count(*) FILTER (k > n) AS out_of_range, count(*) FILTER (k <= n) AS valid, count(*) FILTER (k <= n AND contains({loose_sql('l.line')}, {loose_sql('CASE WHEN q.good THEN substr(l.line, 2, 10) ELSE chr(1) END')})) AS accurate FROM q LEFT JOIN lines l ON l.doc_id = q.doc_id AND l.line_no = q.k")
@@ -230,11 +233,13 @@ def run_compare(spark, sf):
     return r.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cov"), F.desc("reach"), "cost", "run")).cast("long"))
 
 
-@query("SELECT source, CAST(sum(length(text) // 2) AS BIGINT) AS channel_tokens, CAST(sum(CASE WHEN r = 1 THEN length(text) // 2 ELSE 0 END) AS BIGINT) AS store_tokens FROM (SELECT source, text, row_number() OVER (PARTITION BY source, md5(text)) AS r FROM documents) GROUP BY source")
+@query("WITH d AS (SELECT source, lang, length(text) // 2 AS n, row_number() OVER (PARTITION BY source, lang, md5(text)) AS r FROM documents) SELECT source, coalesce(lang, '-') AS part, CAST(sum(n) AS BIGINT) AS channel_tokens, CAST(coalesce(sum(n) FILTER (r = 1), 0) AS BIGINT) AS store_tokens, round(coalesce(sum(n) FILTER (r = 1), 0) / nullif(sum(n), 0), 6) AS ratio FROM d GROUP BY ALL")
 def context_savings(spark, sf):
-    n = F.floor(F.length("text") / 2)
-    once = t(spark, sf, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("m"), n.alias("n")).groupBy("source", "m").agg(F.sum("n").alias("all"), F.max("n").alias("one"))
-    return once.groupBy("source").agg(F.sum("all").alias("channel_tokens"), F.sum("one").alias("store_tokens"))
+    """Tokens of the hits of all channels against each text once, by work and part, and their ratio."""
+    d = t(spark, sf, "documents").select("source", F.coalesce("lang", F.lit("-")).alias("part"), F.md5(F.col("text").cast("binary")).alias("m"), F.floor(F.length("text") / 2).alias("n"))
+    once = d.groupBy("source", "part", "m").agg(F.sum("n").alias("all"), F.max("n").alias("one"))
+    g = once.groupBy("source", "part").agg(F.sum("all").alias("channel_tokens"), F.sum("one").alias("store_tokens"))
+    return g.withColumn("ratio", F.round(F.col("store_tokens") / F.nullif("channel_tokens", F.lit(0)), 6))
 
 
 @query(f"WITH {REACH_SQL} SELECT DISTINCT source AS draft, item_id FROM hp h WHERE NOT EXISTS (SELECT 1 FROM hp k WHERE k.first AND k.source = h.source AND k.item_id = h.item_id)")

@@ -10,6 +10,9 @@ from storyloom.catalog import query, t
 from storyloom.functions import rules
 from storyloom.functions import text as X
 from storyloom.operators import joins as J
+from storyloom.operators.indexing import parsed
+from storyloom.sources import artifacts as R
+from storyloom.sources.tables import shared_path
 
 
 @query("SELECT doc_id AS number, CASE WHEN doc_id % 2 = 0 THEN 'Chapter ' || doc_id ELSE '' END AS title, md5(text) AS content_md5 FROM documents WHERE doc_id % 100 = 0")
@@ -31,20 +34,35 @@ def src_work(spark, sf):
     return t(spark, sf, "documents").groupBy(F.col("source").alias("work_id")).agg(F.coalesce(F.max(F.when(F.col("doc_id") % 50 == 0, F.col("lang"))), F.lit("untitled")).alias("title"))
 
 
-@query("SELECT 'v' || CAST(item_id % 5 + 1 AS VARCHAR) || '-GT' || row_number() OVER (PARTITION BY item_id % 5 ORDER BY item_id) AS gid, text AS quote FROM benchmark")
+KIND_SQL = "CASE WHEN item_id % 3 > 0 THEN 'error' WHEN item_id % 2 = 0 THEN 'hard_negative' ELSE 'excluded' END"
+
+
+@query(f"""SELECT kind, 'v' || d AS draft, CASE WHEN kind = 'error' THEN 'v' || d || '-GT' || row_number() OVER (PARTITION BY d, kind ORDER BY item_id) END AS gid, text AS quote FROM (SELECT *, item_id % 5 + 1 AS d, {KIND_SQL} AS kind FROM benchmark)
+UNION ALL SELECT 'broken', NULL, NULL, 'odd.gt.json'""")
 def src_ground_truth(spark, sf):
-    """Drafts with arrays of errors, exploded; ids count from 1 within a draft."""
-    b = t(spark, sf, "benchmark").withColumn("draft", F.concat(F.lit("v"), F.col("item_id") % 5 + 1))
-    drafts = b.groupBy("draft").agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]).alias("errors"))
-    return drafts.select("draft", F.posexplode("errors").alias("k", "quote")).select(F.concat("draft", F.lit("-GT"), F.col("k") + 1).alias("gid"), "quote")
+    """A directory of drafts' files of JSON, written and read back: errors with ids by draft and place, hard negatives, excluded ones, and a file that is no JSON."""
+    item = F.col("item_id")
+    kind = F.when(item % 3 > 0, "errors").when(item % 2 == 0, "hard_negatives").otherwise("excluded")
+    b = t(spark, sf, "benchmark").select(F.concat(F.lit("v"), item % 5 + 1).alias("draft"), kind.alias("kind"), "item_id", "text")
+    lists = b.groupBy("draft").pivot("kind", ["errors", "hard_negatives", "excluded"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: F.struct(x["text"].alias("quote"))))
+    files = lists.select(F.concat("draft", F.lit(".gt.json")).alias("name"), F.to_json(F.struct("draft", "errors", "hard_negatives", "excluded"), {"pretty": "true"}).alias("body"))
+    odd = spark.range(1).select(F.lit("odd.gt.json").alias("name"), F.lit('{"errors": [').alias("body"))
+    truths, broken = R.ground_truth(spark, R.put_named(files.union(odd), shared_path(spark, "drafts")))
+    return truths.select("kind", "draft", "gid", "quote").union(broken.select(F.lit("broken"), F.lit(None), F.lit(None), "file_name"))
+
 
+RUNS_SQL = "f AS (SELECT o_orderkey % 40 AS run, o_orderstatus AS draft, count(*) AS n FROM orders GROUP BY ALL)"
 
-@query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
+
+@query(f"WITH {RUNS_SQL} SELECT 'r' || run AS run FROM f WHERE n % 5 > 0 GROUP BY run HAVING count(*) = (SELECT count(DISTINCT draft) FROM f)")
 def runs_complete(spark, sf):
-    """Users with every event type: relational division."""
-    e = t(spark, sf, "events")
-    want = e.agg(F.count_distinct("event_type").alias("want"))
-    return e.groupBy("user_id").agg(F.count_distinct("event_type").alias("n")).join(F.broadcast(want), F.col("n") == F.col("want")).select("user_id")
+    """A directory of runs' files; the runs that have evidence for every draft, by the names of their files alone."""
+    f = t(spark, sf, "orders").groupBy((F.col("o_orderkey") % 40).alias("run"), F.col("o_orderstatus").alias("draft")).agg(F.count("*").alias("n"))
+    f = f.select(F.concat(F.lit("r"), "run").alias("run"), "draft", "n")
+    name = lambda stage: F.concat_ws("_", F.lit(stage), "run", F.concat("draft", F.lit(".json")))
+    body = F.to_json(F.struct("run", "draft", "n")).alias("body")
+    files = f.select(name("claims").alias("name"), body).union(f.where("n % 5 > 0").select(name("evidence").alias("name"), body))
+    return R.complete_runs(spark, R.put_named(files, shared_path(spark, "runs")), f.select("draft"))
 
 
 @query("SELECT doc_id, sha1(source || '|' || lang || '|' || text) AS request FROM documents WHERE sha1(source || '|' || lang || '|' || text) NOT IN (SELECT sha1(source || '|' || lang || '|' || text) FROM documents WHERE doc_id % 3 = 0)")
@@ -83,6 +101,14 @@ def cutoff_strict_keep_null(spark, sf):
     return facts(spark, sf).where(rules.before_chapter(F.col("chapter"), 4)).select("node_id", "chapter")
 
 
+@query(f"""WITH {FACTS_SQL}, r AS (SELECT event_id AS query_id, user_id AS char_id, event_id % 9 - 1 AS up_to FROM events)
+SELECT query_id, (SELECT node_id FROM facts f WHERE f.char_id = r.char_id AND (f.chapter IS NULL OR f.chapter < r.up_to) ORDER BY chapter DESC NULLS LAST, story_order DESC NULLS LAST, node_id DESC LIMIT 1) AS node_id FROM r""")
+def state_as_of(spark, sf):
+    """The last fact of a character before each request's own chapter; those of unknown chapters lie before all."""
+    asked = t(spark, sf, "events").select(F.col("event_id").alias("query_id"), F.col("user_id").alias("char_id"), (F.col("event_id") % 9 - 1).cast("int").alias("up_to"))
+    return J.state_as_of(asked, facts(spark, sf), "char_id", ["node_id"], ["story_order", "node_id"]).select("query_id", "node_id")
+
+
 @query(f"WITH {FACTS_SQL} SELECT node_id, chapter FROM facts WHERE chapter <= 4")
 def cutoff_inclusive(spark, sf):
     return facts(spark, sf).where(rules.up_to_chapter(F.col("chapter"), 4)).select("node_id", "chapter")
@@ -110,17 +136,24 @@ def domain_nodes(spark, sf):
     return n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", "n_name", "r_name")
 
 
-#: The edges that a graph may hold.
-PATTERNS = [("Character", "APPEARS_IN", "Event"), ("Location", "HOSTS", "Event"), ("Character", "HAS_STATE", "CharacterState"), ("CharacterState", "ESTABLISHED_IN", "Event"), ("Location", "LOCATED_IN", "Location"), ("Organization", "PART_OF", "Organization"), ("CharacterState", "ABOUT", "Item"), ("CharacterState", "ABOUT", "Organization"), ("CharacterState", "ABOUT", "Character")]
-
-
-@query("SELECT n_nationkey AS src, n_regionkey AS dst, CASE WHEN n_nationkey % 4 = 0 THEN 'PART_OF' ELSE 'LOCATED_IN' END AS type FROM nation WHERE n_nationkey % 4 <> 0 AND n_regionkey <> 4")
+@query("""SELECT 'edge' AS kind, sha256(n_regionkey || '#1#n' || n_nationkey) AS a, sha256(n_regionkey || '#1#r' || n_regionkey) AS b, 'LOCATED_IN' AS what, 1::BIGINT AS n FROM nation WHERE n_nationkey % 4 <> 0 AND n_regionkey <> 4
+UNION ALL SELECT 'node', sha256(n_regionkey || '#1#n' || n_nationkey), NULL, n_name, 1 FROM nation UNION ALL SELECT 'node', sha256(r_regionkey || '#1#r' || r_regionkey), NULL, r_name, 1 FROM region WHERE r_regionkey <> 4
+UNION ALL SELECT 'pruned', NULL, NULL, 'label', count(*) FROM region UNION ALL SELECT 'pruned', NULL, NULL, 'no_property', count(*) FROM region UNION ALL SELECT 'pruned', NULL, NULL, 'property', count(*) FROM nation
+UNION ALL SELECT 'pruned', NULL, NULL, 'dangling', count(*) FROM nation WHERE n_regionkey = 4 UNION ALL SELECT 'pruned', NULL, NULL, 'pattern', count(*) FROM nation WHERE n_nationkey % 4 = 0 AND n_regionkey <> 4""")
 def schema_prune(spark, sf):
-    """Edges of the allowed patterns with both ends present; patterns are a broadcast table of nine rows."""
-    e = t(spark, sf, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"), F.when(F.col("n_nationkey") % 4 == 0, "PART_OF").otherwise("LOCATED_IN").alias("type"), F.lit("Location").alias("a"))
-    nodes = t(spark, sf, "region").where("r_regionkey <> 4").select(F.col("r_regionkey").alias("dst"), F.lit("Location").alias("b"))
-    allowed = spark.createDataFrame(PATTERNS, "a string, type string, b string")
-    return e.join(nodes, "dst").join(F.broadcast(allowed), ["a", "type", "b"], "left_semi").select("src", "dst", "type")
+    """What a region's extraction may keep: known labels and properties, edges of the allowed patterns with both ends there; the rest is counted by reason."""
+    node = lambda i, label, *props: F.struct(i.alias("id"), F.lit(label).alias("label"), F.create_map(*props).cast("map<string,string>").alias("properties"))
+    edge = F.struct(F.when(F.col("n_nationkey") % 4 == 0, "PART_OF").otherwise("LOCATED_IN").alias("type"), F.concat(F.lit("n"), "n_nationkey").alias("start_node_id"), F.concat(F.lit("r"), "n_regionkey").alias("end_node_id"))
+    own = t(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(node(F.concat(F.lit("n"), "n_nationkey"), "Location", F.lit("name"), F.col("n_name"), F.lit("people"), F.lit("9"))).alias("nodes"), F.collect_list(edge).alias("relationships"))
+    more = F.array(node(F.lit("m"), "Mood", F.lit("name"), F.lit("dark")), node(F.lit("i"), "Item", F.lit("people"), F.lit("9")))
+    region = F.when(F.col("r_regionkey") != 4, F.array(node(F.concat(F.lit("r"), "r_regionkey"), "Location", F.lit("name"), F.col("r_name")))).otherwise(F.array())
+    raw = own.join(t(spark, sf, "region"), "r_regionkey").select(F.col("r_regionkey").cast("string").alias("tenant"), F.lit(1).alias("chapter"), F.to_json(F.struct(F.concat("nodes", more, region).alias("nodes"), "relationships")).alias("raw"))
+    nodes, edges, pruned = parsed(raw)
+    one, no = F.lit(1).cast("long").alias("n"), F.lit(None).cast("string")
+    out = edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("type").alias("what"), one)
+    out = out.union(nodes.select(F.lit("node"), "node_id", no, "name", one))
+    # An item without its one property has none left, so the property is not counted once more.
+    return out.union(pruned.groupBy("reason").agg(F.sum("n").alias("n")).select(F.lit("pruned"), no, no, "reason", "n"))
 
 
 @query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 4 <> 0 THEN 'brand=' || p_brand END, 'size=' || p_size, 'type=' || p_type], lambda x: x IS NOT NULL), ', ') AS extras FROM part")
@@ -313,13 +346,17 @@ def chapters_pending(spark, sf):
 def held_passages(spark, sf):
     """(doc_id, marker_id): the benchmark passages that each document holds, both in loose form."""
     m = t(spark, sf, "benchmark").select(F.col("item_id").alias("marker_id"), X.loose(F.col("text")).alias("m"))
-    return J.holding(t(spark, sf, "documents").select("doc_id", X.loose(F.col("text")).alias("body")), m)
+    return J.holding(t(spark, sf, "documents").select("doc_id", X.loose(F.col("text")).alias("body")), m).drop("place")
 
 
-@query(f"SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains({loose_sql('d.text')}, {loose_sql('b.text')})")
+@query(f"""WITH d AS (SELECT doc_id, doc_id // 3 AS fact_id, {loose_sql('text')} AS body FROM documents), m AS (SELECT {loose_sql('text')} AS m FROM benchmark), j AS (SELECT fact_id, string_agg(body, '' ORDER BY doc_id) AS body FROM d GROUP BY 1)
+SELECT 'chunk' AS kind, doc_id AS node_id FROM d WHERE EXISTS (SELECT 1 FROM m WHERE m <> '' AND contains(body, m)) UNION ALL SELECT 'fact', fact_id FROM j WHERE EXISTS (SELECT 1 FROM m WHERE m <> '' AND contains(body, m))""")
 def marker_bearing(spark, sf):
-    """Documents that hold a marker, whole."""
-    return held_passages(spark, sf).select("doc_id").distinct()
+    """Documents that hold a marker, whole, and facts whose evidence, three documents one after the other, does."""
+    m = t(spark, sf, "benchmark").select(F.col("item_id").alias("marker_id"), X.loose(F.col("text")).alias("m"))
+    d = t(spark, sf, "documents")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), X.loose(F.col("text")).alias("body"))
+    return J.marker_bearing(chunks, d.select(F.floor(F.col("doc_id") / 3).alias("fact_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("pos")), m)
 
 
 @query(f"WITH {EVIDENCE_SQL} SELECT DISTINCT claim_id, chunk_id FROM (SELECT l_partkey AS claim_id, chunk_id FROM evidence WHERE idx = 1 UNION ALL SELECT c.l_partkey, e.chunk_id FROM evidence c JOIN evidence e ON c.node_id = e.node_id WHERE c.idx = 2)")

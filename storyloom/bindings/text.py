@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storyloom.catalog import query, t
-from storyloom.functions import rules
+from storyloom.functions import ratios, rules
 from storyloom.functions import text as X
 from storyloom.operators import search as S
+from storyloom.operators import verdicts as V
+from storyloom.operators.indexing import parsed
 
 PUNCT_SQL = X.PUNCTUATION.replace("'", "''")
 NOISE_SQL = X.NAME_NOISE.replace("'", "''")
@@ -101,7 +103,7 @@ chunks AS (SELECT doc_id, chunk, CAST(min(b) AS INT) AS start, CAST(max(e) AS IN
 def chunk_rows(spark, sf, size=100):
     """(doc_id, source, chunk_index from 0, start, stop, chunk_text) of every document."""
     d = t(spark, sf, "documents")
-    packed = d.select("doc_id", "source", "text", X.pack_spans(X.sentence_spans(X.sentences(F.col("text"))), size).alias("p"))
+    packed = d.select("doc_id", "source", "text", X.chunk_spans(F.col("text"), F.lit(size)).alias("p"))
     spans = packed.select("doc_id", "source", "text", F.posexplode("p").alias("chunk_index", "s"))
     return spans.select("doc_id", "source", "chunk_index", F.col("s.start").alias("start"), F.col("s.end").alias("stop"), F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("chunk_text"))
 
@@ -152,7 +154,7 @@ walk AS (SELECT doc_id, line_no, n AS held, 1 AS piece FROM w WHERE line_no = 1
   SELECT w.doc_id, w.line_no, CASE WHEN k.held + w.n > 3000 THEN w.n ELSE k.held + w.n END, CASE WHEN k.held + w.n > 3000 THEN k.piece + 1 ELSE k.piece END FROM walk k JOIN w ON w.doc_id = k.doc_id AND w.line_no = k.line_no + 1)
 SELECT doc_id, piece, count(*) AS n_lines, min(line_no) AS first_line FROM walk GROUP BY doc_id, piece""")
 def pack_pieces(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", X.line_parts(F.col("text")).alias("lines")).select("doc_id", X.pack_pieces(F.col("lines")).alias("p"))
+    d = t(spark, sf, "documents").select("doc_id", X.pack_pieces(F.col("text")).alias("p"))
     d = d.select("doc_id", F.posexplode("p").alias("pos", "piece"))
     return d.groupBy("doc_id", "piece").agg(F.count("*").alias("n_lines"), (F.min("pos") + 1).cast("long").alias("first_line"))
 
@@ -197,7 +199,7 @@ def name_similarity(spark, sf):
 def wratio(spark, sf):
     """The blended ratio of each name with its words turned round and a part of its alias; checked against brute force in tests."""
     alias = F.concat_ws(" ", F.array_join(F.reverse(F.split("p_name", " ")), " "), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, F.repeat(F.col("p_type"), 3)))
-    return t(spark, sf, "part").select("p_partkey", alias.alias("alias"), F.round(X.wratio("p_name", alias), 6).alias("sim"))
+    return t(spark, sf, "part").select("p_partkey", alias.alias("alias"), F.round(ratios.wratio("p_name", alias), 6).alias("sim"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'user' END AS role, length(coalesce(text, '')) AS n FROM conversations")
@@ -261,23 +263,21 @@ def route_slim(spark, sf):
     return _broadcast(spark, sf, True)
 
 
-@query("""SELECT CAST(event_id AS BIGINT) AS event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 40 AS INT) WHEN event_id % 3 = 1 THEN CAST(event_id % 20 AS INT) ELSE NULL END AS claim_index,
-CASE WHEN event_id % 7 = 0 THEN 0 ELSE least(10, greatest(0, CAST(event_id % 15 - 2 AS INT))) END AS score,
-CASE WHEN event_id % 7 = 0 THEN 'score_not_int' WHEN event_id % 15 - 2 NOT BETWEEN 0 AND 10 THEN 'score_out_of_range' ELSE '' END AS flags, CASE WHEN event_id % 11 = 0 THEN 'json_parse_failed' WHEN event_id % 3 = 2 THEN 'bad_index' END AS problem FROM events WHERE event_id % 11 <> 0
-UNION ALL SELECT event_id, NULL, NULL, NULL, 'json_parse_failed' FROM events WHERE event_id % 11 = 0""")
+@query("""WITH v AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 40 AS INT) WHEN event_id % 3 = 1 THEN CAST(event_id % 20 AS INT) END AS claim_index, CASE WHEN event_id % 5 = 0 THEN (event_id % 14)::VARCHAR WHEN event_id % 7 = 0 THEN 'high' ELSE (event_id % 15 - 2)::VARCHAR END AS raw FROM events WHERE event_id % 11 <> 0)
+SELECT event_id, claim_index, CAST(least(10, greatest(0, coalesce(TRY_CAST(raw AS INT), 0))) AS INT) AS score, CASE WHEN raw = 'high' THEN 'score_not_int' WHEN raw::INT NOT BETWEEN 0 AND 10 THEN 'score_out_of_range' ELSE '' END AS flags, NULL AS problem FROM v WHERE claim_index IS NOT NULL
+UNION ALL SELECT event_id, NULL, NULL, NULL, 'bad_index' FROM events, range(2) r(k) WHERE event_id % 11 <> 0 AND event_id % 3 = 2 AND (k = 0 OR event_id % 5 = 0) UNION ALL SELECT event_id, NULL, NULL, NULL, 'json_parse_failed' FROM events WHERE event_id % 11 = 0""")
 def verdict_parse(spark, sf):
-    """Verdict JSON made from events and read back: 'P12' and i, scores out of range or no numbers, broken JSON."""
+    """Verdict JSON made from events and read back: 'P12' and i, scores out of range or no numbers, the last of two for one claim, broken JSON."""
     e = t(spark, sf, "events")
     cid = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("P"), F.col("event_id") % 40 + 1))
     i = F.when(F.col("event_id") % 3 == 1, (F.col("event_id") % 20 + 1).cast("string")).otherwise("x")
     score = F.when(F.col("event_id") % 7 == 0, "high").otherwise((F.col("event_id") % 15 - 2).cast("string"))
-    made = F.to_json(F.struct(F.array(F.struct(cid.alias("claimId"), i.alias("i"), score.alias("score"))).alias("verdicts")))
-    raw = e.select("event_id", F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).otherwise(made).alias("raw"))
-    v = raw.select("event_id", F.from_json("raw", rules.VERDICTS).alias("j")).select("event_id", F.explode_outer("j.verdicts").alias("v"))
-    got, flags = rules.clamp_score(F.col("v.score"))
-    broken = F.col("v").isNull()
-    index = rules.claim_index(F.col("v.claimId"), F.col("v.i"))
-    return v.select("event_id", F.when(~broken, index).alias("claim_index"), F.when(~broken, got).alias("score"), F.when(~broken, F.array_join(flags, ",")).alias("flags"), F.when(broken, "json_parse_failed").when(index.isNull(), "bad_index").alias("problem"))
+    said = lambda x: F.struct(cid.alias("claimId"), i.alias("i"), x.alias("score"))
+    verdicts = F.when(F.col("event_id") % 5 == 0, F.array(said(score), said((F.col("event_id") % 14).cast("string")))).otherwise(F.array(said(score)))
+    raw = e.select("event_id", F.when(F.col("event_id") % 11 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(verdicts.alias("verdicts")))).alias("raw"))
+    v, problems = V.parse_verdicts(raw, ["event_id"])
+    no = lambda kind: F.lit(None).cast(kind)
+    return v.select("event_id", "claim_index", "score", F.array_join("flags", ",").alias("flags"), no("string").alias("problem")).union(problems.select("event_id", no("int"), no("int"), no("string"), "problem"))
 
 
 @query("SELECT p_partkey, k AS claim_no, CASE WHEN k = 0 THEN p_name ELSE p_type END AS quote, p_brand AS axis FROM part, (VALUES (0::BIGINT), (1::BIGINT)) v(k) WHERE p_size % 6 <> 0")
@@ -289,11 +289,14 @@ def claim_parse(spark, sf):
     return c.select("p_partkey", F.col("k").cast("long").alias("claim_no"), F.col("c.quote").alias("quote"), F.col("c.axis").alias("axis"))
 
 
-@query("""SELECT sha256(o_custkey || '#' || o_orderkey || '#n' || k) AS node_id, CASE WHEN k = 0 THEN 'Character' ELSE 'Event' END AS label, CASE WHEN k = 0 THEN 'c' || o_custkey ELSE o_orderpriority END AS name FROM orders, (VALUES (0), (1)) v(k)""")
+@query("""SELECT 'node' AS kind, sha256(o_custkey || '#' || o_orderkey || '#n' || k) AS a, NULL AS b, CASE WHEN k = 0 THEN 'Character' ELSE 'Event' END AS label, CASE WHEN k = 0 THEN 'c' || o_custkey ELSE o_orderpriority END AS name FROM orders, (VALUES (0), (1)) v(k) WHERE o_orderkey % 9 <> 0
+UNION ALL SELECT 'edge', sha256(o_custkey || '#' || o_orderkey || '#n0'), sha256(o_custkey || '#' || o_orderkey || '#n1'), 'APPEARS_IN', NULL FROM orders WHERE o_orderkey % 9 <> 0 UNION ALL SELECT 'no_json', NULL, NULL, NULL, o_custkey || '#' || o_orderkey FROM orders WHERE o_orderkey % 9 = 0""")
 def graph_parse(spark, sf):
-    """Graph JSON made from orders and read back; node ids are digests of tenant, chapter and local id."""
+    """Graph JSON made from orders and read back, nodes and edges; ids are digests of tenant, chapter and local id. One reply in nine is no JSON."""
     node = lambda i, label, name: F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.create_map(F.lit("name"), name).alias("properties"))
-    o = t(spark, sf, "orders")
-    raw = o.select("o_custkey", "o_orderkey", F.to_json(F.struct(F.array(node("n0", "Character", F.concat(F.lit("c"), "o_custkey")), node("n1", "Event", F.col("o_orderpriority"))).alias("nodes"), F.array(F.struct(F.lit("APPEARS_IN").alias("type"), F.lit("n0").alias("start_node_id"), F.lit("n1").alias("end_node_id"))).alias("relationships"))).alias("raw"))
-    n = raw.select("o_custkey", "o_orderkey", F.explode(F.from_json("raw", rules.GRAPH)["nodes"]).alias("n"))
-    return n.select(F.sha2(F.concat_ws("#", "o_custkey", "o_orderkey", "n.id"), 256).alias("node_id"), F.col("n.label").alias("label"), F.col("n.properties")["name"].alias("name"))
+    made = F.to_json(F.struct(F.array(node("n0", "Character", F.concat(F.lit("c"), "o_custkey")), node("n1", "Event", F.col("o_orderpriority"))).alias("nodes"), F.array(F.struct(F.lit("APPEARS_IN").alias("type"), F.lit("n0").alias("start_node_id"), F.lit("n1").alias("end_node_id"))).alias("relationships")))
+    raw = t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("tenant"), F.col("o_orderkey").cast("int").alias("chapter"), F.when(F.col("o_orderkey") % 9 == 0, "{").otherwise(made).alias("raw"))
+    nodes, edges, pruned = parsed(raw)
+    no = F.lit(None).cast("string")
+    out = nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("a"), no.alias("b"), "label", "name").union(edges.select(F.lit("edge"), "src", "dst", "type", no))
+    return out.union(pruned.where("reason = 'no_json'").select(F.lit("no_json"), no, no, no, F.concat_ws("#", "tenant", "chapter")))

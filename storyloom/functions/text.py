@@ -8,6 +8,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,8 @@ def alias_flatten(c: Column) -> Column:
 def evidence_tokens(c: Column) -> Column:
     """'C3, C4' to [3, 4]; tokens of another form, or beyond an int, go."""
     tokens = F.transform(F.split(c, ","), lambda x: F.trim(x))
-    return F.filter(F.transform(F.filter(tokens, lambda x: x.rlike("^C[0-9]+$")), lambda x: F.substring(x, 2, 18).try_cast("int")), lambda n: n.isNotNull())
+    digits = F.transform(F.filter(tokens, lambda x: x.rlike("^C[0-9]+$")), lambda x: F.regexp_replace(x, "^C0*(?=[0-9])", ""))
+    return F.filter(F.transform(digits, lambda x: x.try_cast("int")), lambda n: n.isNotNull())
 
 
 def sentences(c: Column) -> Column:
@@ -65,51 +67,93 @@ def split_oversized(start: Column, end: Column, size: int) -> Column:
     return F.transform(F.sequence(start, end - 1, F.lit(size).cast("long")), lambda i: F.struct(i.alias("start"), F.least(i + size, end).alias("end")))
 
 
-SPANS = "array<struct<start:int,end:int>>"
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+NUMBERS = T.ArrayType(T.IntegerType())
 EDGES = " \t\n\r"
 
 
-def _span(start: Column, end: Column) -> Column:
-    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+def _listed(rows: list, kind: T.ArrayType) -> pa.Array:
+    """Lists of spans, or of numbers, as an Arrow array; None stays null."""
+    known = [r or () for r in rows]
+    flat = [x for r in known for x in r]
+    values = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], pa.int32()) for i in (0, 1)], ["start", "end"]) if kind == SPANS else pa.array(flat, pa.int32())
+    ends = list(accumulate(map(len, known), initial=0))
+    offsets = pa.array([None if i < len(rows) and rows[i] is None else e for i, e in enumerate(ends)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, values)
 
 
-def sentence_spans(parts: Column) -> Column:
+def _pairs(spans: list | None) -> list[tuple[int, int]] | None:
+    return None if spans is None else [(s["start"], s["end"]) for s in spans]
+
+
+def places(parts: list[str]) -> list[tuple[int, int]]:
     """Spans of the parts of a text without white space at their ends; the parts are the whole text, so lengths add up to places."""
+    out, at = [], 0
+    for s in parts:
+        body = s.strip(EDGES)
+        if body:
+            start = at + len(s) - len(s.lstrip(EDGES))
+            out.append((start, start + len(body)))
+        at += len(s)
+    return out
 
-    def step(acc: Column, s: Column) -> Column:
-        n, lead, body = F.length(s), F.length(s) - F.length(F.ltrim(s, F.lit(EDGES))), F.length(F.btrim(s, F.lit(EDGES)))
-        start = acc["at"] + lead
-        return F.struct((acc["at"] + n).alias("at"), F.when(body > 0, F.array_append(acc["spans"], _span(start, start + body))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), step, lambda acc: acc["spans"])
+def packed(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """Consecutive spans joined while they stay within size; longer ones are cut to size first."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        for i in range(s, e, size):
+            end = min(i + size, e)
+            if out and end - out[-1][0] <= size:
+                out[-1][1] = end
+            else:
+                out.append([i, end])
+    return [(s, e) for s, e in out]
 
 
-def located_spans(text: Column, parts: Column) -> Column:
-    """Spans of sentences that somebody else cut: each is looked up after the one before it; those that are not there are left out."""
+# One pass over each text: a fold over an array column would copy what it has at every step.
 
-    def step(acc: Column, s: Column) -> Column:
-        body = F.btrim(s, F.lit(EDGES))
-        at = F.when(F.length(body) > 0, F.call_function("locate", body, text, acc["at"] + 1)).otherwise(0)
-        end = at - 1 + F.length(body)
-        return F.struct(F.when(at > 0, end).otherwise(acc["at"]).alias("at"), F.when(at > 0, F.array_append(acc["spans"], _span(at - 1, end))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")), step, lambda acc: acc["spans"])
+@F.arrow_udf(SPANS)
+def sentence_spans(parts: pa.Array) -> pa.Array:
+    """places of the parts of each text."""
+    return _listed([None if p is None else places(p) for p in parts.to_pylist()], SPANS)
 
 
-def pack_spans(spans: Column, size: int = 100) -> Column:
-    """Consecutive spans joined while they stay within size; longer ones are cut to size first."""
-    cut = F.flatten(F.transform(spans, lambda s: F.transform(F.sequence(s["start"], s["end"] - 1, F.lit(size)), lambda i: _span(i, F.least(i + size, s["end"])))))
+@F.arrow_udf(SPANS)
+def located_spans(text: pa.Array, parts: pa.Array) -> pa.Array:
+    """Spans of sentences that somebody else cut: each is looked up after the one before it; those that are not there are left out."""
+    out = []
+    for t, sentences_ in zip(text.to_pylist(), parts.to_pylist(), strict=True):
+        if t is None or sentences_ is None:
+            out.append(None)
+            continue
+        spans, at = [], 0
+        for s in sentences_:
+            body = (s or "").strip(EDGES)
+            start = t.find(body, at) if body else -1
+            if start >= 0:
+                at = start + len(body)
+                spans.append((start, at))
+        out.append(spans)
+    return _listed(out, SPANS)
+
+
+@F.arrow_udf(SPANS)
+def _packed(spans: pa.Array, size: pa.Array) -> pa.Array:
+    return _listed([None if s is None else packed(_pairs(s), n) for s, n in zip(spans.to_pylist(), size.to_pylist(), strict=True)], SPANS)
 
-    def closed(acc: Column) -> Column:
-        return F.array_append(acc["out"], _span(acc["head"], acc["last"]))
 
-    def step(acc: Column, p: Column) -> Column:
-        full = (acc["head"] >= 0) & (p["end"] - acc["head"] > size)
-        head = F.when(full | (acc["head"] < 0), p["start"]).otherwise(acc["head"])
-        return F.struct(head.alias("head"), p["end"].alias("last"), F.when(full, closed(acc)).otherwise(acc["out"]).alias("out"))
+def pack_spans(spans: Column, size: int = 100) -> Column:
+    """packed spans of each text."""
+    return _packed(spans, F.lit(size))
 
-    zero = F.struct(F.lit(-1).alias("head"), F.lit(-1).alias("last"), F.array().cast(SPANS).alias("out"))
-    return F.aggregate(cut, zero, step, lambda acc: F.when(acc["head"] >= 0, closed(acc)).otherwise(acc["out"]))
+
+@F.arrow_udf(SPANS)
+def chunk_spans(text: pa.Array, size: pa.Array) -> pa.Array:
+    """Sentences of each text, packed into chunks of at most size characters."""
+    cut = re.compile(SENTENCE)
+    return _listed([None if t is None else packed(places(cut.findall(t)), n) for t, n in zip(text.to_pylist(), size.to_pylist(), strict=True)], SPANS)
 
 
 def overlapping_chunks(spans: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
@@ -146,17 +190,30 @@ def register_pack_chunks(spark) -> None:
     spark.udtf.register("pack_chunks", F.udtf(PackChunks, returnType="chunk_index int, start int, stop int, chunk_text string"))
 
 
-def pack_pieces(lines: Column, size: int = 3000) -> Column:
-    """For each numbered line the number of its piece, from 1: a piece closes before the line that would pass size."""
+def lines_of(text: str, max_len: int = 200) -> list[str]:
+    """What line_parts gives, for one text."""
+    trimmed = (part.strip(" ") for s in re.findall(SENTENCE, text) for part in s.split("\n"))
+    return [t[i : i + max_len] for t in trimmed for i in range(0, len(t), max_len)]
+
 
-    def step(acc: Column, line: Column) -> Column:
-        n = F.length(line) + F.length(F.concat(F.lit("L"), acc["i"].cast("string"), F.lit(": ")))
-        full = (acc["held"] > 0) & (acc["held"] + n > size)
-        piece = acc["piece"] + F.when(full, 1).otherwise(0)
-        return F.struct((acc["i"] + 1).alias("i"), F.when(full, n).otherwise(acc["held"] + n).alias("held"), piece.alias("piece"), F.array_append(acc["out"], piece).alias("out"))
+@F.arrow_udf(NUMBERS)
+def _pieces(text: pa.Array, size: pa.Array) -> pa.Array:
+    out = []
+    for own, most in zip(text.to_pylist(), size.to_pylist(), strict=True):
+        numbers, held, piece = [], 0, 1
+        for i, line in enumerate(lines_of(own or ""), 1):
+            n = len(line) + len(f"L{i}: ")
+            if held and held + n > most:
+                piece, held = piece + 1, 0
+            held += n
+            numbers.append(piece)
+        out.append(numbers)
+    return _listed(out, NUMBERS)
 
-    zero = F.struct(F.lit(1).alias("i"), F.lit(0).alias("held"), F.lit(1).alias("piece"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.coalesce(lines, F.array().cast("array<string>")), zero, step, lambda acc: acc["out"])
+
+def pack_pieces(text: Column, size: int = 3000) -> Column:
+    """For each numbered line of a text the number of its piece, from 1: a piece closes before the line that would pass size."""
+    return _pieces(text, F.lit(size))
 
 
 def claim_cap(n: Column) -> Column:
@@ -193,35 +250,6 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def _common(x: str, y: str) -> int:
-    """Length of the longest common subsequence; a row of the table is one integer, a bit for each character of x."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(x):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(x)) - 1
-    row = full
-    for c in y:
-        hit = row & at.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(x) - row.bit_count()
-
-
-def wratio_of(a: str, b: str) -> float:
-    """Weighted best of the whole, the sorted-word and the best-window ratios of two names, from 0 to 1."""
-
-    def ratio(x: str, y: str) -> float:
-        return 2 * _common(x, y) / (len(x) + len(y)) if x or y else 1.0
-
-    if not a or not b:
-        return 0.0
-    short, long_ = sorted((a, b), key=len)
-    best = max(ratio(a, b), 0.95 * ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
-    if len(long_) >= 1.5 * len(short):
-        share = 0.9 if len(long_) < 8 * len(short) else 0.6
-        best = max(best, share * max(ratio(short, long_[i : i + len(short)]) for i in range(len(long_) - len(short) + 1)))
-    return best
-
-
 @F.pandas_udf(T.DoubleType())
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     """Cosine of two columns of vectors, a batch at a time; 0 where one is zero, null where one is null."""
@@ -232,8 +260,3 @@ def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
         n = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
         out[ok] = np.einsum("ij,ij->i", x, y) / np.where(n > 0, n, 1)
     return out
-
-
-@F.pandas_udf(T.DoubleType())
-def wratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else wratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -25,12 +25,15 @@ def merge_nodes(nodes: DataFrame, keys: list[str], combined: list[str], kept: li
     return nodes.groupBy(*keys).agg(F.min(order).alias("canonical"), F.count("*").alias("n"), *[F.array_sort(F.collect_set(c)).alias(c) for c in combined], *[F.min_by(c, order).alias(c) for c in kept])
 
 
-def threshold_curve(scores: DataFrame, truth: str, score: str = "score") -> DataFrame:
-    """(tau, tp, fp, alarms) for tau from 0 to 10. Scores are counted once; the eleven thresholds meet at most eleven counts."""
-    counts = scores.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(truth), 1).otherwise(0)).alias("t"), F.count("*").alias("n"))
+def threshold_curve(scores: DataFrame, counted: dict[str, Column], score: str = "score") -> DataFrame:
+    """tau from 0 to 10 and, for each name of `counted`, how many rows with at least this score its condition holds for.
+
+    Scores are counted once; the eleven thresholds meet at most eleven counts.
+    """
+    counts = scores.groupBy(F.col(score).alias("s")).agg(*[F.count_if(c).alias(name) for name, c in counted.items()])
     taus = scores.sparkSession.range(11).select(F.col("id").cast("int").alias("tau"))
     hits = taus.join(F.broadcast(counts.where("s BETWEEN 0 AND 10")), F.col("s") >= F.col("tau"), "left")
-    return hits.groupBy("tau").agg(F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("tp"), F.coalesce(F.sum(F.col("n") - F.col("t")), F.lit(0)).cast("long").alias("fp"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("alarms"))
+    return hits.groupBy("tau").agg(*[F.coalesce(F.sum(name), F.lit(0)).cast("long").alias(name) for name in counted])
 
 
 def usage_rollup(usage: DataFrame, keys: list[str], counters: list[str]) -> DataFrame:
@@ -44,12 +47,23 @@ def first_of(c: Column, order: Column, wanted: Column) -> Column:
 
 
 def docstore_facts(hits: DataFrame) -> DataFrame:
-    """One row for each fact from its hits in order of pos: name as first seen, first description and order there are, evidence in order of first sight."""
-    filled = hits.groupBy("node_id").agg(
-        F.min_by("name", "pos").alias("name"), first_of(F.col("description"), F.col("pos"), F.col("description") != "").alias("description"),
-        first_of(F.col("story_order"), F.col("pos"), F.col("story_order").isNotNull()).alias("story_order"), F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))).alias("e"),
-    )
-    return filled.withColumn("evidence", F.array_distinct(F.transform("e", lambda x: x["chunk_id"]))).drop("e")
+    """One row for each fact from its hits in order of pos: name as first seen, first description and order there are, evidence and related names in order of first sight.
+
+    hits: (node_id, pos, name, description, story_order, chunk_id, related). Repetitions are counted before lists are made.
+    """
+    filled = hits.groupBy("node_id").agg(F.min_by("name", "pos").alias("name"), first_of(F.col("description"), F.col("pos"), F.col("description") != "").alias("description"), first_of(F.col("story_order"), F.col("pos"), F.col("story_order").isNotNull()).alias("story_order"))
+
+    def seen(column: str, out: str) -> DataFrame:
+        first = hits.where(F.col(column).isNotNull()).groupBy("node_id", column).agg(F.min("pos").alias("pos"))
+        return first.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", column))), lambda x: x[column]).alias(out))
+
+    return filled.join(seen("chunk_id", "evidence"), "node_id", "left").join(seen("related", "related"), "node_id", "left")
+
+
+def citation_hygiene(verdicts: DataFrame, key: str, tau: int) -> DataFrame:
+    """Per key: citations that are not known, verdicts of tau or more that cite nothing, and known citations that the claim was not given. verdicts: (key, score, cited, known, given)."""
+    off = F.array_except(F.array_intersect("cited", "known"), "given")
+    return verdicts.groupBy(key).agg(F.sum(F.size(F.array_except("cited", "known"))).alias("unknown"), F.count_if((F.col("score") >= tau) & (F.size("cited") == 0)).alias("bare"), F.sum(F.size(off)).alias("off_reference"))
 
 
 def verdict_audit(wanted: DataFrame, got: DataFrame, key: str, item: str) -> DataFrame:

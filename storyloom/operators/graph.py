@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storyloom.operators.search import sized
 from storyloom.sources.tables import kept
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
     """(node, ancestor) along (src, dst), any number of steps; no node is its own ancestor.
 
-    Each round joins only what the round before found with the edges, and keeps what is new; rounds are tables in the
-    shared folder. Cycles end, as a round then finds nothing new.
+    A round joins all pairs so far with themselves, so the length of the ways doubles and rounds grow with the logarithm
+    of the depth. Each round is one table in the shared folder and reads only the one before. Cycles end, as pairs are distinct.
     """
-    up = kept(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
-    delta = known = up.select(F.col("src").alias("node"), F.col("dst").alias("ancestor"))
-    while True:
-        step = delta.join(up, delta["ancestor"] == up["src"]).select("node", F.col("dst").alias("ancestor")).where("node <> ancestor").distinct()
-        delta = kept(step.join(known, ["node", "ancestor"], "left_anti"), "ancestors")
-        if delta.isEmpty():
-            return known
-        known = known.union(delta)
+    known = kept(edges.where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).distinct(), "ancestors")
+    n = known.count()
+    while n:
+        far = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"))
+        step = known.join(far, "ancestor").select("node", F.col("far").alias("ancestor")).where("node <> ancestor")
+        known = kept(known.union(step).distinct(), "ancestors")
+        before, n = n, known.count()
+        if n == before:
+            break
+    return known
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
@@ -39,13 +42,16 @@ def rewire(edges: DataFrame, canonical: DataFrame) -> DataFrame:
     return edges.where("src <> dst").dropDuplicates(["src", "type", "dst"])
 
 
-def induced(members: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, src, dst): edges with both ends among the members of a key. An edge goes to the keys of its source, then looks for its end there."""
-    out = edges.select("src", "dst").distinct().join(members.select(key, F.col("node").alias("src")).distinct(), "src")
-    return out.join(members.select(key, F.col("node").alias("dst")).distinct(), [key, "dst"], "left_semi").select(key, "src", "dst")
+def induced(members: DataFrame, edges: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """(key, src, dst): edges with both ends among the members of a key. An edge goes to the keys of its source, then looks for its end there.
 
-
-def rendered(lines: DataFrame, key: str) -> DataFrame:
-    """One text for each key from lines with (section, place, line)."""
-    g = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "place", "line"))).alias("l"))
-    return g.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    A source that stands in more than one in `share` of all memberships, such as a country in every key, is hot. There
+    are at most `share` of these; their edges meet the members where these are, if they are few enough to be broadcast.
+    """
+    own = kept(members.select(key, F.col("node").alias("src")).distinct(), "members")
+    edges = edges.select("src", "dst").distinct()
+    most = max(1000, own.count() // share)
+    hot = kept(own.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > most).select("src"), "hot")
+    out = own.join(F.broadcast(hot), "src", "left_anti").join(edges.join(F.broadcast(hot), "src", "left_anti"), "src")
+    out = out.unionByName(own.join(F.broadcast(hot), "src", "left_semi").join(sized(edges.join(F.broadcast(hot), "src", "left_semi")), "src"))
+    return out.join(own.withColumnRenamed("src", "dst"), [key, "dst"], "left_semi").select(key, "src", "dst")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.functions.text import evidence_tokens
+from storyloom.sources.tables import kept
 
 
 def link_evidence(facts: DataFrame, chunks: DataFrame, keys: list[str], tokens: str = "evidence") -> DataFrame:
@@ -65,34 +68,52 @@ def resolve_cited(cited: DataFrame, aliases: DataFrame) -> DataFrame:
     return first.select("claim_id", F.col("f.chunk_id").alias("chunk_id"), F.row_number().over(order).cast("long").alias("rank"))
 
 
-def match_kind(g, q, fields, body):
-    """How a truth g meets a claim, all in loose form; the first rule that holds, null if none.
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def first_places(body: pa.Array, quotes: pa.Array) -> pa.Array:
+    """Where each of a text's quotes begins in it, from 0; -1 where it doesn't."""
+    return pa.array([[(b or "").find(q) if q else -1 for q in own or ()] for b, own in zip(body.to_pylist(), quotes.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
-    quote: it and the claim's quote q, one holds the other; span: their first places in the text overlap; field: a
-    truth of five characters or more is in the claim's fields.
-    """
-    gi, qi = F.instr(body, g), F.when(q != "", F.instr(body, q)).otherwise(0)
-    span = (gi > 0) & (qi > 0) & (F.greatest(gi, qi) < F.least(gi + F.length(g), qi + F.length(q)))
-    return F.when((q != "") & (q.contains(g) | g.contains(q)), "quote").when(span, "span").when((F.length(g) >= 5) & fields.contains(g), "field")
+
+def overlapping(a: DataFrame, b: DataFrame, key: str, width: int = 512) -> DataFrame:
+    """Pairs of intervals [a_from, a_to) and [b_from, b_to) of one key that share a place. Both sides go to the bins of `width` that they touch; a pair counts in the bin where it begins."""
+    bins = lambda x, y: F.explode(F.sequence(F.floor(F.col(x) / width), F.floor((F.col(y) - 1) / width)))
+    left, right = a.where("a_to > a_from").withColumn("__bin", bins("a_from", "a_to")), b.where("b_to > b_from").withColumn("__bin", bins("b_from", "b_to"))
+    both = left.join(right, [key, "__bin"]).where("a_from < b_to AND b_from < a_to")
+    return both.where(F.floor(F.greatest("a_from", "b_from") / width) == F.col("__bin")).drop("__bin")
 
 
 def match_quotes(truth: DataFrame, claims: DataFrame, texts: DataFrame, n: int = 12) -> DataFrame:
-    """(truth_id, doc_id, line_no, kind) of truths (truth_id, g) and claims (doc_id, line_no, q, fields) of texts (doc_id, body).
+    """(truth_id, doc_id, line_no, kind) of truths (truth_id, g) and claims (doc_id, line_no, q, fields) of texts (doc_id, body), all in loose form.
 
-    A claim's quote and fields are parts of its text. So a truth meets a claim only if the text holds the truth, or
-    the truth holds the quote; the first candidates come from one search of every text, the others from the quote's
-    first n characters.
+    kind is the first that holds. quote: the claim's quote and the truth, one holds the other; span: their first places in
+    the text overlap; field: a truth of five characters or more, held by the text, is in the claim's fields. Each text is
+    searched once for all truths and once for its own quotes, so it never goes with a line, and places meet by bins.
     """
-    truth = truth.where(F.col("g") != "")
-    held = holding(texts, truth.select(F.col("truth_id").alias("marker_id"), F.col("g").alias("m"))).withColumnRenamed("marker_id", "truth_id")
-    near = held.join(claims, "doc_id").join(truth, "truth_id").join(texts, "doc_id")
-    met = near.select("truth_id", "doc_id", "line_no", match_kind(F.col("g"), F.col("q"), F.col("fields"), F.col("body")).alias("kind"))
-    size = F.least(F.length("q"), F.lit(n))
-    asked = claims.where(F.col("q") != "").select("doc_id", "line_no", "q", F.substring("q", 1, n).alias("k"), size.alias("size"))
+    truth = kept(truth.where(F.col("g") != ""), "truths")
+    claims = kept(claims.select("doc_id", "line_no", "q", "fields").withColumn("claim", F.monotonically_increasing_id()), "claims")
+    quoted = claims.where(F.col("q") != "")
+    markers = truth.select(F.col("truth_id").alias("marker_id"), F.col("g").alias("m"))
+    placed = kept(holding(texts, markers), "placed").withColumnRenamed("marker_id", "truth_id")
+    own = quoted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "q")).alias("own"))
+    at = texts.join(own, "doc_id").select("doc_id", F.explode(F.arrays_zip(F.col("own"), first_places(F.col("body"), F.transform("own", lambda x: x["q"])).alias("at"))).alias("z"))
+    at = at.select("doc_id", F.col("z.own.line_no").alias("line_no"), F.col("z.at").alias("b_from"), (F.col("z.at") + F.length("z.own.q")).alias("b_to")).where("b_from >= 0")
+    spans = placed.join(truth, "truth_id").select("truth_id", "doc_id", F.col("place").alias("a_from"), (F.col("place") + F.length("g")).alias("a_to"))
+    met = overlapping(spans, at, "doc_id").select("truth_id", "doc_id", "line_no", F.lit(2).alias("k"))
+
+    def inside(column: str, some: DataFrame) -> DataFrame:
+        """(truth_id, doc_id, line_no): claims whose column holds a truth."""
+        held = holding(claims.select(F.col("claim").alias("doc_id"), F.col(column).alias("body")), some).select(F.col("doc_id").alias("claim"), F.col("marker_id").alias("truth_id"))
+        return held.join(claims.select("claim", "doc_id", "line_no"), "claim").select("truth_id", "doc_id", "line_no")
+
+    met = met.union(inside("q", markers).withColumn("k", F.lit(1)))
+    met = met.union(inside("fields", markers.where(F.length("m") >= 5)).join(placed.select("truth_id", "doc_id"), ["truth_id", "doc_id"], "left_semi").withColumn("k", F.lit(3)))
+    # A truth that holds a quote: by the quote's first n characters.
+    asked = quoted.select("doc_id", "line_no", "q", F.substring("q", 1, n).alias("start"), F.least(F.length("q"), F.lit(n)).alias("size"))
     places = truth.select("truth_id", "g", F.explode(F.sequence(F.lit(1), F.least(F.length("g"), F.lit(n)))).alias("size"))
-    places = places.select("truth_id", "g", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("g") - F.col("size") + 1), lambda i: F.substring(F.col("g"), i, F.col("size"))))).alias("k"))
-    inside = asked.join(places, ["k", "size"]).where(F.col("g").contains(F.col("q"))).select("truth_id", "doc_id", "line_no", F.lit("quote").alias("kind"))
-    return met.where("kind IS NOT NULL").union(inside).distinct()
+    places = places.select("truth_id", "g", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("g") - F.col("size") + 1), lambda i: F.substring(F.col("g"), i, F.col("size"))))).alias("start"))
+    met = met.union(asked.join(places, ["start", "size"]).where(F.col("g").contains(F.col("q"))).select("truth_id", "doc_id", "line_no", F.lit(1).alias("k")))
+    kinds = F.element_at(F.array(F.lit("quote"), F.lit("span"), F.lit("field")), F.col("k"))
+    return met.groupBy("truth_id", "doc_id", "line_no").agg(F.min("k").alias("k")).select("truth_id", "doc_id", "line_no", kinds.alias("kind"))
 
 
 def in_scope(rows: DataFrame, tenants: DataFrame, *keys: str) -> DataFrame:
@@ -100,6 +121,33 @@ def in_scope(rows: DataFrame, tenants: DataFrame, *keys: str) -> DataFrame:
     return rows.join(tenants.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def state_as_of(requests: DataFrame, states: DataFrame, key: str, values: list[str], order: list[str]) -> DataFrame:
+    """requests (key, up_to, ...) with the values of the last state (key, chapter, ...) before up_to, null where there is none.
+
+    The last is by chapter, an unknown one lying before all, then by `order`; without up_to all states count. States are
+    first brought down to one a chapter, and requests to one for each (key, up_to). A window then carries the last state
+    forward through both together, so no request is ever paired with all states of its key, and a key has as many rows as chapters.
+    """
+    at = F.coalesce(F.col("chapter").cast("double"), F.lit(float("-inf")))
+    last = states.where(F.col(key).isNotNull()).groupBy(key, at.alias("__at")).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__v"))
+    until = F.coalesce(F.col("up_to").cast("double"), F.lit(float("inf")))
+    asked = requests.withColumn("__at", until)
+    points = asked.select(key, "__at").distinct()
+    # A request comes before the states of its own chapter; one without a limit is past them all.
+    both = last.select(key, "__at", F.lit(1).alias("__kind"), "__v").unionByName(points.select(key, "__at", F.lit(0).alias("__kind")), allowMissingColumns=True)
+    # Unknown chapters lie before every request, also one for the first chapter of all.
+    carried = both.withColumn("__last", F.last("__v", ignorenulls=True).over(Window.partitionBy(key).orderBy("__at", "__kind")))
+    found = carried.where("__kind = 0").select(key, "__at", *[F.col(f"__last.{v}").alias(v) for v in values])
+    return asked.join(found, [key, "__at"], "left").drop("__at")
+
+
+def marker_bearing(chunks: DataFrame, evidence: DataFrame, markers: DataFrame) -> DataFrame:
+    """(kind, node_id): chunks (chunk_id, body) that hold one of the markers (marker_id, m), and facts whose evidence (fact_id, chunk_id, pos), joined in its order, does."""
+    joined = evidence.join(chunks, "chunk_id").groupBy("fact_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]), "").alias("body"))
+    by = lambda rows, i: holding(rows.select(F.col(i).alias("doc_id"), "body"), markers).select("doc_id").distinct()
+    return by(chunks, "chunk_id").select(F.lit("chunk").alias("kind"), F.col("doc_id").alias("node_id")).union(by(joined, "fact_id").select(F.lit("fact"), "doc_id"))
+
+
 def pending(requested: DataFrame, done: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Requests that are done, and those that are not."""
     marks = done.select(key).distinct()
@@ -113,7 +161,7 @@ def cited_closure(cited: DataFrame, bridge: DataFrame) -> DataFrame:
 
 
 def holding(texts: DataFrame, markers: DataFrame, block_chars: int = 1 << 20) -> DataFrame:
-    """(doc_id, marker_id): which texts (doc_id, body) hold which markers (marker_id, m), whole and exactly.
+    """(doc_id, marker_id, place): which texts (doc_id, body) hold which markers (marker_id, m), whole and exactly, and where first, from 0.
 
     Markers go to the texts in blocks of bounded size, dealt by hash; a task searches each text once for all markers
     of a block. Null and empty markers are held by nothing.
@@ -131,12 +179,18 @@ def holding(texts: DataFrame, markers: DataFrame, block_chars: int = 1 << 20) ->
 
             index = ahocorasick.Automaton()
             for m, own in shipped.value.items():
-                index.add_word(m, own)
+                index.add_word(m, (len(m), own))
             index.make_automaton()
             for pdf in batches:
-                rows = [(d, i) for d, t in zip(pdf["doc_id"], pdf["body"], strict=True) if t and len(index) for i in {i for _, own in index.iter(t) for i in own}]
-                yield pd.DataFrame(rows, columns=["doc_id", "marker_id"])
-
-        part = texts.select("doc_id", "body").mapInPandas(search, "doc_id long, marker_id long")
+                rows = []
+                for d, t in zip(pdf["doc_id"], pdf["body"], strict=True):
+                    first: dict[int, int] = {}
+                    for end, (size, own) in index.iter(t) if t and len(index) else ():
+                        for i in own:
+                            first.setdefault(i, end + 1 - size)
+                    rows.extend((d, i, at) for i, at in first.items())
+                yield pd.DataFrame(rows, columns=["doc_id", "marker_id", "place"])
+
+        part = texts.select("doc_id", "body").mapInPandas(search, "doc_id long, marker_id long, place int")
         found = part if found is None else found.union(part)
-    return found.distinct()
+    return found.groupBy("doc_id", "marker_id").agg(F.min("place").alias("place"))

@@ -42,6 +42,38 @@ def put_partitions(df: DataFrame, path: str, *keys: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def put_keys(df: DataFrame, path: str, keys: list[str], by: list[str] | None = None, buckets: int = 32) -> DataFrame:
+    """Replaces the rows of exactly the keys that df has, and leaves all others.
+
+    The table is partitioned by `by` and a bucket of the keys, so a write reads and writes the partitions of its keys
+    only, however many keys the table holds. What stays in those goes through the shared folder, as Spark cannot read
+    what it overwrites. Writing the same rows twice leaves the same table; a job that fails leaves the old one.
+    """
+    spark, parts = df.sparkSession, [*(by or []), "bucket"]
+    new = kept(df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "new")
+    rows = new
+    if exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path)
+        stays = old.join(new.select(*parts).distinct(), parts, "left_semi").join(new.select(*keys).distinct(), keys, "left_anti")
+        rows = new.unionByName(kept(stays, "stays"))
+    rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
+
+
+def put_latest(df: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 32) -> DataFrame:
+    """Keeps the last row of each key by `order`, of those that are there and those of df; a write touches the buckets of its keys only. Writing rows again changes nothing."""
+    spark = df.sparkSession
+    new = kept(df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "new")
+    rows = new
+    if exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path)
+        rows = new.unionByName(kept(old.join(new.select("bucket").distinct(), "bucket", "left_semi"), "old"))
+    rest = [c for c in df.columns if c not in keys]
+    last = rows.groupBy("bucket", *keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select("bucket", *keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    last.select(*new.columns).hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """new, and the rows of old whose keys it doesn't have."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from storyloom.sources.tables import shared_path
+from storyloom.sources.tables import exists, shared_path
 
 #: The state store that processors with several state variables need.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -17,9 +17,9 @@ def place(spark: SparkSession, name: str) -> str:
     return shared_path(spark, name)
 
 
-def ran(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there into files of the shared folder and reads these."""
-    spark, out = stream.sparkSession, place(stream.sparkSession, "stream")
+def drained(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there into the files under out and reads these. Its state lies beside them: a later call goes on from it."""
+    spark = stream.sparkSession
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, ROCKS)
@@ -31,14 +31,85 @@ def ran(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def ran(stream: DataFrame, mode: str = "append") -> DataFrame:
+    return drained(stream, place(stream.sparkSession, "stream"), mode)
+
+
 def source(df: DataFrame, name: str, files_a_batch: int | None = None) -> DataFrame:
     """The rows of a static table as a stream of files."""
     path = place(df.sparkSession, name)
     df.write.parquet(path)
-    reader = df.sparkSession.readStream.schema(df.schema)
+    return followed(df.sparkSession, df.schema, path, files_a_batch)
+
+
+def followed(spark: SparkSession, schema, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """The files under path, and those that come later, as a stream."""
+    reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(path)
 
 
+class Job:
+    """A stateful job over rows that come out of order, of which no row is lost unseen.
+
+    Spark drops rows behind the watermark without a trace. So every batch is first split: rows older than the largest
+    time of all batches before it, less `late`, go to the table of late rows, the others to that of punctual rows, which
+    the stateful query follows with the same delay. A tick runs both over what has come; as the second sees whole batches of the
+    first in their order, its watermark is never ahead of the split, and it drops nothing. State is carried from tick
+    to tick, and over restarts, by the checkpoints under `out`. A batch that runs again writes the same rows again.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, ts: str, late: str, query):
+        """query: from a stream of punctual rows to the stream of results; late: a span as Spark writes it, such as '2 hours'."""
+        self.spark, self.out, self.ts, self.late, self.query = spark, out, ts, late, query
+
+    def _split(self, df: DataFrame, number: int) -> None:
+        df = df.persist()
+        try:
+            horizon = self._horizons().where(F.col("batch") < number).agg(F.max("until")).first()[0]
+            old = F.lit(False) if horizon is None else F.coalesce(F.col(self.ts) < F.lit(horizon) - F.expr(f"INTERVAL {self.late}"), F.lit(False))
+            df.where(~old).write.mode("overwrite").parquet(f"{self.out}/punctual/batch={number}")
+            df.where(old).write.mode("overwrite").parquet(f"{self.out}/late/batch={number}")
+            df.agg(F.max(self.ts).alias("until")).coalesce(1).write.mode("overwrite").parquet(f"{self.out}/horizon/batch={number}")
+        finally:
+            df.unpersist()
+
+    def _horizons(self) -> DataFrame:
+        return self._read("horizon", "until timestamp, batch int")
+
+    def _read(self, name: str, schema) -> DataFrame:
+        if not exists(self.spark, f"{self.out}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.out}/{name}")
+
+    def tick(self, rows: DataFrame) -> DataFrame:
+        """Takes all that has come to rows, a stream, since the last tick, and returns the results so far."""
+        q = rows.writeStream.foreachBatch(self._split).option("checkpointLocation", f"{self.out}/split-state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        self.schema = rows.schema
+        return drained(self.query(followed(self.spark, rows.schema, f"{self.out}/punctual")), f"{self.out}/results")
+
+    def late_rows(self) -> DataFrame:
+        """The rows that came too late, as they came, with the number of their batch."""
+        return self._read("late", self.schema.add("batch", "int") if "batch" not in self.schema.names else self.schema)
+
+
+def in_order(df: DataFrame, ts: str, name: str, files: int, overlap: str) -> str:
+    """A folder of files as rows of an event log arrive: file by file in time, each with stragglers of up to `overlap` from the one before."""
+    path = place(df.sparkSession, name)
+    span = df.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
+    if span.a is None:
+        df.coalesce(1).write.parquet(f"{path}/file=0")
+        return path
+    step = (span.b - span.a) / files
+    delay = F.expr(f"INTERVAL {overlap}") * (F.pmod(F.xxhash64(*df.columns), F.lit(1000)) / 1000)
+    arrival = F.col(ts) + delay
+    for i in range(files):
+        lo, hi = F.lit(span.a + step * i), F.lit(span.a + step * (i + 1))
+        some = (arrival < hi if i + 1 < files else F.lit(True)) & (arrival >= lo if i else F.lit(True))
+        df.where(some).coalesce(1).write.parquet(f"{path}/file={i}")
+    return path
+
+
 def ingested(df: DataFrame, number: int, out: str, key: list[str]) -> None:
     """Batch `number` of an ingestion: chapters that an earlier batch has are left out. A batch that runs again writes the same rows again."""
     spark, new = df.sparkSession, df.dropDuplicates(key)
@@ -91,37 +162,58 @@ class Continuity(StatefulProcessor):
 class Quota(StatefulProcessor):
     """What is left of a model's quota: an observation sets it and says when it will be full again, spending lowers it, never below 0.
 
-    Rows: at and reset in milliseconds, event_id, observed, tokens. A call after the reset finds the full quota; for a
-    model without calls a timer restores it when the watermark passes the reset.
+    Rows: at and reset in milliseconds, event_id, observed, tokens. Calls count in the order of (at, event_id), in
+    whatever batch they come: those that the watermark has not passed wait in the state, as earlier ones may still
+    come. Each batch of a model gives what is left after all its calls so far, and how many these are; a later batch's row has a
+    higher number. A call after the reset finds the full quota; for a model without calls a timer restores it when the
+    watermark passes the reset.
     """
 
     FULL = 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("quota", "left long, reset long")
+        self.state = handle.getValueState("quota", "left long, reset long, at long, n long")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, observed boolean, tokens long, reset long")
 
-    def handleInputRows(self, key, rows, timer_values):
-        left, reset = self.state.get() if self.state.exists() else (self.FULL, 0)
-        calls = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        at = 0
-        for at, observed, tokens, wait in zip(calls["at"].tolist(), calls["observed"].tolist(), calls["tokens"].tolist(), calls["reset"].tolist(), strict=True):
+    def _stepped(self, state: tuple, calls) -> tuple:
+        left, reset, last, n = state
+        for at, _, observed, tokens, wait in calls:
             if reset and at >= reset:
                 left, reset = self.FULL, 0
-            if observed:
-                left, reset = tokens, at + wait
-            else:
-                left = max(0, left - tokens)
-        self.state.update((left, reset))
+            left, reset = (tokens, at + wait) if observed else (max(0, left - tokens), reset)
+            last, n = at, n + 1
+        return left, reset, last, n
+
+    def _state(self) -> tuple:
+        return tuple(self.state.get()) if self.state.exists() else (self.FULL, 0, 0, 0)
+
+    def _settle(self, calls: list, passed: int) -> tuple:
+        """The state after the calls that the watermark has passed; the others wait."""
+        calls.sort()
+        settled = self._stepped(self._state(), [c for c in calls if c[0] < passed])
+        rest = [c for c in calls if c[0] >= passed]
+        self.state.update(settled)
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        return self._stepped(settled, rest)
+
+    def handleInputRows(self, key, rows, timer_values):
+        calls = [tuple(c) for c in self.waiting.get()]
+        for pdf in rows:
+            calls.extend(zip(*[pdf[c].tolist() for c in ("at", "event_id", "observed", "tokens", "reset")], strict=True))
+        left, reset, at, n = self._settle(calls, timer_values.getCurrentWatermarkInMs())
         if reset:
             self.handle.registerTimer(reset)
-        yield pd.DataFrame({"model": [key[0]], "at": [at], "left_over": [left]})
+        yield pd.DataFrame({"model": [key[0]], "at": [at], "n": [n], "restored": [False], "left_over": [left]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # Spark passes these by name
-        left, reset = self.state.get()
+        left, reset, at, n = self._settle([tuple(c) for c in self.waiting.get()], timerValues.getCurrentWatermarkInMs())
         if reset and reset == expiredTimerInfo.getExpiryTimeInMs():
-            self.state.update((self.FULL, 0))
-            yield pd.DataFrame({"model": [key[0]], "at": [reset], "left_over": [self.FULL]})
+            self.state.update((self.FULL, 0, at, n))
+            yield pd.DataFrame({"model": [key[0]], "at": [reset], "n": [n], "restored": [True], "left_over": [self.FULL]})
 
     def close(self) -> None:
         pass
