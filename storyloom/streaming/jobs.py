@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from storyloom.sources.tables import exists, shared_path
@@ -89,8 +90,8 @@ class Job:
         return drained(self.query(followed(self.spark, rows.schema, f"{self.out}/punctual")), f"{self.out}/results")
 
     def late_rows(self) -> DataFrame:
-        """The rows that came too late, as they came, with the number of their batch."""
-        return self._read("late", self.schema.add("batch", "int") if "batch" not in self.schema.names else self.schema)
+        """The rows that came too late, as they came, with the number of their batch in a column of that name, which rows must not have."""
+        return self._read("late", T.StructType([*self.schema.fields, T.StructField("batch", T.IntegerType())]))
 
 
 def in_order(df: DataFrame, ts: str, name: str, files: int, overlap: str) -> str:
@@ -188,8 +189,8 @@ class Quota(StatefulProcessor):
     def _state(self) -> tuple:
         return tuple(self.state.get()) if self.state.exists() else (self.FULL, 0, 0, 0)
 
-    def _settle(self, calls: list, passed: int) -> tuple:
-        """The state after the calls that the watermark has passed; the others wait."""
+    def _settle(self, calls: list, passed: int) -> tuple[tuple, list]:
+        """The state after the calls that the watermark has passed, and those that wait."""
         calls.sort()
         settled = self._stepped(self._state(), [c for c in calls if c[0] < passed])
         rest = [c for c in calls if c[0] >= passed]
@@ -198,22 +199,26 @@ class Quota(StatefulProcessor):
             self.waiting.put(rest)
         else:
             self.waiting.clear()
-        return self._stepped(settled, rest)
+        return settled, rest
+
+    def _row(self, key, state: tuple, restored: bool) -> pd.DataFrame:
+        left, reset, at, n = state
+        if reset:
+            self.handle.registerTimer(reset)
+        return pd.DataFrame({"model": [key[0]], "at": [at], "n": [n], "restored": [restored], "left_over": [left]})
 
     def handleInputRows(self, key, rows, timer_values):
         calls = [tuple(c) for c in self.waiting.get()]
         for pdf in rows:
             calls.extend(zip(*[pdf[c].tolist() for c in ("at", "event_id", "observed", "tokens", "reset")], strict=True))
-        left, reset, at, n = self._settle(calls, timer_values.getCurrentWatermarkInMs())
-        if reset:
-            self.handle.registerTimer(reset)
-        yield pd.DataFrame({"model": [key[0]], "at": [at], "n": [n], "restored": [False], "left_over": [left]})
+        settled, rest = self._settle(calls, timer_values.getCurrentWatermarkInMs())
+        yield self._row(key, self._stepped(settled, rest), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # Spark passes these by name
-        left, reset, at, n = self._settle([tuple(c) for c in self.waiting.get()], timerValues.getCurrentWatermarkInMs())
+        (left, reset, at, n), rest = self._settle([tuple(c) for c in self.waiting.get()], timerValues.getCurrentWatermarkInMs())
         if reset and reset == expiredTimerInfo.getExpiryTimeInMs():
             self.state.update((self.FULL, 0, at, n))
-            yield pd.DataFrame({"model": [key[0]], "at": [reset], "n": [n], "restored": [True], "left_over": [self.FULL]})
+            yield self._row(key, self._stepped((self.FULL, 0, at, n), rest), True)
 
     def close(self) -> None:
         pass

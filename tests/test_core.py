@@ -287,10 +287,11 @@ def test_quota_over_unordered_files(spark, tmp_path):
     from storyloom.bindings import lifecycle
 
     rng = random.Random(9)
-    calls = [(i, f"m{i % 3}", m * 60000, minutes(m)[0], rng.random() < 0.1, rng.randrange(80), rng.randrange(20) * 60000) for i, m in enumerate(rng.sample(range(4000), 400))]
+    start = 1_704_067_200_000  # minutes(0) in milliseconds
+    calls = [(i, f"m{i % 3}", start + m * 60000, minutes(m)[0], rng.random() < 0.1, rng.randrange(80), rng.randrange(20) * 60000) for i, m in enumerate(rng.sample(range(4000), 400))]
     files = [[] for _ in range(4)]
     for c in calls:
-        files[min(3, (c[2] // 60000 + rng.randrange(900)) // 1000)].append(c)
+        files[min(3, ((c[2] - start) // 60000 + rng.randrange(900)) // 1000)].append(c)
     schema = "event_id long, model string, at long, ts timestamp, observed boolean, tokens long, reset long"
     got, job = ticks(spark, tmp_path, lambda r: K.stateful(r.withWatermark("ts", "1 day"), "model", K.Quota(), "model string, at long, n long, restored boolean, left_over long", "eventTime"), schema, files, "1 day")
     until = max(c[2] for c in calls) - 24 * 3600 * 1000
