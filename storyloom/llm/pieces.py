@@ -77,7 +77,14 @@ class PieceCodec:
         self.segments = re.compile(f"[{breaks}]|{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+" if breaks else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         if any(SPACE in p.lstrip(SPACE) for p in self.ids) or any(len(p) > 1 + len(p.lstrip(SPACE)) for p in order):
             raise ValueError("a piece crosses words or starts with several spaces: segments can't be told apart")
-        self.cache, self.limit = {}, cache
+        self.limit = cache
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what is kept between texts. cache: the ids of segments, joined by commas; unlike: what those decode to whose text that is not."""
+        self.cache: dict[str, str] = {}
+        self.unlike: dict[str, str] = {}
+        self.valid.clear()
 
     def _last_merge(self, piece: str) -> tuple[int, int]:
         """The two pieces that merge last into this one: the compatible ones that both merge earlier."""
@@ -167,21 +174,26 @@ class PieceCodec:
         return self.table(s)
 
     def encode(self, text: str) -> list[int]:
-        return [i for s in self._segments(text) for i in self._known(s)[3]]
+        return [int(i) for known in self._known(self._segments(text)) for i in known.split(",")]
 
     def _segments(self, text: str) -> list[str]:
         return self.segments.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def _known(self, s: str) -> tuple[int, str, str, list[int]]:
-        found = self.cache.get(s)
-        if found is None:
-            ids = self.segment(s)
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            found = (len(ids), ",".join(map(str, ids)), self.join(ids), ids)
-            if len(s) < 64:
-                self.cache[s] = found
-        return found
+    def _known(self, parts: list[str]) -> list[str]:
+        """The ids of each segment, joined by commas. `unlike` holds for these segments until the next call."""
+        if len(self.cache) + len(parts) > self.limit or len(self.unlike) > self.limit:
+            self.forget()
+        known = self.cache.get
+        return [known(s) or self._learn(s) for s in parts]
+
+    def _learn(self, s: str) -> str:
+        ids = self.segment(s)
+        joined, back = ",".join(map(str, ids)), self.join(ids)
+        if back != s.replace(SPACE, " "):
+            self.unlike[s] = back
+        if len(s) < 64:
+            self.cache[s] = joined
+        return joined
 
     def join(self, ids: list[int]) -> str:
         """The pieces' text; bytes that are not UTF-8 turn into U+FFFD one by one."""
@@ -223,10 +235,11 @@ class PieceCodec:
         n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
         parts = self._segments(text or "")
         for lo in range(0, len(parts), 1 << 16):
-            known = [self._known(s) for s in parts[lo : lo + (1 << 16)]]
-            n += sum(k[0] for k in known)
-            ids.update(("," * bool(lo) + ",".join(k[1] for k in known)).encode())
-            plain = "".join(k[2] for k in known)
+            some = parts[lo : lo + (1 << 16)]
+            known = ",".join(self._known(some))
+            n += known.count(",") + 1
+            ids.update(("," * bool(lo) + known).encode())
+            plain = "".join([self.unlike.get(s, s) for s in some] if self.unlike else some).replace(SPACE, " ")
             back.update((plain[1:] if not lo else plain).encode())
         return n, ids.hexdigest(), back.hexdigest()
 
@@ -253,16 +266,19 @@ def encode_documents(docs: DataFrame, model_path: str, ids: bool = False) -> Dat
 
     def run(batches):
         own = codec(shipped.value)
-        for b in batches:
-            texts = b.column("text")
-            rows = [own.digest(t.as_py()) for t in texts]
-            n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-            arrays = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if ids:
-                arrays.append(pa.array([own.encode(t.as_py() or "") for t in texts], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        try:
+            for b in batches:
+                texts = b.column("text")
+                rows = [own.digest(t.as_py()) for t in texts]
+                n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
+                arrays = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if ids:
+                    arrays.append(pa.array([own.encode(t.as_py() or "") for t in texts], pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names)
+        finally:
+            own.forget()  # Spark keeps the worker for other stages
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

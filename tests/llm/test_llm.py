@@ -8,6 +8,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -171,6 +172,36 @@ def test_pieces_of_a_table(spark, docs, none, codecs):
     assert by[5].n_tokens == len(ids) and by[5].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_pieces_leave_a_worker_no_cache(spark, docs):
+    """Workers go on to other stages: what a task kept between texts must not stay in their memory."""
+
+    def held(batches):
+        for b in batches:
+            kept = sum(len(c.cache) + len(c.valid) for c in pieces._codecs.values())
+            yield pa.RecordBatch.from_pylist([{"codecs": len(pieces._codecs), "kept": kept}])
+
+    assert pieces.encode_documents(docs.coalesce(1), public_tokenizers.path("piece_bpe_32k.model")).count() == docs.count()
+    seen = spark.range(0, 64, 1, 64).mapInArrow(held, "codecs long, kept long").collect()
+    assert max(r.codecs for r in seen) == 1 and max(r.kept for r in seen) == 0
+
+
+def test_pieces_of_many_segments(codecs):
+    """A cache that is emptied between texts and inside a long one, and segments that don't decode to themselves."""
+    own, library = codecs
+    rng = random.Random(8)
+    texts = ["\ud800 a\udfff b", *(" ".join(rng.choice(["aé", "\x01", "\u2581x", "日本", "of the"]) + str(rng.randrange(3000)) for _ in range(n)) for n in (70_000, 5, 66_000))]
+    own.limit, limit = 4_000, own.limit
+    try:
+        for t in texts:
+            ids = own.encode(t) if "\ud800" in t else library.encode(t)
+            want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
+            assert own.digest(t) == want
+            if "\ud800" not in t:
+                assert own.decode(ids) == library.decode(ids)
+    finally:
+        own.limit = limit
+
+
 # ---- 4: lines
 
 
