@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 from itertools import chain
@@ -87,8 +88,14 @@ class Aligner:
         if len(self.number) + len(missing) > self.limit and self.number:
             self.forget()
             missing = list(units)
-        for lo in range(0, len(missing), UNITS):
-            self.align(missing[lo : lo + UNITS])
+        collects = gc.isenabled()
+        gc.disable()  # spans are many tuples without cycles, which the collector would walk through again and again
+        try:
+            for lo in range(0, len(missing), UNITS):
+                self.align(missing[lo : lo + UNITS])
+        finally:
+            if collects:
+                gc.enable()
 
     def _encoded(self, units: list[str]) -> tuple[list[str], list, list]:
         """Units whose tokens' bytes are a space and the unit, with the tokens of both sides; the others get the number -1."""

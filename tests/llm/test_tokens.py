@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import random
@@ -156,6 +157,19 @@ def test_alignment_equals_brute_force(spark, rows):
     assert Counter(map(tuple, got)) == Counter(brute_alignment(rows))
 
 
+def test_the_collector_rests_while_units_are_aligned(monkeypatch):
+    """Spans are so many tuples that collections took a fifth of the time; afterwards, and after an error, it goes on."""
+    own = alignment.Aligner(alignment.Vocabularies(open(JSON, encoding="utf-8").read(), open(MODEL, "rb").read()))
+    seen, align = [], own.align
+    monkeypatch.setattr(own, "align", lambda units: (seen.append(gc.isenabled()), align(units)))
+    assert gc.isenabled() and next(own.texts(["two words"]))[0] > 0
+    assert seen == [False] and gc.isenabled()
+    monkeypatch.setattr(own, "align", lambda units: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        next(own.texts(["other units"]))
+    assert gc.isenabled()
+
+
 def test_alignment_by_shuffle_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(alignment, "BROADCAST_ROWS", 0)
     some = odd_rows()
