@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.ratios import wratio
+from storyloom.functions.ratios import WINDOWS, alike
 from storyloom.functions.schema import ALIKE, EXACT, FUZZY
 from storyloom.functions.text import name_key
 from storyloom.operators.search import merge_components
@@ -26,9 +26,9 @@ def pairs_of(c: Column) -> Column:
 
 
 def marks(names: DataFrame) -> DataFrame:
-    """(tenant, label, k, mark): two-letter parts without spaces, and words of one letter. Names that are alike share one, unless all words of one are single letters."""
+    """names with a row for each mark: two-letter parts without spaces, and words of one letter. Names that are alike share one, unless all words of one are single letters."""
     single = F.transform(F.filter(F.split("k", r"\s+"), lambda w: F.length(w) == 1), lambda w: F.concat(F.lit(" "), w))
-    return names.select(*KEY, F.explode(F.array_distinct(F.concat(pairs_of(F.regexp_replace("k", r"\s+", "")), single))).alias("mark"))
+    return names.select("*", F.explode(F.array_distinct(F.concat(pairs_of(F.regexp_replace("k", r"\s+", "")), single))).alias("mark"))
 
 
 def sorted_words(distinct: bool) -> Column:
@@ -39,19 +39,33 @@ def sorted_words(distinct: bool) -> Column:
 def alike_pairs(new: DataFrame, all_: DataFrame, threshold: float = ALIKE) -> DataFrame:
     """(tenant, label, x, y): names x of new and other names y of all_ of the same tenant and label that are alike.
 
-    Names meet where they share a mark, so unlike names are rarely compared. A name all of whose words are single letters
-    also meets every name that has its letter, or two-letter parts of its sorted words. Likeness is computed for whole batches of pairs.
+    Names meet where they share a mark. Where both are one word, the shorter looks by its rarest marks alone: of n letters, d are
+    not common and at most as many of the other name's stand between the rest, which spoils at most 3 d of its marks, or 2 d
+    for a window, so one more than can be spoilt find every name. A name all of whose words are single letters
+    also meets every name that has its letter, or two-letter parts of its sorted words. Likeness is computed for whole batches of pairs,
+    each pair once, whichever of the two is new; x is the smaller. Names and pairs are few bytes but much work, so they are dealt over
+    as many tasks as a shuffle has, which Spark would join by their size.
     """
+    tasks = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, right = new.select(*KEY).distinct(), all_.select(*KEY).distinct()
-    met = marks(left).withColumnRenamed("k", "x").join(marks(right).withColumnRenamed("k", "y"), ["tenant", "label", "mark"])
-    met = met.select("tenant", "label", "x", "y")
+    names = left.withColumn("fresh", F.lit(True)).union(right.withColumn("fresh", F.lit(False))).groupBy(*KEY).agg(F.max("fresh").alias("fresh"))
+    names = names.withColumn("word", ~F.col("k").rlike(r"(?U)[\s\x1c-\x1f]")).withColumn("size", F.length("k"))
+    on = ["tenant", "label", "mark"]
+    marked = kept(marks(names), "marks")
+    seen = marked.groupBy(*on).agg(F.count("*").alias("seen"))
+    spoilt = F.floor(F.col("size") * max(3 * (1 - threshold), 4 * (1 - threshold / WINDOWS)) + 1e-9)
+    rare = marked.join(seen, on).withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("seen", "mark")))
+    rare = rare.where(~F.col("word") | (F.col("rank") <= spoilt + 1)).select(*on, *[F.col(c).alias(f"own_{c}") for c in ("k", "fresh", "word", "size")])
+    met = rare.repartition(tasks, *on).join(marked.repartition(tasks, *on), on).where("(fresh OR own_fresh) AND (NOT own_word OR word AND own_size <= size)")
+    met = met.select("tenant", "label", F.col("own_k").alias("x"), F.col("k").alias("y"))
     parts = lambda c: F.array_union(pairs_of(c), F.split(c, ""))
     loose = ~F.exists(F.split(F.trim("k"), r"\s+"), lambda w: F.length(w) > 1)
     for one, two, a, b in ((left, right, "x", "y"), (right, left, "y", "x")):
         of = lambda own: F.explode(F.array_distinct(F.concat(own(sorted_words(True)), own(sorted_words(False))))).alias("mark")
         few = one.where(loose).select("tenant", "label", F.col("k").alias(a), of(pairs_of))
         met = met.unionByName(few.join(two.select("tenant", "label", F.col("k").alias(b), of(parts)), ["tenant", "label", "mark"]).select("tenant", "label", "x", "y"))
-    return met.where("x <> y").distinct().where(wratio("x", "y") >= threshold)
+    once = met.where("x <> y").select("tenant", "label", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return once.repartition(tasks, "x", "y").where(alike("x", "y", F.lit(threshold)))
 
 
 def edit_pairs(new: DataFrame, all_: DataFrame, similarity, threshold: float) -> DataFrame:

@@ -34,3 +34,39 @@ def test_a_character_without_states_has_null_in_the_roster(spark, tmp_path):
     table(spark, tmp_path, "lineitem", [(1, 5, 1), (1, 5, 1), (1, None, 1), (2, 6, 2)], "l_orderkey long, l_partkey long, l_linenumber int")
     got, want = as_sql(spark, "prior_state_roster", tmp_path)
     assert got == want and len(got) == 3
+
+
+def test_the_bound_of_likeness_holds():
+    import random
+
+    from storyloom.functions import ratios
+
+    rng = random.Random(5)
+    for letters, most in (("abcd가나  ", 12), ("ab\t c", 9), ("abcdefgh", 14), ("abc", 40)):
+        x, y = (["".join(rng.choice(letters) for _ in range(rng.randint(0, most))) for _ in range(4000)] for _ in "xy")
+        y[:2000] = [a[: rng.randint(0, len(a))] + rng.choice(letters) + a[rng.randint(0, len(a)) :] for a in x[:2000]]
+        assert (ratios.likeness(x, y) <= ratios.most_alike(x, y) + 1e-12).all()
+
+
+def test_alike_names_of_one_word_meet_by_rare_marks(spark, monkeypatch):
+    """The same pairs as all with all, old names never with each other; few pairs reach the likeness, and in many tasks."""
+    import random
+    from itertools import combinations
+
+    from storyloom.functions import ratios
+    from storyloom.operators import resolution as R
+
+    rng = random.Random(8)
+    names = {"".join(rng.choice("aeioulnrst") for _ in range(rng.randint(1, 15))) for _ in range(250)}
+    for n in sorted(names):
+        i, j = sorted(rng.randint(0, len(n)) for _ in "ij")
+        names |= {n[:i] + rng.choice("aeiouxyz") + n[i:], n[:i] + n[i + 1 :], n[:j] + "q" + n[j + 1 :], n[i:j], f"x{n}yz{n[:3]}", f"{n[:i]} {n[i:]}".strip()} if rng.random() < 0.3 else set()
+    names = sorted(names - {""})
+    fresh = set(rng.sample(names, len(names) // 2))
+    rows = [("t", "Character", n) for n in names]
+    table = lambda some: spark.createDataFrame(some, "tenant string, label string, k string")
+    got = R.alike_pairs(table([r for r in rows if r[2] in fresh]), table(rows))
+    pairs = [(a, b) for a, b in combinations(names, 2) if a in fresh or b in fresh]
+    like = ratios.likeness(*map(list, zip(*pairs, strict=True)))
+    assert sorted((r.x, r.y) for r in got.collect()) == sorted(p for p, v in zip(pairs, like, strict=True) if v >= 0.85)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
