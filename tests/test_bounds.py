@@ -70,3 +70,17 @@ def test_alike_names_of_one_word_meet_by_rare_marks(spark, monkeypatch):
     like = ratios.likeness(*map(list, zip(*pairs, strict=True)))
     assert sorted((r.x, r.y) for r in got.collect()) == sorted(p for p, v in zip(pairs, like, strict=True) if v >= 0.85)
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_matches_of_names_are_not_exchanged(spark):
+    """Pairs are many times both tables where names are common; requests and nodes of several names give each pair once."""
+    from storyloom.operators import joins as J
+
+    nodes = [(i, ["ann", "bob", None][i % 3], [["ann", "cy"], [], None, ["bob", "ann"]][i % 4]) for i in range(60)] + [(0, "cy", ["dee"])]
+    asked = [(1, "ann"), (1, "bob"), (1, "ann"), (2, "cy"), (2, "dee"), (3, None), (4, "eve"), (5, "bob")]
+    e, q = spark.createDataFrame(nodes, "node_id long, name string, aliases array<string>"), spark.createDataFrame(asked, "query_id long, asked string")
+    got = J.entity_match(q, e)
+    want = {(i, n) for i, a in asked if a for n, name, aliases in nodes if a == name or a in (aliases or [])}
+    assert sorted((r.query_id, r.node_id) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange hashpartitioning(query_id" not in plan.split("Join")[0]
