@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.sources.tables import shared_dir
+from storyloom.sources.tables import shared_dir, swept
 
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,7 +24,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: this cuts the lineage and outlives any executor."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with swept(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

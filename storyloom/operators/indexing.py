@@ -12,7 +12,7 @@ from storyloom.functions.schema import FACTS, LABELS, PATTERNS
 from storyloom.operators.graph import rewire
 from storyloom.operators.joins import link_evidence
 from storyloom.operators.resolution import KEY, canonical, touched
-from storyloom.sources.tables import exists, kept
+from storyloom.sources.tables import exists, kept, swept
 
 #: Tables of a graph and their columns; all are partitioned by bundle and tenant.
 TABLES = {
@@ -85,7 +85,8 @@ class Graph:
         path = f"{self.path}/{name}/bundle={bundle}"
         columns = T.StructType.fromDDL(TABLES[name])
         rows = df.select(*[F.col(c.name).cast(c.dataType) for c in columns])
-        rows.hint("rebalance", "tenant").write.mode("overwrite").partitionBy("tenant").parquet(path)
+        with swept(self.spark):
+            rows.hint("rebalance", "tenant").write.mode("overwrite").partitionBy("tenant").parquet(path)
         return self.spark.read.schema(columns).parquet(path)
 
     def add(self, chapters: DataFrame, extractions: DataFrame, summaries: DataFrame | None = None, size: int = 100, similar=None) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 
 import devcheck
 
@@ -84,3 +85,38 @@ def test_matches_of_names_are_not_exchanged(spark):
     assert sorted((r.query_id, r.node_id) for r in got.collect()) == sorted(want)
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Exchange hashpartitioning(query_id" not in plan.split("Join")[0]
+
+
+def test_a_subgraph_goes_through_in_slices(spark, tmp_path, monkeypatch):
+    """Eight slices give what one gives, and leave the edges of each and nothing of their members."""
+    import os
+
+    import pytest
+
+    from storyloom.bindings import graphs
+    from storyloom.sources import tables
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are absent")
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = lambda: sorted(map(tuple, graphs.subgraph_rows(spark, "/root/testdata/sf0.001").collect()))
+    want = rows()
+    monkeypatch.setattr(graphs, "SLICE", 500)
+    assert rows() == want and want
+    names = [p.name.split("-", 1)[1] for p in (tmp_path / "storyloom").iterdir()]
+    assert names.count("subgraph") == 9 and not {"members", "hot"} & set(names)
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path, monkeypatch):
+    from storyloom.sources import tables
+
+    monkeypatch.setattr(tables, "shared_dir", lambda spark: f"file://{tmp_path}")
+    before = spark.conf.get(tables.CLEANUP, "false")
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(not b.name().startswith("broadcast") for b in (blocks.getAllBlocks().apply(i) for i in range(blocks.getAllBlocks().size())))
+    n, made = held(), [tables.kept(spark.range(5000).repartition(7, "id").groupBy("id").count(), "x") for _ in range(3)]
+    until = time.time() + 20  # Spark doesn't wait for it
+    while held() > n and time.time() < until:
+        time.sleep(0.2)
+    assert held() <= n and spark.conf.get(tables.CLEANUP, "false") == before
+    assert [df.count() for df in made] == [5000] * 3
