@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.sources.tables import shared_dir, swept
+from storyloom.sources.tables import noted, shared_dir, swept
 
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,9 +21,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/storyloom/{uuid.uuid4().hex}-{name}"
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: this cuts the lineage and outlives any executor."""
-    path = scratch_path(df.sparkSession, name)
+def scratch(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: this cuts the lineage and outlives any executor. It goes with a block of sources.tables.passing, unless it stays."""
+    path = noted(scratch_path(df.sparkSession, name), stays)
     with swept(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

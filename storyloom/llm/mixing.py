@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import WORD, scratch
+from storyloom.sources.tables import passing
 
 #: Units that one flight takes at most, more or less: a source with more is dealt out over blocks.
 BLOCK = 1024
@@ -96,7 +97,7 @@ def flier(last: bool, seed: int):
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = 42) -> DataFrame:
-    """doc_id, source, ordinal, size, source_size, target, copies (whole), taken (words) for each row of docs.
+    """doc_id, source, ordinal, size, source_size, target, copies (whole), taken (words), text_hash for each row of docs.
 
     A document is taken floor(target / source size) times and once more with the fraction as probability. Each flight
     balances words and documents of one block of one source; what it leaves open, two units at most, flies again with
@@ -105,15 +106,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     come nearer to the target than about half its size. Rows that agree in doc_id, source and size are told apart by
     ordinal, in the order of a hash of their text. An empty table gives no row. Only doc_id, text and source are read.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("t"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"))
     sized = scratch(sized, "sizes")
     goal = scratch(targets(sized, weights, share, cap), "targets")
-    same = Window.partitionBy("doc_id", "source", "size").orderBy("t")
-    units = sized.withColumn("ordinal", F.row_number().over(same)).drop("t")
+    same = Window.partitionBy("doc_id", "source", "size").orderBy("text_hash")
+    units = sized.withColumn("ordinal", F.row_number().over(same))
     units = units.join(goal.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     units = units.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     units = units.withColumn("base", F.floor(F.col("ratio") + 1e-12)).withColumn("pi", F.greatest(F.lit(0.0), F.col("ratio") - F.col("base")))
-    columns = "doc_id long, source string, size long, ordinal int, n long, source_size long, target double, ratio double, base long, pi double"
+    columns = "doc_id long, source string, size long, ordinal int, n long, source_size long, target double, ratio double, base long, pi double, text_hash long"
     most = goal.agg(F.max("n")).first()[0] or 0
     open_, done, last = units, [], False
     while not last:
@@ -131,15 +132,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     for x in done[1:]:
         out = out.unionByName(x)
     copies = (F.col("base") + F.col("pi").cast("long")).alias("copies")
-    return out.select("doc_id", "source", "ordinal", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "ordinal", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"), "text_hash")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as mix() takes it: a document taken twice gives two rows."""
-    plan = mix(docs, **options).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__w"), F.col("ordinal").alias("__o"), F.col("copies").alias("__copies")).where("__copies > 0")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.withColumns({"__d0": F.col("doc_id").cast("long"), "__s0": F.col("source").cast("string"), "__w0": size})
-    own = own.withColumn("__o0", F.row_number().over(Window.partitionBy("__d0", "__s0", "__w0").orderBy(F.xxhash64("text"))))
-    same = F.col("__d0").eqNullSafe(F.col("__d")) & F.col("__s0").eqNullSafe(F.col("__s")) & (F.col("__w0") == F.col("__w")) & (F.col("__o0") == F.col("__o"))
-    took = own.join(plan, same).withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return took.select(*docs.columns)
+    """The rows of docs, each as often as mix() takes it: a document taken twice gives two rows.
+
+    The texts are exchanged once: rows are numbered after the join, by the columns of the join, none of which is null.
+    """
+    d, s = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    key = {"__d": F.coalesce(d, F.lit(0)), "__nd": d.isNull(), "__s": F.coalesce(s, F.lit("")), "__ns": s.isNull(), "__t": F.xxhash64("text")}
+    # Rows of one text are alike, so what all of them take is dealt out among them: copies of one document differ by one at most.
+    with passing(docs.sparkSession):
+        plan = mix(docs, **options).withColumns({k: v for k, v in key.items() if k != "__t"}).withColumnRenamed("text_hash", "__t")
+        plan = plan.groupBy(*key).agg(F.min("copies").alias("__least"), F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
+        plan = scratch(plan.where("__sum > 0"), "plan", stays=True)
+    own = docs.withColumns(key).join(plan, [*key])
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("__t"))
+    took = own.withColumn("__copies", F.col("__least") + (number <= F.col("__sum") - F.col("__least") * F.col("__n")).cast("int")).where("__copies > 0")
+    return took.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
