@@ -120,3 +120,41 @@ def test_shuffle_files_go_when_a_table_is_written(spark, tmp_path, monkeypatch):
         time.sleep(0.2)
     assert held() <= n and spark.conf.get(tables.CLEANUP, "false") == before
     assert [df.count() for df in made] == [5000] * 3
+
+
+def test_scores_of_requests_and_documents_are_not_exchanged(spark, monkeypatch):
+    """The best by brute force, in blocks of requests and few pairs at a time; a document in two rows is one."""
+    import math
+    import random
+    from collections import Counter
+
+    from storyloom.operators import search as S
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(40)], k=rng.randint(0, 30))), rng.choice([None, 1, 4])) for i in range(150)]
+    docs += [(200, "w1 w2", 1), (200, "w2 w39", 1), (201, None, 1), (202, "", None), *[(300 + i, "w7 w0", 2) for i in range(9)]]
+    asked = [(i, " ".join(rng.choices(words, k=rng.randint(0, 4))), rng.choice([None, 2, 3])) for i in range(25)] + [(90, "w7", None), (91, "none", 5), (92, None, 1)]
+    rows = {}
+    for i, text, chapter in docs:
+        rows.setdefault(i, (Counter(), chapter))[0].update((text or "").split())
+    rows = {i: r for i, r in rows.items() if r[0]}
+    avg, want = sum(sum(c.values()) for c, _ in rows.values()) / len(rows), []
+    for q, text, up_to in asked:
+        hits = []
+        for i, (c, chapter) in rows.items():
+            own = [w for w in set((text or "").split()) if c[w]]
+            if own and (up_to is None or chapter is None or chapter < up_to):
+                df = {w: sum(w in o for o, _ in rows.values()) for w in own}
+                s = sum(math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / avg)) for w in own)
+                hits.append((-round(s, 6), i))
+        want += [(q, i, r + 1, -s) for r, (s, i) in enumerate(sorted(hits)[:4])]
+    d, r = spark.createDataFrame(docs, "node_id long, text string, chapter int").repartition(3), spark.createDataFrame(asked, "query_id long, text string, up_to int")
+    for block, scores in ((1 << 20, 1 << 22), (15, 60)):
+        monkeypatch.setattr(S, "BROADCAST_ROWS", block)
+        monkeypatch.setattr(S, "SCORES", scores)
+        hits = S.fulltext_topk(r, d, 4)
+        got = sorted((x.query_id, x.node_id, x["rank"], x.score) for x in hits.collect())
+        assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, sorted(want), strict=True))
+        plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert "Exchange hashpartitioning(query_id" in plan and "hashpartitioning(query_id#0L, node_id" not in plan and plan.count("Exchange hashpartitioning") == 1
