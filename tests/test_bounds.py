@@ -150,11 +150,37 @@ def test_scores_of_requests_and_documents_are_not_exchanged(spark, monkeypatch):
                 hits.append((-round(s, 6), i))
         want += [(q, i, r + 1, -s) for r, (s, i) in enumerate(sorted(hits)[:4])]
     d, r = spark.createDataFrame(docs, "node_id long, text string, chapter int").repartition(3), spark.createDataFrame(asked, "query_id long, text string, up_to int")
-    for block, scores in ((1 << 20, 1 << 22), (15, 60)):
+    for block, pairs in ((1 << 20, 1 << 20), (15, 60)):
         monkeypatch.setattr(S, "BROADCAST_ROWS", block)
-        monkeypatch.setattr(S, "SCORES", scores)
+        monkeypatch.setattr(S, "PAIRS", pairs)
         hits = S.fulltext_topk(r, d, 4)
         got = sorted((x.query_id, x.node_id, x["rank"], x.score) for x in hits.collect())
         assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, sorted(want), strict=True))
         plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
         assert "Exchange hashpartitioning(query_id" in plan and "hashpartitioning(query_id#0L, node_id" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_postings_are_dealt_and_searched_in_slices(spark, tmp_path, monkeypatch):
+    """Slices of words and of nodes give what one gives; a bundle that failed halfway is replaced whole."""
+    import os
+    import random
+
+    from storyloom.operators import postings as P
+
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices([f"w{k}" for k in range(50)], k=rng.randint(0, 25)))) for i in range(300)], "node_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w30"), (3, "none"), (4, " ".join(f"w{k}" for k in range(50)))], "query_id long, text string")
+    found, files = [], lambda path: sum(f.endswith(".parquet") for _, _, names in os.walk(path) for f in names)
+    for n, size in enumerate((1 << 40, 40)):
+        monkeypatch.setattr(P, "SLICE", size, raising=False)
+        index = P.Postings(spark, f"file://{tmp_path}/{n}", parts=4)
+        docs.limit(7).write.mode("overwrite").parquet(f"file://{tmp_path}/{n}/blocks/bundle=1/part=0")  # of a bundle without totals
+        for i in range(2):
+            index.add(docs.where(f"node_id % 2 = {i}"))
+        found.append(sorted(tuple(r) for r in index.search(asked, 5).collect()))
+        assert index.read("blocks").agg({"n": "sum"}).first()[0] == index.read("terms").agg({"n": "sum"}).first()[0]
+    assert found[0] == found[1] and len(found[0]) == 15
+    slices = []
+    monkeypatch.setattr(P, "kept", lambda df, name, *a, _kept=P.kept, **k: (slices.append(name), _kept(df, name, *a, **k))[1])
+    index.search(asked, 5)
+    assert slices.count("best") == P.SLICES
