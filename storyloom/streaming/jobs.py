@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -165,17 +166,28 @@ class Quota(StatefulProcessor):
 
     Rows: at and reset in milliseconds, event_id, observed, tokens. Calls count in the order of (at, event_id), in
     whatever batch they come: those that the watermark has not passed wait in the state, as earlier ones may still
-    come. Each batch of a model gives what is left after all its calls so far, and how many these are; a later batch's row has a
+    come, packed by the SPAN of time that they fall into. One span at a time is read, and of a batch BUFFER calls, so memory
+    follows neither the batch nor the delay. Each batch of a model gives what is left after all its calls so far, and how many these are; a later batch's row has a
     higher number. A call after the reset finds the full quota; for a model without calls a timer restores it when the
     watermark passes the reset.
     """
 
-    FULL = 1000
+    FULL, SPAN, BUFFER = 1000, 3600_000, 1 << 17
+    CALL = np.dtype([("at", "<i8"), ("event_id", "<i8"), ("observed", "?"), ("tokens", "<i8"), ("reset", "<i8")])
 
     def init(self, handle) -> None:
         self.handle = handle
         self.state = handle.getValueState("quota", "left long, reset long, at long, n long")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, observed boolean, tokens long, reset long")
+        self.waiting = handle.getMapState("waiting", "span long", "calls binary")
+
+    def _wait(self, calls: np.ndarray) -> None:
+        """Adds calls to those that wait in their spans."""
+        span = calls["at"] // self.SPAN
+        order = np.argsort(span, kind="stable")
+        names, start = np.unique(span[order], return_index=True)
+        for name, own in zip(names.tolist(), np.split(calls[order], start[1:]), strict=True):
+            before = self.waiting.getValue((name,))[0] if self.waiting.containsKey((name,)) else b""
+            self.waiting.updateValue((name,), (bytes(before) + own.tobytes(),))
 
     def _stepped(self, state: tuple, calls) -> tuple:
         left, reset, last, n = state
@@ -189,17 +201,31 @@ class Quota(StatefulProcessor):
     def _state(self) -> tuple:
         return tuple(self.state.get()) if self.state.exists() else (self.FULL, 0, 0, 0)
 
-    def _settle(self, calls: list, passed: int) -> tuple[tuple, list]:
-        """The state after the calls that the watermark has passed, and those that wait."""
-        calls.sort()
-        settled = self._stepped(self._state(), [c for c in calls if c[0] < passed])
-        rest = [c for c in calls if c[0] >= passed]
+    def _spans(self):
+        """The calls that wait, span by span, each in order, with the span's name."""
+        for name in sorted(k[0] for k in self.waiting.keys()):
+            yield name, np.sort(np.frombuffer(bytes(self.waiting.getValue((name,))[0]), self.CALL), order=["at", "event_id", "observed", "tokens", "reset"])
+
+    def _settle(self, passed: int) -> tuple:
+        """The state after the calls that the watermark has passed; these wait no longer."""
+        settled = self._state()
+        for name, calls in self._spans():
+            if name * self.SPAN >= passed:
+                break
+            settled = self._stepped(settled, calls[calls["at"] < passed].tolist())
+            rest = calls[calls["at"] >= passed]
+            if len(rest):
+                self.waiting.updateValue((name,), (rest.tobytes(),))
+            else:
+                self.waiting.removeKey((name,))
         self.state.update(settled)
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        return settled, rest
+        return settled
+
+    def _after_all(self, state: tuple) -> tuple:
+        """The state after those that wait, too."""
+        for _, calls in self._spans():
+            state = self._stepped(state, calls.tolist())
+        return state
 
     def _row(self, key, state: tuple, restored: bool) -> pd.DataFrame:
         left, reset, at, n = state
@@ -208,17 +234,25 @@ class Quota(StatefulProcessor):
         return pd.DataFrame({"model": [key[0]], "at": [at], "n": [n], "restored": [restored], "left_over": [left]})
 
     def handleInputRows(self, key, rows, timer_values):
-        calls = [tuple(c) for c in self.waiting.get()]
+        held: list[np.ndarray] = []
         for pdf in rows:
-            calls.extend(zip(*[pdf[c].tolist() for c in ("at", "event_id", "observed", "tokens", "reset")], strict=True))
-        settled, rest = self._settle(calls, timer_values.getCurrentWatermarkInMs())
-        yield self._row(key, self._stepped(settled, rest), False)
+            pdf = pdf[pdf["at"].notna()]  # a call without a time is neither before nor after any other
+            calls = np.empty(len(pdf), self.CALL)
+            for c in self.CALL.names:
+                calls[c] = pdf[c].fillna(0).to_numpy()
+            held.append(calls)
+            if sum(map(len, held)) >= self.BUFFER:
+                self._wait(np.concatenate(held))
+                held = []
+        if held:
+            self._wait(np.concatenate(held))
+        yield self._row(key, self._after_all(self._settle(timer_values.getCurrentWatermarkInMs())), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # Spark passes these by name
-        (left, reset, at, n), rest = self._settle([tuple(c) for c in self.waiting.get()], timerValues.getCurrentWatermarkInMs())
+        left, reset, at, n = self._settle(timerValues.getCurrentWatermarkInMs())
         if reset and reset == expiredTimerInfo.getExpiryTimeInMs():
             self.state.update((self.FULL, 0, at, n))
-            yield self._row(key, self._stepped((self.FULL, 0, at, n), rest), True)
+            yield self._row(key, self._after_all((self.FULL, 0, at, n)), True)
 
     def close(self) -> None:
         pass

@@ -184,3 +184,51 @@ def test_postings_are_dealt_and_searched_in_slices(spark, tmp_path, monkeypatch)
     monkeypatch.setattr(P, "kept", lambda df, name, *a, _kept=P.kept, **k: (slices.append(name), _kept(df, name, *a, **k))[1])
     index.search(asked, 5)
     assert slices.count("best") == P.SLICES
+
+
+def test_a_models_waiting_calls_are_read_span_by_span():
+    """The same balances as step by step, over batches and watermarks; no more calls at once than a span or a buffer has."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from storyloom.streaming import jobs as K
+
+    class Cell:
+        def __init__(self):
+            self.value = None
+
+        exists, get, update = lambda s: s.value is not None, lambda s: s.value, lambda s, v: setattr(s, "value", v)
+
+    class Cells(dict):
+        most = 0
+        containsKey, keys, removeKey = lambda s, k: k in s, lambda s: iter(list(dict.keys(s))), lambda s, k: s.pop(k)  # noqa: N815
+
+        def getValue(self, k):  # noqa: N802
+            Cells.most = max(Cells.most, len(self[k][0]) // K.Quota.CALL.itemsize)
+            return self[k]
+
+        def updateValue(self, k, v):  # noqa: N802
+            self[k] = v
+
+    rng = random.Random(7)
+    calls = [(rng.randrange(20 * 3600_000), i, rng.random() < 0.05, rng.randrange(37), rng.randrange(7) * 3600_000) for i in range(3000)]
+    calls.sort(key=lambda c: c[0] // (5 * 3600_000) + rng.random())  # four batches, a little mixed
+    cells = Cells()
+    quota, seen, passed = K.Quota(), [], 0
+    quota.BUFFER = 100
+    quota.init(SimpleNamespace(getValueState=lambda *a: Cell(), getMapState=lambda *a: cells, registerTimer=lambda at: None))
+    for lo in range(0, 3000, 500):
+        some = calls[lo : lo + 500]
+        frames = [pd.DataFrame(some[i : i + 60], columns=["at", "event_id", "observed", "tokens", "reset"]) for i in range(0, 500, 60)]
+        out = next(iter(quota.handleInputRows(("m",), iter(frames), SimpleNamespace(getCurrentWatermarkInMs=lambda: passed))))
+        seen += some
+        left, reset = 1000, 0
+        for at, _, observed, tokens, wait in sorted(seen):
+            if reset and at >= reset:
+                left, reset = 1000, 0
+            left, reset = (tokens, at + wait) if observed else (max(0, left - tokens), reset)
+        assert (out["left_over"][0], out["n"][0]) == (left, len(seen))
+        passed = max(0, min((c[0] for c in calls[lo + 500 :]), default=0))  # nothing earlier comes
+    assert 0 < Cells.most < 400 and len(cells) < 20
